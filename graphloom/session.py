@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +44,26 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and forget its lineage."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application: their Python workers import it by name."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).parent
+    bundle = Path(tempfile.mkdtemp(prefix="graphloom-")) / "graphloom_bundle.zip"
+    with zipfile.ZipFile(bundle, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, Path(package.name) / f.relative_to(package))
+    sc.addPyFile(str(bundle))
+    _SHIPPED.add(sc.applicationId)
+
+
+def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
