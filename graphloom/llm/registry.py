@@ -9,17 +9,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import packing, simhash, token_counts
+from graphloom.llm import line_dedup, mixing, packing, quality, simhash, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_removed_lines", F.md5(F.col("text").cast("binary")).alias("clean_md5"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id").drop("clean_text")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id").drop("copies")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -30,10 +43,17 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": op2_line_dedup,
+    "op3_quality_rules": op3_quality_rules,
     "op5_token_counts": op5_token_counts,
+    "op6_source_mixing": op6_source_mixing,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": line_dedup.LINES_SQL,
+    "op3_quality_rules": quality.QUALITY_SQL,
+    "op6_source_mixing": mixing.MIX_SQL,
+}
