@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 SPACE, WORD = "[\\x20\\x09-\\x0D]+", "[^\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
-#: A line fails if it lacks the first, or has one of the others.
-ENDS = "[.!?:;…'\"”’»)\\]][\\x20\\x09-\\x0D]*\\z"
+#: A line fails if it has no end of a sentence or clause anywhere, or has one of the others.
+ENDS = "[.!?:;…]['\"”’»)\\]]*([\\x20\\x09-\\x0D]|\\z)"
 SHOUTS = "([!?]{2,}[^!?]*){3}"
 NAVIGATES = "([\\x20\\x09-\\x0D][|>»•·/][\\x20\\x09-\\x0D][^|>»•·/]*){3}"
 BOILERPLATE = "(lorem ipsum|javascript|cookie policy|cookies|privacy policy|terms of (use|service)|all rights reserved|click here|read more|sign (in|up)|log ?in|subscribe)"
