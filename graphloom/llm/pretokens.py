@@ -11,15 +11,15 @@ import os
 import re
 import sys
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 
-import numpy as np
 from tokenizers import Tokenizer
 
 #: Code points below this are split by Python, but for one whose lower case has two code points.
 LIMIT, APART = 0x180, "İ"
-#: A worker's cache holds this many pre-tokens, of so many characters at most, then starts anew.
-CACHED, LONGEST = 400_000, 64
+#: A worker's cache holds this many pre-tokens, of so many characters at most, and as many that it held before.
+CACHED, LONGEST = 600_000, 64
 
 
 def _members(test: Callable[[str], bool]) -> str:
@@ -41,6 +41,7 @@ class Encoder(dict):
     def __init__(self, path: str, value: Callable[[list[int]], object], known: dict | None = None) -> None:
         super().__init__(known or {})
         self.known = known or {}
+        self.before: dict = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -52,13 +53,17 @@ class Encoder(dict):
         self.special = {t.content: i for i, t in added.items()}
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
         self.hint = os.path.commonprefix(list(self.special)) if added else ""
+        #: What the library's pre-tokeniser writes for each character that Python's patterns can meet.
+        self.letters = {c: "".join(p for p, _ in self.split.pre_tokenize_str(chr(c))) for c in range(LIMIT)}
         self.parts: dict[str, object] = {}  # the library's own pre-tokens, in byte letters
 
     def __missing__(self, token: str):
-        ids = [t.id for part, _ in self.split.pre_tokenize_str(token) for t in self.model.tokenize(part)]
-        made = self.value(ids)
+        made = self.before.get(token)
+        if made is None:
+            made = self.value([t.id for t in self.model.tokenize(token.translate(self.letters))])
         if len(token) <= LONGEST:
             if len(self) >= len(self.known) + CACHED:
+                self.before = dict(self)
                 self.clear()
                 self.update(self.known)
             self[token] = made
@@ -100,7 +105,7 @@ class Encoder(dict):
 
 def packed(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
-    return np.asarray(ids, dtype="<u4").tobytes()
+    return array("I", ids).tobytes()
 
 
 _WORKER: dict[tuple, Encoder] = {}
@@ -115,4 +120,4 @@ def worker_encoder(path: str, kind: str, known: dict | None = None) -> Encoder:
     return _WORKER[key]
 
 
-assert sys.byteorder == "little"
+assert sys.byteorder == "little" and array("I").itemsize == 4
