@@ -287,3 +287,16 @@ def judged(m: Model, texts: list[str | None], temper: float = 4.0, z: float = 6.
         mean, by_char, by_doc = m.typical[best].T
         limit = mean + z * np.sqrt(by_char / np.maximum(n, 1) + by_doc)
     return [m.languages[j] if ok else "und" for j, ok in zip(best, some, strict=True)], np.where(some, score, 0.0), np.where(some, low, np.nan), ~some | (low > limit)
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", temper: float = 4.0, z: float = 6.0) -> DataFrame:
+    """The input rows, with all their columns, whose language isn't rejected."""
+    table = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rejected = judged(table.value, b.column(at).to_pylist(), temper, z)[3]
+            yield b.filter(pa.array(~rejected))
+
+    return map_arrow(docs, run, docs.schema)

@@ -21,14 +21,18 @@ BITS, LEVELS = 10, 4
 BROADCAST_SOURCES = 10_000
 
 
+def _hash(id_col: str, text_col: str) -> Column:
+    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.coalesce(text_col, F.lit("")))).cast("binary"))
+    return F.conv(F.substring(digest, 1, BITS * LEVELS // 4), 16, 10).cast("long")
+
+
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """(id, source, size, h): words of the text (null: 0) and 40 bits of the id's MD5 (the text's if the id is null)."""
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.coalesce(text_col, F.lit("")))).cast("binary"))
     return docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.conv(F.substring(digest, 1, BITS * LEVELS // 4), 16, 10).cast("long").alias("h"),
+        _hash(id_col, text_col).alias("h"),
     )
 
 
@@ -109,6 +113,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return rows.join(small(chosen), F.col("source").eqNullSafe(F.col("s"))).select("id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The input's rows and columns, each row as often as the mix has it."""
+    rows = cut(sized(docs, id_col, text_col, source_col))
+    plan = cut(targets(rows, weights, share, most))
+    small = F.broadcast if plan.count() <= BROADCAST_SOURCES else (lambda df: df)
+    chosen = thresholds(rows, plan, small).select(F.col("source").alias("_mx_source"), F.col("copies").alias("_mx_copies"), F.col("below").alias("_mx_below"))
+    d = docs.withColumn("_mx_h", _hash(id_col, text_col)).join(small(chosen), F.col(source_col).eqNullSafe(F.col("_mx_source")))
+    times = F.col("_mx_copies") + F.when(F.col("_mx_h") < F.col("_mx_below"), 1).otherwise(0)
+    return d.withColumn("_mx_one", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
+
+
 MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
