@@ -19,23 +19,15 @@ from graphloom.llm.pretokens import LONGEST, Encoder, worker_encoder
 from graphloom.session import map_arrow
 
 
-def frequent_lengths(docs: DataFrame, text_col: str, path: str, sample_rows: int = 512, entries: int = 32_768) -> dict[str, int]:
-    """Token counts of the most frequent pre-tokens in the first ``sample_rows`` rows; at most ``entries`` of them.
+def frequent_lengths(docs: DataFrame, text_col: str, path: str, sample_rows: int = 512, longest: int = 20_000, entries: int = 32_768) -> dict[str, int]:
+    """Token counts of the most frequent pre-tokens in some ``sample_rows`` texts of at most ``longest`` characters.
 
-    The sample is bounded and so is what reaches the driver: entries x LONGEST characters.
+    Taken from as few partitions as have so many rows. The sample and the table are bounded whatever the input.
     """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, coder = Counter(), Encoder(path, len)
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                seen.update(x for x in coder.pretokens(t or "") if len(x) <= LONGEST)
-        top = [x for x, _ in seen.most_common(entries)]
-        yield pa.RecordBatch.from_arrays([pa.array(top, pa.string()), pa.array([coder[x] for x in top], pa.int32())], names=["token", "n"])
-
-    sample = docs.select(F.col(text_col).alias("t")).limit(sample_rows).coalesce(1)
-    rows = map_arrow(sample, count, "token string, n int").limit(entries).collect()
-    return {r["token"]: r["n"] for r in rows}
+    seen, coder = Counter(), Encoder(path, len)
+    for r in docs.select(F.col(text_col).alias("t")).where(F.length("t") <= longest).take(sample_rows):
+        seen.update(x for x in coder.pretokens(r["t"]) if len(x) <= LONGEST)
+    return {x: coder[x] for x, _ in seen.most_common(entries)}
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, sample_rows: int = 512, entries: int = 32_768) -> DataFrame:
@@ -45,7 +37,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     Null ids, repeated rows and texts of any length pass through; other columns are ignored.
     """
     sc = docs.sparkSession.sparkContext
-    table = sc.broadcast(frequent_lengths(docs, text_col, path, sample_rows, entries))
+    table = sc.broadcast(frequent_lengths(docs, text_col, path, sample_rows, entries=entries))
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     kind = source.schema["id"].dataType.simpleString()
 
