@@ -1,9 +1,12 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A pair of fingerprints within ``radius`` bits agrees, in at least one of ``segments`` equal segments, up to
-``radius // segments`` bits. Each distinct fingerprint enters a table under its exact segment values and probes the table
+If a pair of fingerprints differs in ``radius`` bits at most, then in one of ``segments`` segments it differs in
+``a = radius // segments`` bits at most; indeed in one of the first ``radius - segments * a + 1``, or in another by
+``a - 1`` at most. Each distinct fingerprint enters a table under its exact segment values and probes the table
 with every value of a small Hamming ball around them; whatever meets under one value has its complete distance verified.
 Rows of one value never leave as all pairs: a task reduces the links it verified to (node, smallest node) stars.
+
+With a second seed a fingerprint has 64 bits more, and segments of their own.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ BLOCK = 1 << 16
 PAIRS = 1 << 20
 
 
-def fingerprint(text: bytes | None, words: int = 3, distinct: bool = False) -> int:
+def fingerprint(text: bytes | None, words: int = 3, distinct: bool = False, seed: int = 42) -> int:
     """The 64-bit SimHash of a UTF-8 text's shingles, A-Z lower-cased; 0 for null and for texts without a word.
 
     ``bytes.lower`` and ``bytes.split`` touch exactly A-Z and [\\x20\\x09-\\x0D]. ``distinct`` counts each shingle once.
@@ -42,22 +45,23 @@ def fingerprint(text: bytes | None, words: int = 3, distinct: bool = False) -> i
         shingles = map(b" ".join, zip(*(ws[i:] for i in range(words)), strict=False))
     if distinct:
         shingles = set(shingles)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), dtype="<u8")
+    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), dtype="<u8")
     ones = np.zeros(BITS, dtype=np.int64)
     for i in range(0, len(h), BLOCK):
         ones += np.unpackbits(h[i : i + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = 3, distinct: bool = False) -> DataFrame:
-    """(id, fp) of every row; fp as a signed long. A map over the input, without a shuffle."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = 3, distinct: bool = False, seeds: tuple[int, ...] = (42,)) -> DataFrame:
+    """(id, fp[, fp2]) of every row, as signed longs. A map over the input, without a shuffle."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
-    schema = f"id {source.schema['id'].dataType.simpleString()}, fp long"
+    names = ["fp", "fp2"][: len(seeds)]
+    schema = f"id {source.schema['id'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), words, distinct) for t in b.column(1)), dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            fps = np.array([[fingerprint(t.as_py(), words, distinct, s) for s in seeds] for t in b.column(1)], dtype=np.uint64).reshape(-1, len(seeds))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in fps.T)], names=["id", *names])
 
     return map_arrow(source, run, schema)
 
@@ -68,28 +72,31 @@ def _masks(width: int, radius: int) -> list[int]:
 
 
 def _entries(nodes: DataFrame, radius: int, segments: int) -> DataFrame:
-    """(key, fp, exact): a fingerprint's exact segment values, and its probes.
+    """(key, exact, fp[, fp2]): a fingerprint's exact segment values, and its probes.
 
-    Two values that differ in one bit meet if the one with a 0 there probes, so the other probe is left out (for balls of
-    one bit).
+    Two values that differ in one bit meet if the one with a 0 there probes, so in balls of one bit the other is left out.
     """
-    ball, keys = radius // segments, []
-    cuts = [BITS * s // segments for s in range(segments + 1)]
+    each = segments // len(nodes.columns)
+    if each * len(nodes.columns) != segments:
+        raise ValueError("segments divide evenly among the halves of a fingerprint")
+    ball, wide = radius // segments, radius % segments + 1
+    keys = []
     for s in range(segments):
-        width = cuts[s + 1] - cuts[s]
-        value = F.shiftrightunsigned("fp", cuts[s]).bitwiseAND(F.lit((1 << width) - 1))
-        #: The segment's number stands above its bits (widths stay under 60 bits).
-        key = lambda v, s=s: F.struct((v * F.lit(segments) + F.lit(s)).alias("key"), F.lit(False).alias("exact"))
-        keys.append(F.struct((value * F.lit(segments) + F.lit(s)).alias("key"), F.lit(True).alias("exact")))
-        for m in _masks(width, ball):
-            probe: Column = key(value.bitwiseXOR(F.lit(m)))
-            keys.append(F.when(value.bitwiseAND(F.lit(m)) == 0, probe) if ball == 1 else probe)
-    return nodes.select("fp", F.explode(F.array(*keys)).alias("k")).where("k is not null").select("k.key", "fp", "k.exact")
+        low, high = BITS * (s % each) // each, BITS * (s % each + 1) // each
+        value = F.shiftrightunsigned(nodes.columns[s // each], low).bitwiseAND(F.lit((1 << (high - low)) - 1))
+        key = lambda v, exact, s=s: F.struct((v * F.lit(segments) + F.lit(s)).alias("key"), F.lit(exact).alias("exact"))
+        keys.append(key(value, True))
+        within = ball if s < wide else ball - 1
+        for m in _masks(high - low, within):
+            probe: Column = key(value.bitwiseXOR(F.lit(m)), False)
+            keys.append(F.when(value.bitwiseAND(F.lit(m)) == 0, probe) if within == 1 else probe)
+    return nodes.select(*nodes.columns, F.explode(F.array(*keys)).alias("k")).where("k is not null").select("k.key", "k.exact", *nodes.columns)
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, smallest node of its component) for every node that isn't the smallest."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    """(node, smallest node of its component) for every node that isn't the smallest; a node is a row."""
+    one = lambda x: np.ascontiguousarray(x).view([(f"f{i}", np.int64) for i in range(x.shape[1])]).ravel()
+    nodes, at = np.unique(np.concatenate([one(a), one(b)]), return_inverse=True)
     x, y = at[: len(a)], at[len(a) :]
     label = np.arange(len(nodes))
     while True:
@@ -103,15 +110,15 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             break
         label = new
     moved = label != np.arange(len(nodes))
-    return nodes[moved], nodes[label[moved]]
+    rows = nodes.view(np.int64).reshape(len(nodes), a.shape[1])
+    return rows[moved], rows[label[moved]]
 
 
 class _Links:
     """Verified pairs, reduced to stars whenever many have gathered."""
 
-    def __init__(self) -> None:
-        self.a: list[np.ndarray] = []
-        self.b: list[np.ndarray] = []
+    def __init__(self, width: int) -> None:
+        self.a, self.b = [np.empty((0, width), np.int64)], [np.empty((0, width), np.int64)]
         self.n = 0
 
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
@@ -123,19 +130,20 @@ class _Links:
                 self.reduce()
 
     def reduce(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.a:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
         a, b = _forest(np.concatenate(self.a), np.concatenate(self.b))
         self.a, self.b, self.n = [a], [b], len(a)
         return a, b
 
 
-def _meet(key: np.ndarray, fp: np.ndarray, exact: np.ndarray, radius: int, links: _Links) -> None:
-    """Verify what meets under each key: table rows against all rows. Rows are sorted by key."""
+def _meet(key: np.ndarray, exact: np.ndarray, fp: np.ndarray, radius: int, links: _Links) -> None:
+    """Verify what meets under each key: table rows against all rows. Rows are sorted by key; fp has a row a fingerprint."""
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[start, len(key)])
     tables = np.add.reduceat(exact.astype(np.int64), start)
-    near = lambda a, b: np.bitwise_count(a ^ b) <= radius
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return sum(np.bitwise_count(a[..., i] ^ b[..., i]) for i in range(fp.shape[1])) <= radius
+
     two = start[(size == 2) & (tables > 0)]
     hit = two[near(fp[two], fp[two + 1])]
     links.add(fp[hit], fp[hit + 1])
@@ -151,14 +159,16 @@ def _meet(key: np.ndarray, fp: np.ndarray, exact: np.ndarray, radius: int, links
 def links(nodes: DataFrame, radius: int = 3, segments: int = 2) -> DataFrame:
     """(node, root): stars whose closure is that of all pairs of distinct fingerprints within ``radius`` bits.
 
-    ``nodes``: one column ``fp``. Rows of a key stream through a task in key order, so a task holds one key's rows at a
-    time; a key's rows are distinct fingerprints, never copies of documents.
+    ``nodes``: fp, which is a node itself, or fp and fp2, whose structs are nodes. Rows of a key stream through a task in key order, so a task holds one key's rows at a time; a key's rows
+    are distinct fingerprints, never copies of documents.
     """
+    names = nodes.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, rest = _Links(), None
+        found, rest = _Links(len(names)), None
         for b in batches:
-            rows = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            col = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            rows = [col[0], col[1], np.stack(col[2:], axis=1)]
             if rest is not None:
                 rows = [np.concatenate(x) for x in zip(rest, rows, strict=True)]
             if not len(rows[0]):
@@ -171,23 +181,28 @@ def links(nodes: DataFrame, radius: int = 3, segments: int = 2) -> DataFrame:
             _meet(*rest, radius, found)
         a, b = found.reduce()
         for i in range(0, len(a), BLOCK):
-            yield pa.RecordBatch.from_arrays([pa.array(a[i : i + BLOCK]), pa.array(b[i : i + BLOCK])], names=["node", "root"])
+            cols = [pa.array(np.ascontiguousarray(x[i : i + BLOCK, k])) for x in (a, b) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays(cols, names=[f"{end}_{c}" for end in ("node", "root") for c in names])
 
-    entries = _entries(nodes.select("fp"), radius, segments)
-    return map_arrow(entries.repartition("key").sortWithinPartitions("key"), run, "node long, root long")
+    schema = ", ".join(f"{end}_{c} long" for end in ("node", "root") for c in names)
+    out = map_arrow(_entries(nodes, radius, segments).repartition("key").sortWithinPartitions("key"), run, schema)
+    node = lambda end: F.col(f"{end}_fp") if len(names) == 1 else F.struct(*[F.col(f"{end}_{c}").alias(c) for c in names])
+    return out.select(node("node").alias("node"), node("root").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, segments: int = 2, distinct: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, segments: int = 2, distinct: bool = False, seeds: tuple[int, ...] = (42,)) -> DataFrame:
     """One row per input row: (id, fp, component), component being the smallest id reachable over links.
 
-    Fingerprints link at ``radius`` or fewer differing bits. Null and word-less texts have fingerprint zero, linked like
-    any other. A null id takes part but never names a component, unless all its ids are null. Repeated rows come back
-    repeated; other columns are ignored; an empty table gives an empty result.
+    Fingerprints link at ``radius`` or fewer differing bits. Null and word-less texts have fingerprint zero, linked like any other. A null id takes part but never
+    names a component, unless all its ids are null. Repeated rows come back repeated; other columns are ignored; an empty
+    table gives an empty result.
     """
-    fps = cut(fingerprints(docs, id_col, text_col, words, distinct))
-    nodes = cut(fps.groupBy("fp").agg(F.min("id").alias("id")))
-    star = stars(links(nodes, radius, segments))
-    rooted = nodes.join(star, nodes["fp"] == star["node"], "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
+    fps = cut(fingerprints(docs, id_col, text_col, words, distinct, seeds))
+    names = fps.columns[1:]
+    node = F.col("fp") if len(names) == 1 else F.struct(*names)
+    nodes = cut(fps.groupBy(*names).agg(F.min("id").alias("id")))
+    star = stars(links(nodes.select(*names), radius, segments))
+    rooted = nodes.withColumn("own", node).join(star, F.col("own") == F.col("node"), "left").select(*names, "id", F.coalesce("root", "own").alias("root"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component"))
-    named = rooted.join(least, "root").select("fp", "component")
-    return fps.join(named, "fp").select("id", "fp", "component")
+    named = rooted.join(least, "root").select(*names, "component")
+    return fps.join(named, names).select("id", "fp", "component")
