@@ -9,9 +9,18 @@ from pyspark.sql import functions as F
 FNV_BASIS, FNV_PRIME = 2166136261, 16777619
 
 
+#: White space that is trimmed.
+SPACE = " \t\n\r\x0b\x0c"
+
+
+def trimmed(c: Column) -> Column:
+    """Without white space at either end."""
+    return F.btrim(c, F.lit(SPACE))
+
+
 def blank_to_null(c: Column) -> Column:
     """Trimmed; null if nothing is left."""
-    return F.nullif(F.trim(c), F.lit(""))
+    return F.nullif(trimmed(c), F.lit(""))
 
 
 def fnv1a(c: Column) -> Column:

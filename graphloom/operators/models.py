@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import strip_fence
+from graphloom.functions.text import strip_fence, trimmed
 from graphloom.session import map_arrow, ship
 
 #: Texts of one call to an embedder.
@@ -148,7 +148,7 @@ def reason_prompt(iteration: int, max_iterations: int, hints: Hints = Hints()) -
 def parse_reason(raw: Column) -> Column:
     """struct(answer, follow_ups, done) of a model's reply: fences stripped, five follow-ups at most; a reply that isn't
     JSON is the final answer."""
-    text = F.trim(strip_fence(raw))
+    text = trimmed(strip_fence(raw))
     got = F.from_json(text, "answer string, follow_ups array<string>, done boolean, _bad string", {"columnNameOfCorruptRecord": "_bad"})
     bad = got["_bad"].isNotNull() | ~text.startswith("{")
     follow = F.slice(F.filter(F.coalesce(got["follow_ups"], F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")) != ""), 1, MOST_FOLLOW_UPS)

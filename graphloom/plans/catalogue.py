@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from graphloom.plans import queries_delta, queries_graph, queries_ingest, queries_lookup, queries_service, queries_text, queries_vector
+from graphloom.plans.registered import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
+MODULES = (queries_vector, queries_graph, queries_lookup, queries_ingest, queries_delta, queries_text, queries_service)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query that ``entry`` runs."""
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    """A vector query: search, traversal, scores and the ranked context."""
+    return queries_graph.vector_query_full(spark, sf_dir)

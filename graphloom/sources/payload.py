@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.errors import ValidationFailed
-from graphloom.functions.text import blank_to_null
+from graphloom.functions.text import blank_to_null, trimmed
 
 SCHEMA = (
     "entities array<struct<id: string, name: string, type: string, props: string, full_context: string, embed_context: string, image_url: string>>, "
@@ -31,7 +31,7 @@ def parse(payloads: DataFrame, column: str = "payload") -> tuple[DataFrame, Data
     missing = F.col("p.entities").isNull() | F.col("p.relations").isNull()
     array = lambda c: F.when(missing, F.raise_error(F.lit("a payload needs entities and relations"))).otherwise(F.col(c))
     e = p.select("payload_id", F.posexplode(array("p.entities")).alias("pos", "e"))
-    name, kind = F.coalesce(F.trim("e.name"), F.lit("")), F.coalesce(blank_to_null(F.col("e.type")), F.lit("Entity"))
+    name, kind = F.coalesce(trimmed(F.col("e.name")), F.lit("")), F.coalesce(blank_to_null(F.col("e.type")), F.lit("Entity"))
     nodes = e.select(
         "payload_id",
         "pos",

@@ -36,9 +36,11 @@ def delta_stream(records: DataFrame, path: str, checkpoint: str) -> StreamingQue
 STATE, IDLE_MS = "tokens double, last double", 600_000
 
 
-def token_bucket_stream(requests: DataFrame, key: str = "key", at: str = "ts", burst: int = 20, per_minute: float = 60.0) -> DataFrame:
-    """(key, ts, allowed) of a stream of requests; a key's bucket is state, dropped after ten idle minutes."""
+def token_bucket_stream(requests: DataFrame, key: str = "key", at: str = "ts", burst: int = 20, per_minute: float = 60.0, late: str = "10 minutes") -> DataFrame:
+    """(key, s, allowed) of a stream of requests, s being seconds; a key's bucket is state, dropped once event time is ten
+    idle minutes further and the bucket must be full again. Rows later than ``late`` are dropped."""
     rate = per_minute / 60.0
+    idle = max(IDLE_MS, int(1000 * burst / rate) + 1)
 
     def check(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -53,11 +55,12 @@ def token_bucket_stream(requests: DataFrame, key: str = "key", at: str = "ts", b
             allowed.append(tokens >= 1)
             tokens -= 1.0 if tokens >= 1 else 0.0
         state.update((tokens, last))
-        state.setTimeoutDuration(IDLE_MS)
+        state.setTimeoutTimestamp(max(int(last * 1000) + idle, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": str(k[0]), "s": rows["s"].to_numpy(), "allowed": allowed})
 
-    asked = requests.select(F.col(key).cast("string").alias("key"), (F.unix_micros(F.col(at).cast("timestamp")) / F.lit(1e6)).alias("s"))
-    return asked.groupBy("key").applyInPandasWithState(check, "key string, s double, allowed boolean", STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = requests.withWatermark(at, late)
+    asked = timed.select(F.col(key).cast("string").alias("key"), (F.unix_micros(F.col(at).cast("timestamp")) / F.lit(1e6)).alias("s"), F.col(at))
+    return asked.groupBy("key").applyInPandasWithState(check, "key string, s double, allowed boolean", STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
