@@ -81,7 +81,7 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "id"
     ship(vectors.sparkSession)
     across, down = max(1, -(-q.count() // BLOCK_QUERIES)), max(1, -(-v.count() // BLOCK_ROWS))
     right = q.withColumn("x", F.pmod(F.xxhash64("query_id"), F.lit(across))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
-    left = v.withColumn("y", F.pmod(F.xxhash64("id"), F.lit(down)).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(across - 1))).cast("long"))
+    left = v.withColumn("y", F.pmod(F.xxhash64("id"), F.lit(down)).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
