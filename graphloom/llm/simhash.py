@@ -142,7 +142,7 @@ def _meet(key: np.ndarray, exact: np.ndarray, fp: np.ndarray, radius: int, links
     tables = np.add.reduceat(exact.astype(np.int64), start)
 
     def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return sum(np.bitwise_count(a[..., i] ^ b[..., i]) for i in range(fp.shape[1])) <= radius
+        return sum(np.bitwise_count((a[..., i] ^ b[..., i]).view(np.uint64)) for i in range(fp.shape[1])) <= radius
 
     two = start[(size == 2) & (tables > 0)]
     hit = two[near(fp[two], fp[two + 1])]
