@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.settled import settled
+
 #: The rolling hash: the previous line's 28-bit hash times this, plus the line's own.
 FACTOR, DIGITS = 31, 7
 
@@ -63,11 +65,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lost = F.expr("aggregate(_ld_c, 0L, (a, x) -> a + x.n) - aggregate(_ld_left, 0L, (a, x) -> a + x.n)")
     lines = F.length(text_col) - F.length(F.translate(text_col, "\n", "")) + 1
     clean = F.when(F.col("_ld_gone").isNull(), F.col(text_col)).otherwise(F.array_join("_ld_left.t", "\n"))
-    return d.select(
+    d = d.select(
         *[clean.alias(c) if c == text_col else F.col(c) for c in docs.columns],
         F.coalesce(lines, F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(lost, F.lit(0)).cast("long").alias("n_removed_lines"),
     )
+    return settled(d, text_col, "n_lines", "n_removed_lines")
 
 
 LINES_SQL = rf"""

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.settled import settled
+
 SPACE, WORD = "[\\x20\\x09-\\x0D]+", "[^\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: A line fails if it has no end of a sentence or clause anywhere, or has one of the others.
@@ -53,6 +55,7 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.array_join("clean", "\n").alias("clean_text"),
     )
+    t = settled(t, *t.columns[1:])
     base_failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     t = t.select("*", base_failed.alias("base_failed"), (F.col("n_words") - F.regexp_count("clean_text", F.lit(WORD))).cast("long").alias("n_lost_words"))
     return t.select("*", (~F.col("base_failed") & (100 * F.col("n_lost_words") <= lost_percent * F.col("n_words"))).alias("kept"))
