@@ -11,7 +11,7 @@ With a second seed a fingerprint has 64 bits more, and segments of their own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -24,9 +24,11 @@ from graphloom.llm.components import stars
 from graphloom.session import cut, map_arrow
 
 BITS = 64
-#: Hashes whose bits are counted at once, and pairs whose distances are computed at once.
+#: Hashes whose bits are counted at once, and links that are held before they are reduced to stars.
 BLOCK = 1 << 16
-PAIRS = 1 << 20
+HELD = 1 << 18
+#: Rows that meet under one key are compared all at once up to this number.
+SMALL = 24
 
 
 def fingerprint(text: bytes | None, words: int = 3, distinct: bool = False, seed: int = 42) -> int:
@@ -93,10 +95,20 @@ def _entries(nodes: DataFrame, radius: int, segments: int) -> DataFrame:
     return nodes.select(*nodes.columns, F.explode(F.array(*keys)).alias("k")).where("k is not null").select("k.key", "k.exact", *nodes.columns)
 
 
+def _numbered(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows in order, and which of them each row is."""
+    order = np.lexsort(rows.T[::-1])
+    sorted_ = rows[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (sorted_[1:] != sorted_[:-1]).any(axis=1)
+    which = np.empty(len(rows), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return sorted_[new], which
+
+
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node of its component) for every node that isn't the smallest; a node is a row."""
-    one = lambda x: np.ascontiguousarray(x).view([(f"f{i}", np.int64) for i in range(x.shape[1])]).ravel()
-    nodes, at = np.unique(np.concatenate([one(a), one(b)]), return_inverse=True)
+    nodes, at = _numbered(np.concatenate([a, b]))
     x, y = at[: len(a)], at[len(a) :]
     label = np.arange(len(nodes))
     while True:
@@ -110,8 +122,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             break
         label = new
     moved = label != np.arange(len(nodes))
-    rows = nodes.view(np.int64).reshape(len(nodes), a.shape[1])
-    return rows[moved], rows[label[moved]]
+    return nodes[moved], nodes[label[moved]]
 
 
 class _Links:
@@ -126,7 +137,7 @@ class _Links:
             self.a.append(a)
             self.b.append(b)
             self.n += len(a)
-            if self.n > PAIRS:
+            if self.n > HELD:
                 self.reduce()
 
     def reduce(self) -> tuple[np.ndarray, np.ndarray]:
@@ -148,12 +159,27 @@ def _meet(key: np.ndarray, exact: np.ndarray, fp: np.ndarray, radius: int, links
     hit = two[near(fp[two], fp[two + 1])]
     links.add(fp[hit], fp[hit + 1])
     for i, n in zip(start[many := (size > 2) & (tables > 0)], size[many], strict=True):
-        own = fp[i : i + n]
-        table = own[exact[i : i + n]]
-        step = max(1, PAIRS // n)
-        for j in range(0, len(table), step):
-            x, y = np.nonzero(near(table[j : j + step, None], own[None, :]))
-            links.add(table[j + x], own[y])
+        own, table = fp[i : i + n], np.flatnonzero(exact[i : i + n])
+        if n <= SMALL:
+            x, y = np.nonzero(near(own[table, None], own[None, :]))
+            links.add(own[table[x]], own[y])
+        else:
+            links.add(*_within(own, table, near))
+
+
+def _within(own: np.ndarray, table: np.ndarray, near: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Stars of many rows under one key. What is already together needs no comparison, so a tight group takes one round."""
+    label = np.arange(len(own))
+    for t in table:
+        apart = np.flatnonzero(label != label[t])
+        if not len(apart):
+            break
+        hit = apart[near(own[t], own[apart])]
+        if len(hit):
+            label[np.isin(label, label[hit])] = label[t]
+    _, first, which = np.unique(label, return_index=True, return_inverse=True)
+    moved = np.flatnonzero(first[which] != np.arange(len(own)))
+    return own[moved], own[first[which[moved]]]
 
 
 def links(nodes: DataFrame, radius: int = 3, segments: int = 2) -> DataFrame:
