@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.settled import settled
+from graphloom.session import cut
 
 #: The rolling hash: the previous line's 28-bit hash times this, plus the line's own.
 FACTOR, DIGITS = 31, 7
@@ -39,6 +40,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", div
     d = _chunks(d, F.col("t"), ["id", "v"], "c", divisor, min_lines)
     slim = d.select("id", "v", F.explode(F.expr("transform(filter(c, x -> x.m), x -> struct(x.pos AS pos, xxhash64(x.t) AS d, length(x.t) AS n))")).alias("x")).select("id", "v", "x.*")
     first = slim.groupBy("d", "n").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("id", "v", "pos")).alias("first")).where("k > 1").drop("k")
+    first = cut(first)  # a join of two exchanges is one that adaptive execution can split; of an aggregate it isn't
     hits = slim.join(first, ["d", "n"]).select("id", "v", F.struct("pos", "d", "n", F.col("first").eqNullSafe(F.struct("id", "v", "pos")).alias("own")).alias("hit"))
     asked = hits.groupBy("id", "v").agg(F.collect_set("hit").alias("hits")).select(F.col("id").alias("id_"), F.col("v").alias("v_"), "hits")
     found = d.join(asked, F.col("id").eqNullSafe(F.col("id_")) & (F.col("v") == F.col("v_"))).select("id", "v", "c", F.explode("hits").alias("x"))
