@@ -48,10 +48,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 _SHIPPED: set[str] = set()
+#: Bytes of a batch that goes to a Python worker, where a session has Spark's default: texts are long, and each running
+#: task holds its batches on both sides.
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for each application: their Python workers import it by name."""
+    if spark.conf.get(BATCH_KEY, None) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
