@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.session import map_arrow
@@ -31,6 +31,8 @@ AROUND = 512
 #: Bytes hashed at once.
 BLOCK = 1 << 20
 ROWS = 50_000
+#: A chunk's place is one long: its start, then its size and its words in so many bits each.
+SIZE_BITS, WORD_BITS = 10, 10
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
@@ -60,7 +62,10 @@ def boundaries(b: np.ndarray) -> np.ndarray:
 
 
 def chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, start, end, words, digest) of each chunk: byte offsets, words that begin in it, XXH3 of its bytes."""
+    """(id, place, digest) of each chunk: where it is, with its size and the words that begin in it, and XXH3 of its bytes.
+
+    Three longs a row, since these rows are what is shuffled; places sort by start.
+    """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).where("t is not null")
     kind = source.schema["id"].dataType.simpleString()
 
@@ -78,9 +83,10 @@ def chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 space = _SPACE[b]
                 word = ~space
                 word[1:] &= space[:-1]
-                words = np.add.reduceat(word.astype(np.int32), start)
+                words = np.add.reduceat(word.astype(np.int64), start)
                 digest = np.fromiter((xxhash.xxh3_64_intdigest(text[s:e]) for s, e in zip(start.tolist(), end.tolist(), strict=True)), np.uint64, len(end))
-                rows.append((np.full(len(end), k), start, end, words, digest.view(np.int64)))
+                place = (start << (SIZE_BITS + WORD_BITS)) | (end - start << WORD_BITS) | words
+                rows.append((np.full(len(end), k), place, digest.view(np.int64)))
                 n += len(end)
                 if n >= ROWS:
                     yield made(batch, rows)
@@ -89,18 +95,23 @@ def chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield made(batch, rows)
 
     def made(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
-        k, start, end, words, digest = (np.concatenate(c) for c in zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(k)), *(pa.array(x.astype(np.int32)) for x in (start, end, words)), pa.array(digest)], names=["id", "start", "end", "words", "digest"])
+        k, place, digest = (np.concatenate(c) for c in zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(k)), pa.array(place), pa.array(digest)], names=["id", "place", "digest"])
+
+    return map_arrow(source, run, f"id {kind}, place long, digest long")
+
 
-    return map_arrow(source, run, f"id {kind}, start int, end int, words int, digest long")
+def _start(place: str) -> Column:
+    return F.shiftright(place, SIZE_BITS + WORD_BITS)
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, least_words: int, max_gap: int) -> DataFrame:
     """(id, start, end, words, first_id, first_start): runs of chunks that another document had first."""
     chunks = chunk_rows(docs, id_col, text_col)
-    first = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "start")).alias("f")).where("n > 1").select("digest", F.col("f.id").alias("first_id"), F.col("f.start").alias("first_start"))
+    first = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "place")).alias("f")).where("n > 1").select("digest", F.col("f.id").alias("first_id"), F.col("f.place").alias("first_place"))
     hits = chunks.join(first, "digest").where(~F.col("id").eqNullSafe(F.col("first_id")))
-    hits = hits.select("id", "first_id", (F.col("start") - F.col("first_start")).alias("shift"), "start", "end", "words")
+    size, words = F.shiftright("place", WORD_BITS).bitwiseAND(F.lit((1 << SIZE_BITS) - 1)), F.col("place").bitwiseAND(F.lit((1 << WORD_BITS) - 1))
+    hits = hits.select("id", "first_id", (_start("place") - _start("first_place")).alias("shift"), _start("place").alias("start"), (_start("place") + size).alias("end"), words.alias("words"))
     own = Window.partitionBy("id", "first_id", "shift").orderBy("start", "end")
     new = F.when(F.col("start") - F.lag("end").over(own) <= max_gap, 0).otherwise(1)
     runs = hits.dropDuplicates(["id", "first_id", "shift", "start"]).withColumn("new", new).withColumn("run", F.sum("new").over(own))
@@ -136,8 +147,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     runs = candidates(docs, id_col, text_col, least_words, max_gap).withColumn("size", F.col("end") - F.col("start"))
     texts = docs.select(F.col(id_col).alias("d"), F.col(text_col).cast("binary").alias("t")).where("t is not null")
-    left = lambda at: F.substring("t", F.greatest(at - AROUND, F.lit(0)) + 1, F.least(at, F.lit(AROUND)))
-    right = lambda at: F.substring("t", at + 1, F.lit(AROUND))
+    left = lambda at: F.substring("t", (F.greatest(at - AROUND, F.lit(0)) + 1).cast("int"), F.least(at, F.lit(AROUND)).cast("int"))
+    right = lambda at: F.substring("t", (at + 1).cast("int"), F.lit(AROUND))
     met = runs.join(texts, F.col("first_id").eqNullSafe(F.col("d"))).select(*runs.columns, left(F.col("first_start")).alias("fl"), right(F.col("first_start") + F.col("size")).alias("fr"))
     met = met.join(texts, F.col("id").eqNullSafe(F.col("d"))).select(*met.columns, left(F.col("start")).alias("ol"), right(F.col("end")).alias("or"))
     kind = runs.schema["id"].dataType.simpleString()
@@ -154,7 +165,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             names = ["id", "start", "end", "words", "first_id", "first_start"]
             yield pa.RecordBatch.from_arrays([pa.array(col[c], b.schema.field(c).type) for c in names], names=names)
 
-    found = map_arrow(met, run, f"id {kind}, start int, end int, words long, first_id {kind}, first_start int")
+    found = map_arrow(met, run, f"id {kind}, start long, end long, words long, first_id {kind}, first_start long")
     return found.where(F.col("words") >= min_words).dropDuplicates(["id", "start", "end", "first_id", "first_start"])
 
 
