@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import map_arrow
+from graphloom.llm.workers import let_go
+from graphloom.session import cut, map_arrow
 
 ORDER = 4
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -225,6 +226,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     cell = F.pmod(F.xxhash64(F.lit("sample"), F.col("id").cast("string")), F.lit(cells))
     some = known.where(cell < as_map(wanted)[F.col("lang")]).where(F.col("t").isNotNull() & (F.length("t") <= longest))
     some = some.select(as_map(number)[F.col("lang")].cast("int").alias("lang"), "t", (F.pmod(F.xxhash64(F.lit("part"), F.col("id").cast("string")), F.lit(3)) == 0).alias("aside"))
+    some = cut(some)  # bounded, and read twice
     counts = map_arrow(some.where("not aside").select("lang", "t"), _count, COUNT)
     counts = counts.groupBy("lang", "k", "gram").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("n").alias("n"))
     model = estimate(languages, counts.toArrow())
@@ -264,6 +266,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         m = table.value
         for b in batches:
             lang, score, entropy, rejected = judged(m, b.column(1).to_pylist(), temper, z)
@@ -295,6 +298,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", temper: floa
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             rejected = judged(table.value, b.column(at).to_pylist(), temper, z)[3]
             yield b.filter(pa.array(~rejected))

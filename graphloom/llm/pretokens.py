@@ -16,6 +16,8 @@ from collections.abc import Callable, Iterator
 
 from tokenizers import Tokenizer
 
+from graphloom.llm.workers import held
+
 #: Code points below this are split by Python, but for one whose lower case has two code points.
 LIMIT, APART = 0x180, "İ"
 #: A worker's cache holds this many pre-tokens, of so many characters at most, and as many that it held before.
@@ -108,16 +110,10 @@ def packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
-_WORKER: dict[tuple, Encoder] = {}
-
-
 def worker_encoder(path: str, kind: str, known: dict | None = None) -> Encoder:
     """The encoder this worker process keeps between tasks. kind: "length" or "bytes"."""
     key = (path, kind, len(known or {}), sum(map(len, known)) if known else 0)
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = Encoder(path, len if kind == "length" else packed, known)
-    return _WORKER[key]
+    return held(key, lambda: Encoder(path, len if kind == "length" else packed, known))
 
 
 assert sys.byteorder == "little" and array("I").itemsize == 4

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import stars
+from graphloom.llm.workers import let_go
 from graphloom.session import cut, map_arrow
 
 BITS = 64
@@ -61,6 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = 3, di
     schema = f"id {source.schema['id'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             fps = np.array([[fingerprint(t.as_py(), words, distinct, s) for s in seeds] for t in b.column(1)], dtype=np.uint64).reshape(-1, len(seeds))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in fps.T)], names=["id", *names])
