@@ -24,7 +24,7 @@ ORDER = 4
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 SPACE, BREAK = 32, 1
 #: Characters that are worked on at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: The chance of a character that no model has seen.
 UNSEEN = 1 / 4096
 
@@ -140,6 +140,7 @@ COUNT = "lang int, k int, gram long, context long, suffix long, n long"
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """n-grams of (lang, text) rows with their contexts, suffixes and counts."""
+    let_go()
     for b in batches:
         langs = np.array(b.column(0).to_pylist(), np.int32)
         cs = [codes(t or "") for t in b.column(1).to_pylist()]

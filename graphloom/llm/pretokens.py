@@ -21,7 +21,7 @@ from graphloom.llm.workers import held
 #: Code points below this are split by Python, but for one whose lower case has two code points.
 LIMIT, APART = 0x180, "İ"
 #: A worker's cache holds this many pre-tokens, of so many characters at most, and as many that it held before.
-CACHED, LONGEST = 600_000, 64
+CACHED, LONGEST = 300_000, 64
 
 
 def _members(test: Callable[[str], bool]) -> str:
