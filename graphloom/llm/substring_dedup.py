@@ -133,33 +133,66 @@ def _begun(b: bytes, before: bytes) -> int:
     return len(b.split()) - bool(b and before and not b[:1].isspace() and not before[-1:].isspace())
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, least_words: int = 6, max_gap: int = 96) -> DataFrame:
+def _equal_words(own: bytes, other: bytes, before: bytes) -> int:
+    """Words that begin in ``own``, which stands behind ``before``, and whose bytes there are those of ``other``."""
+    if own == other:
+        return _begun(own, before)
+    x = np.frombuffer(own, np.uint8)
+    space = _SPACE[x]
+    word = ~space
+    word[1:] &= space[:-1]
+    word[0] &= not before or bool(_SPACE[before[-1]])
+    at = np.flatnonzero(word)
+    stop = np.append(np.flatnonzero(space), len(x))
+    wrong = np.r_[0, np.cumsum(x != np.frombuffer(other, np.uint8))]
+    return int((wrong[stop[np.searchsorted(stop, at)]] == wrong[at]).sum())
+
+
+def _extended(own: bytes, lead: int, other: bytes, other_lead: int, size: int) -> tuple[int, int, int]:
+    """How far equal bytes go on before and behind a run, and the words in equal bytes of it all.
+
+    The run takes ``size`` bytes behind the first ``lead`` and ``other_lead`` ones of what is cut out of both texts. A text
+    that ends before, that of another row with the same id, has no words of it.
+    """
+    if len(own) < lead + size or len(other) < other_lead + size:
+        return 0, 0, 0
+    back = _common(own[:lead][::-1], other[:other_lead][::-1])
+    on = _common(own[lead + size :], other[other_lead + size :])
+    start, first = lead - back, other_lead - back
+    n = back + size + on
+    return back, on, _equal_words(own[start : start + n], other[first : first + n], own[:start])
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, least_words: int = 1, max_gap: int = 96) -> DataFrame:
     """(id, start, end, words, first_id, first_start): each passage that another document has first, by byte offsets.
 
     The first occurrence by (id, start) is the one to keep; nulls sort first, and rows without id are one document, as are
     rows that repeat an id. Runs of whole equal chunks with ``least_words`` words are extended byte by byte, up to
-    ``AROUND`` bytes either way; short differing stretches of up to ``max_gap`` bytes are bridged. ``min_words`` counts the
-    words that begin in equal bytes. Null and empty texts have no passage; an empty table gives an empty result.
+    ``AROUND`` bytes either way; other stretches of up to ``max_gap`` bytes, whose chunks differ or stood in a third document
+    before, are bridged. Both documents' bytes of the whole passage are then compared, and ``min_words`` counts the words in
+    equal bytes. Null and empty texts have no passage; an empty table gives an empty result.
 
     Digests are counted with map-side combine; a digest in very many documents meets its first occurrence in a join that
-    adaptive execution splits. Rows of one key that meet in a window are chunks of one document. Of texts, what is around
-    the candidates is cut out where they meet; one exchange of the texts serves both sides.
+    adaptive execution splits. Rows of one key that meet in a window are chunks of one document. Of texts, the candidates
+    and what is around them are cut out where they meet; one exchange of the texts serves both sides.
     """
     runs = candidates(docs, id_col, text_col, least_words, max_gap).withColumn("size", F.col("end") - F.col("start"))
     texts = docs.select(F.col(id_col).alias("d"), F.col(text_col).cast("binary").alias("t")).where("t is not null")
-    left = lambda at: F.substring("t", (F.greatest(at - AROUND, F.lit(0)) + 1).cast("int"), F.least(at, F.lit(AROUND)).cast("int"))
-    right = lambda at: F.substring("t", (at + 1).cast("int"), F.lit(AROUND))
-    met = runs.join(texts, F.col("first_id").eqNullSafe(F.col("d"))).select(*runs.columns, left(F.col("first_start")).alias("fl"), right(F.col("first_start") + F.col("size")).alias("fr"))
-    met = met.join(texts, F.col("id").eqNullSafe(F.col("d"))).select(*met.columns, left(F.col("start")).alias("ol"), right(F.col("end")).alias("or"))
+
+    def part(at: str) -> Column:
+        lead = F.least(F.col(at), F.lit(AROUND))
+        return F.substring("t", (F.col(at) - lead + 1).cast("int"), (lead + F.col("size") + AROUND).cast("int"))
+
+    met = runs.join(texts, F.col("first_id").eqNullSafe(F.col("d"))).select(*runs.columns, part("first_start").alias("other"))
+    met = met.join(texts, F.col("id").eqNullSafe(F.col("d"))).select(*met.columns, part("start").alias("own"))
     kind = runs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             col = b.to_pydict()
             for i in range(b.num_rows):
-                fl, fr, ol, own = col["fl"][i], col["fr"][i], col["ol"][i], col["or"][i]
-                back, on = _common(fl[::-1], ol[::-1]), _common(fr, own)
-                col["words"][i] += _begun(ol[len(ol) - back :], ol[: len(ol) - back]) + _begun(own[:on], b"x")
+                lead, other_lead = min(col["start"][i], AROUND), min(col["first_start"][i], AROUND)
+                back, on, col["words"][i] = _extended(col["own"][i], lead, col["other"][i], other_lead, col["size"][i])
                 for c, n in (("start", -back), ("first_start", -back), ("end", on)):
                     col[c][i] += n
             names = ["id", "start", "end", "words", "first_id", "first_start"]

@@ -269,6 +269,30 @@ def test_passages(spark, odd, none):
     assert substring_dedup.without("aéb", [{"start": 2, "end": 4}]) == "aé"
 
 
+def test_passages_with_parts_of_third_documents(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(rng.randrange(2, 9)))
+    text = lambda n: [word() for _ in range(n)]
+    rows, want = [], {}
+    for i in range(20):
+        shared = text(51)
+        rows.append((i, " ".join([*text(20), *shared[8:20], *text(20), *shared[26:38], *text(20)])))
+        for k in (100 + i, 200 + i):
+            before = " ".join(text(30)) + " "
+            rows.append((k, before + " ".join([*shared, *text(30)])))
+            want[k] = (len(before), len(before) + len(" ".join(shared)))
+    found = {r["id"]: r for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found.keys() == set(range(200, 220))
+    for k, r in found.items():
+        assert r["first_id"] == k - 100 and r["start"] <= want[k][0] and r["end"] >= want[k][1] and 51 <= r["words"] <= 53
+
+
+def test_only_words_in_equal_bytes_count():
+    assert substring_dedup._extended(b"one two three four", 4, b"xne two thrie four", 4, 9) == (3, 5, 2)
+    assert substring_dedup._extended(b"a b c d", 2, b"a b c d", 2, 3) == (2, 2, 4)
+    assert substring_dedup._extended(b"a b", 2, b"a b c d", 2, 3) == (0, 0, 0)
+
+
 # ---- 8 packing -----------------------------------------------------------------------------------------------------------
 
 
