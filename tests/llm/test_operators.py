@@ -74,6 +74,21 @@ def test_secret_scan(spark, odd, none):
     assert secrets.find_secrets(odd).count() == len(ROWS) and secrets.find_secrets(none).count() == 0
 
 
+def test_keys_of_every_encoding_among_ordinary_tokens(spark):
+    rng = random.Random(16)
+    letters = dict(secrets.ALPHABETS)
+    lengths = {"hex": 31, "hex upper": 40, "base32": 52, "base36": 48, "base36 upper": 48, "base62": 43, "base64": 64, "base64url": 43}
+    vocabulary = ["counter", "window", "report", "account", "version", "section", "house", "letter", "number", "water", "running", "station"]
+    names = ["".join(rng.choice(vocabulary) + rng.choice(["", "", "", "2", "10", "2024"]) for _ in range(5)) for _ in range(300)]
+    names += [n.upper() for n in names] + ["".join(w.title() for w in rng.sample(vocabulary, 6)) for _ in range(300)]
+    keys = [(k, "".join(rng.choice(letters[k]) for _ in range(n))) for k, n in lengths.items() for _ in range(5)]
+    rows = [(i, f"see {k} here") for i, (_, k) in enumerate(keys)] + [(1000 + i, f"see {n} here") for i, n in enumerate(names)]
+    got = {r["id"]: r["n_random"] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = Counter(k for i, (k, _) in enumerate(keys) if got[i])
+    assert all(found[k] >= 4 for k in lengths), found
+    assert sum(got[1000 + i] for i in range(len(names))) <= 3
+
+
 # ---- 2 lines -------------------------------------------------------------------------------------------------------------
 
 
