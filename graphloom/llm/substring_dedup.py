@@ -1,14 +1,19 @@
 """Substring dedup by content-defined chunks.
 
-A gear rolling hash over the last ``WINDOW`` bytes ends a chunk; since a boundary depends on the bytes just before it and on
-nothing else, chunks of a repeated passage are the same wherever it stands and whatever was inserted before it. Chunks are
-compared by digest. A document's repeated chunks that stand as far apart as in the document where they first occurred
-belong to one passage. Its ends, which lie inside chunks that differ, are found by comparing the bytes around it; a passage
-of enough words is reported with its first occurrence.
+A gear rolling hash over the first ``GEAR_BYTES`` bytes of each word chooses chunk boundaries: a word begins a chunk where its
+hash is the least among some ``reach`` neighbouring words. That depends on the words alone, so the chunks of a repeated
+passage are the same wherever it stands and whatever was inserted before it. A chunk's digest covers ``span`` words from its
+boundary, with ``span + reach - 1 = min_words``: any stretch of ``min_words`` words holds at least one whole chunk.
+
+Repeated digests are linked to their first occurrence, and the bytes of both documents compared as far as they are equal.
+Where a third document shares a chunk but less text around it than some other one, its first occurrence does not settle the
+matter; there all windows of ``min_words`` words are compared by 128-bit digests. Together these find every such window that
+an earlier document has.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,55 +22,59 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.session import map_arrow
+from graphloom.session import cut, map_arrow
 
 #: One random 64-bit number a byte value, from a fixed seed.
 GEAR = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
-WINDOW = 16
-#: A boundary needs a hash under 1 / RATE of the range, and no such hash in the LEAST bytes before it.
-RATE, LEAST = 24, 12
-#: Where no boundary comes, as in periodic text, a chunk ends after so many bytes.
-MOST = 256
-#: Bytes compared on either side of a passage.
-AROUND = 512
+GEAR_BYTES = 16
 #: Bytes hashed at once.
 BLOCK = 1 << 20
 ROWS = 50_000
-#: A chunk's place is one long: its start, then its size and its words in so many bits each.
-SIZE_BITS, WORD_BITS = 10, 10
+#: Words on either side of a run of chunks up to which the compared bytes reach.
+AROUND = 64
+#: A place is one long: this many low bits are the byte offset, those above it tell texts of one id apart.
+OFFSET_BITS, TEXT_BITS = 43, 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
-def boundaries(b: np.ndarray) -> np.ndarray:
-    """Where chunks end (exclusive), the text's end included."""
-    found = []
+def words_of(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end (exclusive)."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[b], [True]]).view(np.int8)))
+    return edge[::2], edge[1::2]
+
+
+def gear(b: np.ndarray) -> np.ndarray:
+    """h[i]: the rolling hash of the GEAR_BYTES bytes that end at i; the first ones have fewer."""
+    out = np.empty(len(b), np.uint64)
     for at in range(0, len(b), BLOCK):
-        lead = min(at, WINDOW)
+        lead = min(at, GEAR_BYTES - 1)
         h = GEAR[b[at - lead : at + BLOCK]]
         for step in (1, 2, 4, 8):
             prior = h.copy()
             prior[step:] = h[:-step] << np.uint64(step)
             prior[:step] = 0
             h = h + prior
-        found.append(np.flatnonzero(h[lead:] < np.uint64((1 << 64) // RATE)) + at + 1)
-    raw = np.concatenate(found) if found else np.empty(0, np.int64)
-    alone = raw[np.diff(raw, prepend=-LEAST - 1) > LEAST]
-    if not len(b):
-        return alone[:0]
-    end = np.append(alone[alone < len(b)], len(b))
-    size = np.diff(end, prepend=0)
-    if size.max() > MOST:
-        more = [np.arange(e - n + MOST, e, MOST) for e, n in zip(end[size > MOST].tolist(), size[size > MOST].tolist(), strict=True)]
-        end = np.sort(np.concatenate([end, *more]))
-    return end
-
-
-def chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, place, digest) of each chunk: where it is, with its size and the words that begin in it, and XXH3 of its bytes.
-
-    Three longs a row, since these rows are what is shuffled; places sort by start.
-    """
+        out[at : at + BLOCK] = h[lead:]
+    return out
+
+
+def boundaries(b: np.ndarray, starts: np.ndarray, span: int, reach: int) -> np.ndarray:
+    """Which words begin chunks: each that has the least hash of ``reach`` neighbours with ``span`` words from them on."""
+    n = len(starts) - span + 1
+    if n < reach:
+        return np.empty(0, np.int64)
+    h = gear(b)[np.minimum(starts[:n] + GEAR_BYTES - 1, len(b) - 1)]
+    least, have = np.arange(n), 1
+    while have < reach:
+        step = min(have, reach - have)
+        first, second = least[: len(least) - step], least[step:]
+        least, have = np.where(h[second] < h[first], second, first), have + step
+    return np.unique(least)
+
+
+def chunk_rows(docs: DataFrame, id_col: str, text_col: str, span: int, reach: int) -> DataFrame:
+    """(id, place, digest) of each chunk: three longs a row, since these rows are what is shuffled; places sort by offset."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).where("t is not null")
     kind = source.schema["id"].dataType.simpleString()
 
@@ -76,18 +85,14 @@ def chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for k, t in enumerate(batch.column(1)):
                 text = t.as_py()
                 b = np.frombuffer(text, np.uint8)
-                end = boundaries(b)
-                if not len(end):
+                start, end = words_of(b)
+                at = boundaries(b, start, span, reach)
+                if not len(at):
                     continue
-                start = np.r_[0, end[:-1]]
-                space = _SPACE[b]
-                word = ~space
-                word[1:] &= space[:-1]
-                words = np.add.reduceat(word.astype(np.int64), start)
-                digest = np.fromiter((xxhash.xxh3_64_intdigest(text[s:e]) for s, e in zip(start.tolist(), end.tolist(), strict=True)), np.uint64, len(end))
-                place = (start << (SIZE_BITS + WORD_BITS)) | (end - start << WORD_BITS) | words
-                rows.append((np.full(len(end), k), place, digest.view(np.int64)))
-                n += len(end)
+                digest = np.fromiter((xxhash.xxh3_64_intdigest(text[s:e]) for s, e in zip(start[at].tolist(), end[at + span - 1].tolist(), strict=True)), np.uint64, len(at))
+                own = (zlib.crc32(text) & (1 << TEXT_BITS) - 1) << OFFSET_BITS
+                rows.append((np.full(len(at), k), start[at] | own, digest.view(np.int64)))
+                n += len(at)
                 if n >= ROWS:
                     yield made(batch, rows)
                     rows, n = [], 0
@@ -101,22 +106,31 @@ def chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_arrow(source, run, f"id {kind}, place long, digest long")
 
 
-def _start(place: str) -> Column:
-    return F.shiftright(place, SIZE_BITS + WORD_BITS)
+def _text_of(place: str) -> Column:
+    return F.shiftright(place, OFFSET_BITS).cast("int")
+
 
+def _offset(place: str) -> Column:
+    return F.col(place).bitwiseAND(F.lit((1 << OFFSET_BITS) - 1))
 
-def candidates(docs: DataFrame, id_col: str, text_col: str, least_words: int, max_gap: int) -> DataFrame:
-    """(id, start, end, words, first_id, first_start): runs of chunks that another document had first."""
-    chunks = chunk_rows(docs, id_col, text_col)
-    first = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "place")).alias("f")).where("n > 1").select("digest", F.col("f.id").alias("first_id"), F.col("f.place").alias("first_place"))
-    hits = chunks.join(first, "digest").where(~F.col("id").eqNullSafe(F.col("first_id")))
-    size, words = F.shiftright("place", WORD_BITS).bitwiseAND(F.lit((1 << SIZE_BITS) - 1)), F.col("place").bitwiseAND(F.lit((1 << WORD_BITS) - 1))
-    hits = hits.select("id", "first_id", (_start("place") - _start("first_place")).alias("shift"), _start("place").alias("start"), (_start("place") + size).alias("end"), words.alias("words"))
-    own = Window.partitionBy("id", "first_id", "shift").orderBy("start", "end")
-    new = F.when(F.col("start") - F.lag("end").over(own) <= max_gap, 0).otherwise(1)
-    runs = hits.dropDuplicates(["id", "first_id", "shift", "start"]).withColumn("new", new).withColumn("run", F.sum("new").over(own))
-    runs = runs.groupBy("id", "first_id", "shift", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"))
-    return runs.where(F.col("words") >= least_words).select("id", "start", "end", "words", "first_id", (F.col("start") - F.col("shift")).alias("first_start"))
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(d, v, t): texts with what tells those of one id apart."""
+    d = docs.select(F.col(id_col).alias("d"), F.col(text_col).cast("binary").alias("t")).where("t is not null")
+    return d.select("d", F.crc32("t").bitwiseAND(F.lit((1 << TEXT_BITS) - 1)).cast("int").alias("v"), "t")
+
+
+def linked(docs: DataFrame, id_col: str, text_col: str, span: int, reach: int) -> DataFrame:
+    """(id, place, digest, n, first_id, first_place) of every chunk whose digest occurs again; stored.
+
+    Digests are counted with map-side combine; only the repeated ones' rows are gathered and told their first occurrence.
+    Each join is of two stored or mapped tables, so adaptive execution can split a digest of very many documents.
+    """
+    chunks = chunk_rows(docs, id_col, text_col, span, reach)
+    again = cut(chunks.groupBy("digest").count().where("count > 1").select("digest"))
+    hits = cut(chunks.join(again, "digest").select("id", "place", "digest"))
+    first = cut(hits.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "place")).alias("f")))
+    return cut(hits.join(first, "digest").select("id", "place", "digest", "n", F.col("f.id").alias("first_id"), F.col("f.place").alias("first_place")))
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -128,78 +142,172 @@ def _common(a: bytes, b: bytes) -> int:
     return int(x.argmax())
 
 
-def _begun(b: bytes, before: bytes) -> int:
-    """Words that begin in b, which stands behind ``before``."""
-    return len(b.split()) - bool(b and before and not b[:1].isspace() and not before[-1:].isspace())
+def equal_words(own: bytes, other: bytes, core: int, size: int, own_begins: bool, other_begins: bool) -> tuple[int, int, int] | None:
+    """(start, end, words) of the whole words in the equal bytes around ``size`` bytes at ``core`` of both.
+
+    Both are cut at the same distance from the core. A word is whole if it begins and ends in both: at the cut's start where
+    the flags say so, at the end of a text, or beside a space. None if the core differs.
+    """
+    if own[core : core + size] != other[core : core + size] or len(other) < core + size:
+        return None
+    low = core - _common(own[:core][::-1], other[:core][::-1])
+    high = core + size + _common(own[core + size :], other[core + size :])
+    start, end = words_of(np.frombuffer(own, np.uint8))
+    a, b = int(np.searchsorted(start, low)), int(np.searchsorted(end, high, "right"))
+    if a < b and start[a] == low and not (own_begins and other_begins if low == 0 else _SPACE[other[low - 1]]):
+        a += 1
+    if a < b and end[b - 1] == high and high < len(other) and not _SPACE[other[high]]:
+        b -= 1
+    return (int(start[a]), int(end[b - 1]), b - a) if a < b else None
 
 
-def _equal_words(own: bytes, other: bytes, before: bytes) -> int:
-    """Words that begin in ``own``, which stands behind ``before``, and whose bytes there are those of ``other``."""
-    if own == other:
-        return _begun(own, before)
-    x = np.frombuffer(own, np.uint8)
-    space = _SPACE[x]
-    word = ~space
-    word[1:] &= space[:-1]
-    word[0] &= not before or bool(_SPACE[before[-1]])
-    at = np.flatnonzero(word)
-    stop = np.append(np.flatnonzero(space), len(x))
-    wrong = np.r_[0, np.cumsum(x != np.frombuffer(other, np.uint8))]
-    return int((wrong[stop[np.searchsorted(stop, at)]] == wrong[at]).sum())
+RUN = "id {k}, v int, at long, own binary, begins boolean, core int, size int, first_id {k}, fv int, first_at long, digests array<long>, lows array<int>, highs array<int>"
+PASSAGE = "id {k}, start long, end long, words long, first_id {k}, first_start long"
+_ROW = {"v": pa.int32(), "at": pa.int64(), "own": pa.binary(), "begins": pa.bool_(), "core": pa.int32(), "size": pa.int32(), "fv": pa.int32(), "first_at": pa.int64()}
+_ROW |= {"digests": pa.list_(pa.int64()), "lows": pa.list_(pa.int32()), "highs": pa.list_(pa.int32())}
+_ROW |= {"start": pa.int64(), "end": pa.int64(), "words": pa.int64(), "first_start": pa.int64(), "place": pa.int64(), "word": pa.int64(), "d1": pa.int64(), "d2": pa.int64()}
 
 
-def _extended(own: bytes, lead: int, other: bytes, other_lead: int, size: int) -> tuple[int, int, int]:
-    """How far equal bytes go on before and behind a run, and the words in equal bytes of it all.
+def _batch(rows: list[tuple], names: list[str], id_type: pa.DataType) -> pa.RecordBatch:
+    cols = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, _ROW.get(n, id_type)) for n, c in zip(names, cols, strict=True)], names=names)
 
-    The run takes ``size`` bytes behind the first ``lead`` and ``other_lead`` ones of what is cut out of both texts. A text
-    that ends before, that of another row with the same id, has no words of it.
-    """
-    if len(own) < lead + size or len(other) < other_lead + size:
-        return 0, 0, 0
-    back = _common(own[:lead][::-1], other[:other_lead][::-1])
-    on = _common(own[lead + size :], other[other_lead + size :])
-    start, first = lead - back, other_lead - back
-    n = back + size + on
-    return back, on, _equal_words(own[start : start + n], other[first : first + n], own[:start])
-
-
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, least_words: int = 1, max_gap: int = 96) -> DataFrame:
-    """(id, start, end, words, first_id, first_start): each passage that another document has first, by byte offsets.
-
-    The first occurrence by (id, start) is the one to keep; nulls sort first, and rows without id are one document, as are
-    rows that repeat an id. Runs of whole equal chunks with ``least_words`` words are extended byte by byte, up to
-    ``AROUND`` bytes either way; other stretches of up to ``max_gap`` bytes, whose chunks differ or stood in a third document
-    before, are bridged. Both documents' bytes of the whole passage are then compared, and ``min_words`` counts the words in
-    equal bytes. Null and empty texts have no passage; an empty table gives an empty result.
-
-    Digests are counted with map-side combine; a digest in very many documents meets its first occurrence in a join that
-    adaptive execution splits. Rows of one key that meet in a window are chunks of one document. Of texts, the candidates
-    and what is around them are cut out where they meet; one exchange of the texts serves both sides.
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _per_text(hits: DataFrame, link: Column, texts: DataFrame) -> DataFrame:
+    """(id, v, t, links): each text with what was found in it, one row a text."""
+    own = hits.groupBy(F.col("id").alias("i_"), _text_of("place").alias("v_")).agg(F.collect_list(link).alias("links"))
+    return own.join(texts, F.col("i_").eqNullSafe(F.col("d")) & (F.col("v_") == F.col("v"))).select(F.col("d").alias("id"), "v", "t", "links")
+
+
+def _runs(found: DataFrame, texts: DataFrame, kind: str, span: int, reach: int) -> DataFrame:
+    """Runs of overlapping chunks with one first document and shift, and the bytes around them.
+
+    ``digests`` are those of more than two occurrences, with the bytes that the windows about them reach.
     """
-    runs = candidates(docs, id_col, text_col, least_words, max_gap).withColumn("size", F.col("end") - F.col("start"))
-    texts = docs.select(F.col(id_col).alias("d"), F.col(text_col).cast("binary").alias("t")).where("t is not null")
+    links = found.where(~F.col("id").eqNullSafe(F.col("first_id")))
+    link = F.struct(_offset("place").alias("s"), "first_id", _text_of("first_place").alias("fv"), _offset("first_place").alias("fs"), F.when(F.col("n") > 2, F.col("digest")).alias("g"))
+    schema = RUN.format(k=kind)
+    names = _names(schema)
 
-    def part(at: str) -> Column:
-        lead = F.least(F.col(at), F.lit(AROUND))
-        return F.substring("t", (F.col(at) - lead + 1).cast("int"), (lead + F.col("size") + AROUND).cast("int"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            held = 0
+            for i, v, text, found_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                b = np.frombuffer(text, np.uint8)
+                start, end = words_of(b)
+                at = np.minimum(np.searchsorted(start, [x["s"] for x in found_]), len(start) - 1)
+                together: dict[tuple, list] = {}
+                for x, w in zip(found_, at.tolist(), strict=True):
+                    if start[w] == x["s"] and w + span <= len(start):  # else another text with this id and checksum
+                        together.setdefault((x["first_id"], x["fv"], x["s"] - x["fs"]), []).append((w, x["g"]))
+                for (first_id, fv, shift), all_ in together.items():
+                    all_.sort(key=lambda x: x[0])
+                    a = 0
+                    while a < len(all_):
+                        z = a + 1
+                        while z < len(all_) and all_[z][0] <= all_[z - 1][0] + span:
+                            z += 1
+                        w, last = all_[a][0], all_[z - 1][0] + span - 1
+                        core, core_end = int(start[w]), int(end[last])
+                        low = max(int(start[max(w - AROUND, 0)]) - 1, 0, shift)
+                        high = min(int(end[min(last + AROUND, len(end) - 1)]) + 1, len(text))
+                        g = [(g, int(start[max(x - reach + 1, 0)]) - low, int(end[min(x + span + reach - 2, len(end) - 1)]) - low) for x, g in all_[a:z] if g is not None]
+                        out.append((i, v, low, text[low:high], low == 0 or bool(_SPACE[b[low - 1]]), core - low, core_end - core, first_id, fv, low - shift, *([x[c] for x in g] for c in range(3))))
+                        held += high - low
+                        a = z
+                        if held > BLOCK:
+                            yield _batch(out, names, batch.column(0).type)
+                            out, held = [], 0
+            yield _batch(out, names, batch.column(0).type)
+
+    return map_arrow(_per_text(links, link, texts), run, schema)
+
+
+def _compared(runs: DataFrame, texts: DataFrame, kind: str, min_words: int) -> DataFrame:
+    """Passages of enough words, and in ``digests`` of what chunks the windows were not all equal."""
+    cols = [c for c in runs.columns if c != "v"]
+    before = F.substring("t", F.col("first_at").cast("int"), F.lit(1))
+    other = F.substring("t", (F.col("first_at") + 1).cast("int"), F.length("own"))
+    first = texts.select(F.col("d").alias("fd"), F.col("v").alias("v_"), "t")
+    met = runs.join(first, F.col("first_id").eqNullSafe(F.col("fd")) & (F.col("fv") == F.col("v_"))).select(*cols, other.alias("other"), F.when(F.col("first_at") > 0, before).alias("before"))
+    schema = PASSAGE.format(k=kind) + ", digests array<long>"
+    names = _names(schema)
 
-    met = runs.join(texts, F.col("first_id").eqNullSafe(F.col("d"))).select(*runs.columns, part("first_start").alias("other"))
-    met = met.join(texts, F.col("id").eqNullSafe(F.col("d"))).select(*met.columns, part("start").alias("own"))
-    kind = runs.schema["id"].dataType.simpleString()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = batch.to_pydict()
+            out = []
+            for k in range(batch.num_rows):
+                begins = not col["before"][k] or col["before"][k].isspace()
+                got = equal_words(col["own"][k], col["other"][k], col["core"][k], col["size"][k], col["begins"][k], begins)
+                start, end, words = got or (0, 0, 0)
+                open_ = [g for g, low, high in zip(col["digests"][k], col["lows"][k], col["highs"][k], strict=True) if words < min_words or low < start or high > end]
+                if words >= min_words or open_:
+                    out.append((col["id"][k], col["at"][k] + start, col["at"][k] + end, words, col["first_id"][k], col["first_at"][k] + start, open_))
+            yield _batch(out, names, batch.column(0).type)
+
+    return map_arrow(met, run, schema)
+
+
+def _by_windows(found: DataFrame, digests: DataFrame, texts: DataFrame, kind: str, min_words: int, span: int, reach: int) -> DataFrame:
+    """Passages by the digests of all windows of ``min_words`` words about the occurrences of the given chunks."""
+    hits = found.join(digests, "digest", "left_semi")
+    schema = f"id {kind}, place long, end long, word long, d1 long, d2 long"
+    names = _names(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            col = b.to_pydict()
-            for i in range(b.num_rows):
-                lead, other_lead = min(col["start"][i], AROUND), min(col["first_start"][i], AROUND)
-                back, on, col["words"][i] = _extended(col["own"][i], lead, col["other"][i], other_lead, col["size"][i])
-                for c, n in (("start", -back), ("first_start", -back), ("end", on)):
-                    col[c][i] += n
-            names = ["id", "start", "end", "words", "first_id", "first_start"]
-            yield pa.RecordBatch.from_arrays([pa.array(col[c], b.schema.field(c).type) for c in names], names=names)
-
-    found = map_arrow(met, run, f"id {kind}, start long, end long, words long, first_id {kind}, first_start long")
-    return found.where(F.col("words") >= min_words).dropDuplicates(["id", "start", "end", "first_id", "first_start"])
+        for batch in batches:
+            out: list[tuple] = []
+            for i, v, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                start, end = words_of(np.frombuffer(text, np.uint8))
+                at = np.searchsorted(start, np.array(places, np.int64))
+                first = np.unique((at[:, None] - np.arange(reach)).ravel())
+                for w in first[(first >= 0) & (first + min_words <= len(start))].tolist():
+                    s, e = int(start[w]), int(end[w + min_words - 1])
+                    d = xxhash.xxh3_128_digest(text[s:e])
+                    out.append((i, s | v << OFFSET_BITS, e, w, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
+                if len(out) >= ROWS:
+                    yield _batch(out, names, batch.column(0).type)
+                    out = []
+            yield _batch(out, names, batch.column(0).type)
+
+    windows = cut(map_arrow(_per_text(hits, _offset("place"), texts), run, schema))
+    first = cut(windows.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "place")).alias("f")).where("n > 1"))
+    same = windows.join(first, ["d1", "d2"]).where(~F.col("id").eqNullSafe(F.col("f.id")))
+    same = same.select("id", F.col("place"), "end", "word", F.col("f.id").alias("first_id"), _text_of("f.place").alias("fv"), _offset("f.place").alias("first_start"), (F.col("place") - _offset("f.place")).alias("shift"))
+    own = Window.partitionBy("id", "first_id", "fv", "shift").orderBy("place")
+    same = same.withColumn("run", F.sum(F.when(F.col("word") - F.lag("word").over(own) <= min_words, 0).otherwise(1)).over(own))
+    runs = same.groupBy("id", "first_id", "fv", "shift", "run").agg(F.min("place").alias("place"), F.max("end").alias("end"), (F.max("word") - F.min("word") + min_words).alias("words"), F.min("first_start").alias("first_start"))
+    return runs.select("id", _offset("place").alias("start"), "end", "words", "first_id", "first_start")
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, span: int = 35) -> DataFrame:
+    """(id, start, end, words, first_id, first_start): passages that another document has first, by byte offsets.
+
+    Every window of ``min_words`` whole words with equal bytes between and in them that a document of smaller id has lies in a
+    passage; passages are equal throughout and may overlap, where parts of them have different first documents. The first
+    occurrence by (id, checksum of the text, start) is the one to keep; nulls sort first. Rows without id are one document,
+    as are rows that repeat an id; repeats inside one document are not reported. Null and empty texts and texts of fewer
+    words have no passage; an empty table gives an empty result; other columns are ignored.
+
+    Rows that meet in one task by a key are chunks of one text, or are joined by joins that adaptive execution can split.
+    Of texts, only the passages and what is around them are cut out where they meet.
+    """
+    reach = min_words - span + 1
+    kind = docs.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
+    texts = _texts(docs, id_col, text_col)
+    found = linked(docs, id_col, text_col, span, reach)
+    compared = cut(_compared(_runs(found, texts, kind, span, reach), texts, kind, min_words))
+    names = _names(PASSAGE.format(k=kind))
+    certain = compared.where(F.col("words") >= min_words).select(*names)
+    digests = compared.select(F.explode("digests").alias("digest")).distinct()
+    rest = _by_windows(found, digests, texts, kind, min_words, span, reach)
+    return certain.union(rest.select(*names)).dropDuplicates(["id", "start", "end", "first_id", "first_start"])
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -246,21 +246,81 @@ def test_mixing_without_broadcast(spark, sample, monkeypatch):
 # ---- 7 substrings --------------------------------------------------------------------------------------------------------
 
 
-def test_boundaries_are_local():
-    rng = np.random.default_rng(10)
-    passage = rng.integers(97, 123, 4000, dtype=np.uint8)
-    a = substring_dedup.boundaries(np.concatenate([rng.integers(97, 123, 777, dtype=np.uint8), passage]))
-    b = substring_dedup.boundaries(np.concatenate([rng.integers(97, 123, 31, dtype=np.uint8), passage]))
-    late = substring_dedup.WINDOW + substring_dedup.LEAST
-    assert [x - 777 for x in a if x > 777 + late] == [x - 31 for x in b if x > 31 + late]
-    assert max(np.diff(substring_dedup.boundaries(np.zeros(2000, np.uint8)))) <= substring_dedup.MOST
-    whole = rng.integers(97, 123, 5000, dtype=np.uint8)
-    once = substring_dedup.boundaries(whole)
-    substring_dedup.BLOCK, kept = 700, substring_dedup.BLOCK
-    try:
-        assert (substring_dedup.boundaries(whole) == once).all()
-    finally:
-        substring_dedup.BLOCK = kept
+def test_boundaries_are_local(monkeypatch):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(rng.randrange(2, 9)))
+    passage = " ".join(word() for _ in range(400))
+
+    def chosen(lead):
+        t = f"{' '.join(word() for _ in range(lead))} {passage} {word()}".encode()
+        b = np.frombuffer(t, np.uint8)
+        start = substring_dedup.words_of(b)[0]
+        return {int(w) - lead for w in substring_dedup.boundaries(b, start, 35, 16)}
+
+    a, b = chosen(7), chosen(160)
+    assert {w for w in a if 0 <= w < 365} - set(range(15)) <= b and {w for w in b if 15 <= w < 365} <= a
+    gaps = np.diff(sorted(w for w in a if w >= 0))
+    assert gaps.max() <= 16  # any 50 words hold a whole chunk
+    raw = np.frombuffer(passage.encode(), np.uint8)
+    once = substring_dedup.gear(raw)
+    monkeypatch.setattr(substring_dedup, "BLOCK", 700)
+    assert (substring_dedup.gear(raw) == once).all()
+    same = np.frombuffer(b"a " * 100, np.uint8)
+    assert len(substring_dedup.boundaries(same, substring_dedup.words_of(same)[0], 35, 16)) <= 100
+
+
+def check_windows(found, rows, n=50):
+    """Passages are equal throughout, and cover every window of n words that a document of smaller id has."""
+    by = {i: (t or "").encode() for i, t in rows}
+    spans = defaultdict(list)
+    for r in found:
+        size = r["end"] - r["start"]
+        own = by[r["id"]][r["start"] : r["end"]]
+        assert r["first_id"] < r["id"] and own == by[r["first_id"]][r["first_start"] : r["first_start"] + size] and len(own.split()) == r["words"] >= n
+        spans[r["id"]].append((r["start"], r["end"]))
+    seen, repeated = {}, set()
+    for i in sorted(by):
+        start, end = substring_dedup.words_of(np.frombuffer(by[i], np.uint8))
+        windows = [(int(s), int(e), by[i][s:e]) for s, e in zip(start, end[n - 1 :], strict=False)]
+        for s, e, w in windows:
+            if w in seen:
+                repeated.add(i)
+                assert any(a <= s and e <= z for a, z in spans[i]), (i, s, e)
+        for _, _, w in windows:
+            seen.setdefault(w, i)
+    assert spans.keys() == repeated
+    return spans
+
+
+def test_passages_equal_all_windows(spark, sample):
+    docs = spark.read.parquet(f"{sample}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    assert check_windows(substring_dedup.repeated_passages(docs).collect(), rows)
+
+
+def test_passages_among_parts_in_many_documents(spark):
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(rng.randrange(2, 9)))
+    text = lambda n: [word() for _ in range(n)]
+    shared, rows = text(120), []
+    for i in range(6):  # each a sixth of the passage
+        rows.append((i, " ".join([*text(20), *shared[20 * i : 20 * i + 20], *text(20)])))
+    rows += [(k, " ".join([*text(30), *shared, *text(30)])) for k in (10, 11)]
+    other = text(120)
+    for i in range(8):  # overlapping parts that nearly suffice, so that no first occurrence of a chunk does
+        rows.append((20 + i, " ".join([*text(20), *other[10 * i : 10 * i + 46], *text(20)])))
+    rows += [(k, " ".join([*text(30), *other, *text(30)])) for k in (40, 41, 42)]
+    short = text(51)
+    rows += [(50, " ".join([*text(9), *short[:45], *text(9)])), (51, " ".join([*text(9), *short[6:], *text(9)])), (52, " ".join(short)), (53, " ".join([*text(9), *short]))]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    spans = check_windows(found, rows)
+    assert spans.keys() == {11, 41, 42, 53} and max(r["words"] for r in found if r["id"] == 11) == 120
+
+
+def test_hostile_texts_have_all_their_passages(spark):
+    rng = random.Random(17)
+    rows = [(i, " ".join(rng.choice(["a", "b", "c\n", "dé"][: 1 + i % 4]) for _ in range(rng.randrange(40, 160)))) for i in range(40)]
+    check_windows(substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect(), rows)
 
 
 def test_passages(spark, odd, none):
@@ -271,7 +331,7 @@ def test_passages(spark, odd, none):
     rows = [(i, f"{text(30)} {shared[i % 20]} {text(30)}") for i in range(60)] + [(i, text(120)) for i in range(100, 160)]
     found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     caught = {r["id"] for r in found}
-    assert caught <= set(range(20, 60)) and len(caught) >= 38
+    assert caught == set(range(20, 60))
     by = dict(rows)
     for r in found:
         n = r["end"] - r["start"]
@@ -299,13 +359,15 @@ def test_passages_with_parts_of_third_documents(spark):
     found = {r["id"]: r for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found.keys() == set(range(200, 220))
     for k, r in found.items():
-        assert r["first_id"] == k - 100 and r["start"] <= want[k][0] and r["end"] >= want[k][1] and 51 <= r["words"] <= 53
+        assert r["first_id"] == k - 100 and (r["start"], r["end"]) == want[k] and r["words"] == 51
 
 
-def test_only_words_in_equal_bytes_count():
-    assert substring_dedup._extended(b"one two three four", 4, b"xne two thrie four", 4, 9) == (3, 5, 2)
-    assert substring_dedup._extended(b"a b c d", 2, b"a b c d", 2, 3) == (2, 2, 4)
-    assert substring_dedup._extended(b"a b", 2, b"a b c d", 2, 3) == (0, 0, 0)
+def test_only_whole_words_in_equal_bytes_count():
+    assert substring_dedup.equal_words(b"one two three four", b"xne two three four", 4, 3, True, True) == (4, 18, 3)
+    assert substring_dedup.equal_words(b"one two three four", b"one two threx four", 4, 3, True, False) == (4, 7, 1)
+    assert substring_dedup.equal_words(b"a b c d", b"a b c d", 2, 3, True, True) == (0, 7, 4)
+    assert substring_dedup.equal_words(b"a b c d", b"a b c dd", 2, 3, True, True) == (0, 5, 3)
+    assert substring_dedup.equal_words(b"a b", b"a x", 2, 1, True, True) is None
 
 
 # ---- 8 packing -----------------------------------------------------------------------------------------------------------
