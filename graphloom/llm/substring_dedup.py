@@ -30,10 +30,10 @@ GEAR_BYTES = 16
 #: Bytes hashed at once.
 BLOCK = 1 << 20
 ROWS = 50_000
-#: Words on either side of a run of chunks up to which the compared bytes reach.
-AROUND = 64
 #: A place is one long: this many low bits are the byte offset, those above it tell texts of one id apart.
 OFFSET_BITS, TEXT_BITS = 43, 20
+#: A window's number of bytes takes so many bits beside its first word's number.
+SIZE_BITS = 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
@@ -74,7 +74,8 @@ def boundaries(b: np.ndarray, starts: np.ndarray, span: int, reach: int) -> np.n
 
 
 def chunk_rows(docs: DataFrame, id_col: str, text_col: str, span: int, reach: int) -> DataFrame:
-    """(id, place, digest) of each chunk: three longs a row, since these rows are what is shuffled; places sort by offset."""
+    """(id, place, digest, n) of each chunk: a few longs a row, since these rows are what is shuffled. Places sort by offset;
+    n is 1 for the first chunk of a digest in a text, and 0 for others."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).where("t is not null")
     kind = source.schema["id"].dataType.simpleString()
 
@@ -91,7 +92,9 @@ def chunk_rows(docs: DataFrame, id_col: str, text_col: str, span: int, reach: in
                     continue
                 digest = np.fromiter((xxhash.xxh3_64_intdigest(text[s:e]) for s, e in zip(start[at].tolist(), end[at + span - 1].tolist(), strict=True)), np.uint64, len(at))
                 own = (zlib.crc32(text) & (1 << TEXT_BITS) - 1) << OFFSET_BITS
-                rows.append((np.full(len(at), k), start[at] | own, digest.view(np.int64)))
+                new = np.zeros(len(at), np.int64)
+                new[np.unique(digest, return_index=True)[1]] = 1
+                rows.append((np.full(len(at), k), start[at] | own, digest.view(np.int64), new))
                 n += len(at)
                 if n >= ROWS:
                     yield made(batch, rows)
@@ -100,10 +103,10 @@ def chunk_rows(docs: DataFrame, id_col: str, text_col: str, span: int, reach: in
                 yield made(batch, rows)
 
     def made(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
-        k, place, digest = (np.concatenate(c) for c in zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(k)), pa.array(place), pa.array(digest)], names=["id", "place", "digest"])
+        k, *cols = (np.concatenate(c) for c in zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(k)), *map(pa.array, cols)], names=["id", "place", "digest", "n"])
 
-    return map_arrow(source, run, f"id {kind}, place long, digest long")
+    return map_arrow(source, run, f"id {kind}, place long, digest long, n long")
 
 
 def _text_of(place: str) -> Column:
@@ -123,13 +126,14 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def linked(docs: DataFrame, id_col: str, text_col: str, span: int, reach: int) -> DataFrame:
     """(id, place, digest, n, first_id, first_place) of every chunk whose digest occurs again; stored.
 
-    Digests are counted with map-side combine; only the repeated ones' rows are gathered and told their first occurrence.
+    ``n`` is the number of texts that have it. Digests are counted with map-side combine, once a text; only the repeated
+    ones' rows are gathered and told their first occurrence.
     Each join is of two stored or mapped tables, so adaptive execution can split a digest of very many documents.
     """
     chunks = chunk_rows(docs, id_col, text_col, span, reach)
-    again = cut(chunks.groupBy("digest").count().where("count > 1").select("digest"))
-    hits = cut(chunks.join(again, "digest").select("id", "place", "digest"))
-    first = cut(hits.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "place")).alias("f")))
+    again = cut(chunks.groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1"))
+    hits = cut(chunks.drop("n").join(again, "digest"))
+    first = cut(hits.groupBy("digest").agg(F.min(F.struct("id", "place")).alias("f")))
     return cut(hits.join(first, "digest").select("id", "place", "digest", "n", F.col("f.id").alias("first_id"), F.col("f.place").alias("first_place")))
 
 
@@ -214,8 +218,8 @@ def _runs(found: DataFrame, texts: DataFrame, kind: str, span: int, reach: int)
                             z += 1
                         w, last = all_[a][0], all_[z - 1][0] + span - 1
                         core, core_end = int(start[w]), int(end[last])
-                        low = max(int(start[max(w - AROUND, 0)]) - 1, 0, shift)
-                        high = min(int(end[min(last + AROUND, len(end) - 1)]) + 1, len(text))
+                        low = max(int(start[max(w - reach, 0)]) - 1, 0, shift)
+                        high = min(int(end[min(last + reach, len(end) - 1)]) + 1, len(text))
                         g = [(g, int(start[max(x - reach + 1, 0)]) - low, int(end[min(x + span + reach - 2, len(end) - 1)]) - low) for x, g in all_[a:z] if g is not None]
                         out.append((i, v, low, text[low:high], low == 0 or bool(_SPACE[b[low - 1]]), core - low, core_end - core, first_id, fv, low - shift, *([x[c] for x in g] for c in range(3))))
                         held += high - low
@@ -233,8 +237,8 @@ def _compared(runs: DataFrame, texts: DataFrame, kind: str, min_words: int) -> D
     cols = [c for c in runs.columns if c != "v"]
     before = F.substring("t", F.col("first_at").cast("int"), F.lit(1))
     other = F.substring("t", (F.col("first_at") + 1).cast("int"), F.length("own"))
-    first = texts.select(F.col("d").alias("fd"), F.col("v").alias("v_"), "t")
-    met = runs.join(first, F.col("first_id").eqNullSafe(F.col("fd")) & (F.col("fv") == F.col("v_"))).select(*cols, other.alias("other"), F.when(F.col("first_at") > 0, before).alias("before"))
+    # the texts are joined as in the step before, under the same names, so that one exchange serves both
+    met = runs.drop("v").join(texts, F.col("first_id").eqNullSafe(F.col("d")) & (F.col("fv") == F.col("v"))).select(*cols, other.alias("other"), F.when(F.col("first_at") > 0, before).alias("before"))
     schema = PASSAGE.format(k=kind) + ", digests array<long>"
     names = _names(schema)
 
@@ -257,7 +261,7 @@ def _compared(runs: DataFrame, texts: DataFrame, kind: str, min_words: int) -> D
 def _by_windows(found: DataFrame, digests: DataFrame, texts: DataFrame, kind: str, min_words: int, span: int, reach: int) -> DataFrame:
     """Passages by the digests of all windows of ``min_words`` words about the occurrences of the given chunks."""
     hits = found.join(digests, "digest", "left_semi")
-    schema = f"id {kind}, place long, end long, word long, d1 long, d2 long"
+    schema = f"id {kind}, place long, word long, d1 long, d2 long"
     names = _names(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +274,7 @@ def _by_windows(found: DataFrame, digests: DataFrame, texts: DataFrame, kind: st
                 for w in first[(first >= 0) & (first + min_words <= len(start))].tolist():
                     s, e = int(start[w]), int(end[w + min_words - 1])
                     d = xxhash.xxh3_128_digest(text[s:e])
-                    out.append((i, s | v << OFFSET_BITS, e, w, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
+                    out.append((i, s | v << OFFSET_BITS, w << SIZE_BITS | e - s, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
                 if len(out) >= ROWS:
                     yield _batch(out, names, batch.column(0).type)
                     out = []
@@ -279,7 +283,8 @@ def _by_windows(found: DataFrame, digests: DataFrame, texts: DataFrame, kind: st
     windows = cut(map_arrow(_per_text(hits, _offset("place"), texts), run, schema))
     first = cut(windows.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "place")).alias("f")).where("n > 1"))
     same = windows.join(first, ["d1", "d2"]).where(~F.col("id").eqNullSafe(F.col("f.id")))
-    same = same.select("id", F.col("place"), "end", "word", F.col("f.id").alias("first_id"), _text_of("f.place").alias("fv"), _offset("f.place").alias("first_start"), (F.col("place") - _offset("f.place")).alias("shift"))
+    end = _offset("place") + F.col("word").bitwiseAND(F.lit((1 << SIZE_BITS) - 1))
+    same = same.select("id", "place", end.alias("end"), F.shiftright("word", SIZE_BITS).alias("word"), F.col("f.id").alias("first_id"), _text_of("f.place").alias("fv"), _offset("f.place").alias("first_start"), (F.col("place") - _offset("f.place")).alias("shift"))
     own = Window.partitionBy("id", "first_id", "fv", "shift").orderBy("place")
     same = same.withColumn("run", F.sum(F.when(F.col("word") - F.lag("word").over(own) <= min_words, 0).otherwise(1)).over(own))
     runs = same.groupBy("id", "first_id", "fv", "shift", "run").agg(F.min("place").alias("place"), F.max("end").alias("end"), (F.max("word") - F.min("word") + min_words).alias("words"), F.min("first_start").alias("first_start"))
