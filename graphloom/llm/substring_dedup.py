@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.session import cut, map_arrow
+from graphloom.session import map_arrow, stored
 
 #: One random 64-bit number a byte value, from a fixed seed.
 GEAR = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -131,10 +131,10 @@ def linked(docs: DataFrame, id_col: str, text_col: str, span: int, reach: int) -
     Each join is of two stored or mapped tables, so adaptive execution can split a digest of very many documents.
     """
     chunks = chunk_rows(docs, id_col, text_col, span, reach)
-    again = cut(chunks.groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1"))
-    hits = cut(chunks.drop("n").join(again, "digest"))
-    first = cut(hits.groupBy("digest").agg(F.min(F.struct("id", "place")).alias("f")))
-    return cut(hits.join(first, "digest").select("id", "place", "digest", "n", F.col("f.id").alias("first_id"), F.col("f.place").alias("first_place")))
+    again = stored(chunks.groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1"), "again")
+    hits = stored(chunks.drop("n").join(again, "digest"), "hits")
+    first = stored(hits.groupBy("digest").agg(F.min(F.struct("id", "place")).alias("f")), "first")
+    return stored(hits.join(first, "digest").select("id", "place", "digest", "n", F.col("f.id").alias("first_id"), F.col("f.place").alias("first_place")), "linked")
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -146,29 +146,43 @@ def _common(a: bytes, b: bytes) -> int:
     return int(x.argmax())
 
 
-def equal_words(own: bytes, other: bytes, core: int, size: int, own_begins: bool, other_begins: bool) -> tuple[int, int, int] | None:
-    """(start, end, words) of the whole words in the equal bytes around ``size`` bytes at ``core`` of both.
+def equal_words(own: bytes, other: bytes, core: int, size: int, own_begins: bool, other_begins: bool, start: np.ndarray, end: np.ndarray) -> tuple[int, int]:
+    """The first and, exclusive, last of own's words that are whole in the equal bytes around ``size`` bytes at ``core``.
 
     Both are cut at the same distance from the core. A word is whole if it begins and ends in both: at the cut's start where
-    the flags say so, at the end of a text, or beside a space. None if the core differs.
+    the flags say so, at the end of a text, or beside a space. (0, 0) if the core differs.
     """
     if own[core : core + size] != other[core : core + size] or len(other) < core + size:
-        return None
+        return 0, 0
     low = core - _common(own[:core][::-1], other[:core][::-1])
     high = core + size + _common(own[core + size :], other[core + size :])
-    start, end = words_of(np.frombuffer(own, np.uint8))
     a, b = int(np.searchsorted(start, low)), int(np.searchsorted(end, high, "right"))
     if a < b and start[a] == low and not (own_begins and other_begins if low == 0 else _SPACE[other[low - 1]]):
         a += 1
     if a < b and end[b - 1] == high and high < len(other) and not _SPACE[other[high]]:
         b -= 1
-    return (int(start[a]), int(end[b - 1]), b - a) if a < b else None
+    return (a, b) if a < b else (0, 0)
 
 
-RUN = "id {k}, v int, at long, own binary, begins boolean, core int, size int, first_id {k}, fv int, first_at long, digests array<long>, lows array<int>, highs array<int>"
+def open_windows(start: np.ndarray, end: np.ndarray, size: int, at: int, low: int, high: int, equal: tuple[int, int], min_words: int, reach: int) -> int:
+    """Which of the windows that begin 0 to ``reach - 1`` words before the chunk at byte ``at`` are not in the equal words.
+
+    A bit each. Windows of the text are those between the bytes ``low`` and ``high``, which may lie outside what is cut out.
+    """
+    mask, c = 0, int(np.searchsorted(start, at))
+    for before in range(reach):
+        w = c - before
+        z = w + min_words
+        inside = (start[w] >= low if w >= 0 else low < 0) and (end[z - 1] <= high if z <= len(end) else high > size)
+        if inside and not (equal[0] <= w and z <= equal[1]):
+            mask |= 1 << before
+    return mask
+
+
+RUN = "id {k}, v int, at long, own binary, begins boolean, core int, size int, first_id {k}, fv int, first_at long, digests array<long>, ats array<int>, lows array<int>, highs array<int>"
 PASSAGE = "id {k}, start long, end long, words long, first_id {k}, first_start long"
 _ROW = {"v": pa.int32(), "at": pa.int64(), "own": pa.binary(), "begins": pa.bool_(), "core": pa.int32(), "size": pa.int32(), "fv": pa.int32(), "first_at": pa.int64()}
-_ROW |= {"digests": pa.list_(pa.int64()), "lows": pa.list_(pa.int32()), "highs": pa.list_(pa.int32())}
+_ROW |= {"digests": pa.list_(pa.int64()), "ats": pa.list_(pa.int32()), "masks": pa.list_(pa.int32()), "lows": pa.list_(pa.int32()), "highs": pa.list_(pa.int32())}
 _ROW |= {"start": pa.int64(), "end": pa.int64(), "words": pa.int64(), "first_start": pa.int64(), "place": pa.int64(), "word": pa.int64(), "d1": pa.int64(), "d2": pa.int64()}
 
 
@@ -220,8 +234,8 @@ def _runs(found: DataFrame, texts: DataFrame, kind: str, span: int, reach: int)
                         core, core_end = int(start[w]), int(end[last])
                         low = max(int(start[max(w - reach, 0)]) - 1, 0, shift)
                         high = min(int(end[min(last + reach, len(end) - 1)]) + 1, len(text))
-                        g = [(g, int(start[max(x - reach + 1, 0)]) - low, int(end[min(x + span + reach - 2, len(end) - 1)]) - low) for x, g in all_[a:z] if g is not None]
-                        out.append((i, v, low, text[low:high], low == 0 or bool(_SPACE[b[low - 1]]), core - low, core_end - core, first_id, fv, low - shift, *([x[c] for x in g] for c in range(3))))
+                        g = [(g, int(start[x]) - low, int(start[max(x - reach + 1, 0)]) - low, int(end[min(x + span + reach - 2, len(end) - 1)]) - low) for x, g in all_[a:z] if g is not None]
+                        out.append((i, v, low, text[low:high], low == 0 or bool(_SPACE[b[low - 1]]), core - low, core_end - core, first_id, fv, low - shift, *([x[c] for x in g] for c in range(4))))
                         held += high - low
                         a = z
                         if held > BLOCK:
@@ -232,14 +246,14 @@ def _runs(found: DataFrame, texts: DataFrame, kind: str, span: int, reach: int)
     return map_arrow(_per_text(links, link, texts), run, schema)
 
 
-def _compared(runs: DataFrame, texts: DataFrame, kind: str, min_words: int) -> DataFrame:
-    """Passages of enough words, and in ``digests`` of what chunks the windows were not all equal."""
+def _compared(runs: DataFrame, texts: DataFrame, kind: str, min_words: int, span: int) -> DataFrame:
+    """Passages of enough words, and which windows about which chunks of more than two texts were not equal."""
     cols = [c for c in runs.columns if c != "v"]
     before = F.substring("t", F.col("first_at").cast("int"), F.lit(1))
     other = F.substring("t", (F.col("first_at") + 1).cast("int"), F.length("own"))
     # the texts are joined as in the step before, under the same names, so that one exchange serves both
     met = runs.drop("v").join(texts, F.col("first_id").eqNullSafe(F.col("d")) & (F.col("fv") == F.col("v"))).select(*cols, other.alias("other"), F.when(F.col("first_at") > 0, before).alias("before"))
-    schema = PASSAGE.format(k=kind) + ", digests array<long>"
+    schema = PASSAGE.format(k=kind) + ", digests array<long>, masks array<int>"
     names = _names(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,20 +261,23 @@ def _compared(runs: DataFrame, texts: DataFrame, kind: str, min_words: int) -> D
             col = batch.to_pydict()
             out = []
             for k in range(batch.num_rows):
-                begins = not col["before"][k] or col["before"][k].isspace()
-                got = equal_words(col["own"][k], col["other"][k], col["core"][k], col["size"][k], col["begins"][k], begins)
-                start, end, words = got or (0, 0, 0)
-                open_ = [g for g, low, high in zip(col["digests"][k], col["lows"][k], col["highs"][k], strict=True) if words < min_words or low < start or high > end]
+                own, begins = col["own"][k], not col["before"][k] or col["before"][k].isspace()
+                start, end = words_of(np.frombuffer(own, np.uint8))
+                equal = equal_words(own, col["other"][k], col["core"][k], col["size"][k], col["begins"][k], begins, start, end)
+                words = equal[1] - equal[0]
+                masks = [open_windows(start, end, len(own), *x, equal, min_words, min_words - span + 1) for x in zip(col["ats"][k], col["lows"][k], col["highs"][k], strict=True)]
+                open_ = [(g, m) for g, m in zip(col["digests"][k], masks, strict=True) if m]
                 if words >= min_words or open_:
-                    out.append((col["id"][k], col["at"][k] + start, col["at"][k] + end, words, col["first_id"][k], col["first_at"][k] + start, open_))
+                    s, e = (int(start[equal[0]]), int(end[equal[1] - 1])) if words else (0, 0)
+                    out.append((col["id"][k], col["at"][k] + s, col["at"][k] + e, words, col["first_id"][k], col["first_at"][k] + s, [g for g, _ in open_], [m for _, m in open_]))
             yield _batch(out, names, batch.column(0).type)
 
     return map_arrow(met, run, schema)
 
 
-def _by_windows(found: DataFrame, digests: DataFrame, texts: DataFrame, kind: str, min_words: int, span: int, reach: int) -> DataFrame:
-    """Passages by the digests of all windows of ``min_words`` words about the occurrences of the given chunks."""
-    hits = found.join(digests, "digest", "left_semi")
+def _by_windows(found: DataFrame, open_: DataFrame, texts: DataFrame, kind: str, min_words: int, reach: int) -> DataFrame:
+    """Passages by the digests of windows of ``min_words`` words: of those asked for, at all occurrences of their chunks."""
+    hits = found.join(open_, "digest")
     schema = f"id {kind}, place long, word long, d1 long, d2 long"
     names = _names(schema)
 
@@ -269,8 +286,9 @@ def _by_windows(found: DataFrame, digests: DataFrame, texts: DataFrame, kind: st
             out: list[tuple] = []
             for i, v, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 start, end = words_of(np.frombuffer(text, np.uint8))
-                at = np.searchsorted(start, np.array(places, np.int64))
-                first = np.unique((at[:, None] - np.arange(reach)).ravel())
+                at = np.searchsorted(start, np.array([x["s"] for x in places], np.int64))
+                asked = np.array([x["mask"] for x in places])[:, None] >> np.arange(reach) & 1 > 0
+                first = np.unique((at[:, None] - np.arange(reach))[asked])
                 for w in first[(first >= 0) & (first + min_words <= len(start))].tolist():
                     s, e = int(start[w]), int(end[w + min_words - 1])
                     d = xxhash.xxh3_128_digest(text[s:e])
@@ -280,8 +298,9 @@ def _by_windows(found: DataFrame, digests: DataFrame, texts: DataFrame, kind: st
                     out = []
             yield _batch(out, names, batch.column(0).type)
 
-    windows = cut(map_arrow(_per_text(hits, _offset("place"), texts), run, schema))
-    first = cut(windows.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "place")).alias("f")).where("n > 1"))
+    windows = stored(map_arrow(_per_text(hits, F.struct(_offset("place").alias("s"), "mask"), texts), run, schema), "windows")
+    first = windows.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "place")).alias("f")).where("n > 1")
+    first = stored(first.select("d1", "d2", "f"), "first")
     same = windows.join(first, ["d1", "d2"]).where(~F.col("id").eqNullSafe(F.col("f.id")))
     end = _offset("place") + F.col("word").bitwiseAND(F.lit((1 << SIZE_BITS) - 1))
     same = same.select("id", "place", end.alias("end"), F.shiftright("word", SIZE_BITS).alias("word"), F.col("f.id").alias("first_id"), _text_of("f.place").alias("fv"), _offset("f.place").alias("first_start"), (F.col("place") - _offset("f.place")).alias("shift"))
@@ -307,11 +326,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = docs.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
     texts = _texts(docs, id_col, text_col)
     found = linked(docs, id_col, text_col, span, reach)
-    compared = cut(_compared(_runs(found, texts, kind, span, reach), texts, kind, min_words))
+    compared = stored(_compared(_runs(found, texts, kind, span, reach), texts, kind, min_words, span), "compared")
     names = _names(PASSAGE.format(k=kind))
     certain = compared.where(F.col("words") >= min_words).select(*names)
-    digests = compared.select(F.explode("digests").alias("digest")).distinct()
-    rest = _by_windows(found, digests, texts, kind, min_words, span, reach)
+    open_ = compared.select(F.explode(F.arrays_zip("digests", "masks")).alias("x")).groupBy(F.col("x.digests").alias("digest")).agg(F.bit_or("x.masks").alias("mask"))
+    rest = _by_windows(found, open_, texts, kind, min_words, reach)
     return certain.union(rest.select(*names)).dropDuplicates(["id", "start", "end", "first_id", "first_start"])
 
 

@@ -363,11 +363,15 @@ def test_passages_with_parts_of_third_documents(spark):
 
 
 def test_only_whole_words_in_equal_bytes_count():
-    assert substring_dedup.equal_words(b"one two three four", b"xne two three four", 4, 3, True, True) == (4, 18, 3)
-    assert substring_dedup.equal_words(b"one two three four", b"one two threx four", 4, 3, True, False) == (4, 7, 1)
-    assert substring_dedup.equal_words(b"a b c d", b"a b c d", 2, 3, True, True) == (0, 7, 4)
-    assert substring_dedup.equal_words(b"a b c d", b"a b c dd", 2, 3, True, True) == (0, 5, 3)
-    assert substring_dedup.equal_words(b"a b", b"a x", 2, 1, True, True) is None
+    def words(own, other, core, size, other_begins=True):
+        start, end = substring_dedup.words_of(np.frombuffer(own, np.uint8))
+        return substring_dedup.equal_words(own, other, core, size, True, other_begins, start, end)
+
+    assert words(b"one two three four", b"xne two three four", 4, 3) == (1, 4)
+    assert words(b"one two three four", b"one two threx four", 4, 3, False) == (1, 2)
+    assert words(b"a b c d", b"a b c d", 2, 3) == (0, 4)
+    assert words(b"a b c d", b"a b c dd", 2, 3) == (0, 3)
+    assert words(b"a b", b"a x", 2, 1) == (0, 0)
 
 
 # ---- 8 packing -----------------------------------------------------------------------------------------------------------
