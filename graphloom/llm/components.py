@@ -7,6 +7,24 @@ from pyspark.sql import functions as F
 
 from graphloom.session import cut
 
+#: A key is hot if it has more than one in so many of all rows; so there are fewer hot keys than this.
+HOT = 1000
+
+
+def matched(rows: DataFrame, values: DataFrame, key: str, number: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``values``, which has one row a key and in ``number`` how many rows have it.
+
+    Rows of hot keys get theirs by a broadcast of the hot keys' values, fewer than ``HOT`` rows, and stay where they are; all
+    others are shuffled. Both sides should be stored ones, since they are read twice.
+    """
+    hot = F.col(number) * HOT > total
+    names = [c for c in values.columns if c not in (key, number)]
+    few = values.where(hot).select(F.col(key).alias("_hot"), F.struct(*names).alias("_value"))
+    marked = rows.join(F.broadcast(few), F.col(key) == F.col("_hot"), "left")
+    kept = [*rows.columns, *names]
+    known = marked.where("_hot is not null").select(*rows.columns, *[F.col(f"_value.{c}").alias(c) for c in names])
+    return known.union(marked.where("_hot is null").select(*rows.columns).join(values.where(~hot).drop(number), key).select(*kept))
+
 
 def _pointed(edges: DataFrame) -> DataFrame:
     """Edges (u, v) with u > v, each once."""
@@ -17,8 +35,8 @@ def stars(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Reduce links to (node, root) pairs, root being the smallest node of the component.
 
     ``edges``: two columns of one orderable type, in any direction; null ends and self-links are ignored. Roots and
-    nodes without links get no row. Every step is a join and an aggregation with map-side combine; a hot centre's
-    neighbours only ever meet in a join that adaptive execution can split. Raises when ``max_rounds`` do not suffice.
+    nodes without links get no row. Every step is an aggregation with map-side combine and a join in which a hot centre's
+    neighbours are not brought together. Raises when ``max_rounds`` do not suffice.
     """
     a, b = edges.columns
     now = cut(_pointed(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).dropna()))
@@ -29,9 +47,9 @@ def stars(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = tuple(seen)
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = _pointed(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(_pointed(small.union(least)))
+        least = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("k")))
+        large = cut(_pointed(matched(both, least, "u", "k", 2 * seen[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))))
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k")))
+        small = matched(large, least, "u", "k", seen[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = cut(_pointed(small.union(least.select("u", F.col("m").alias("v")))))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -2,11 +2,13 @@
 
 If a pair of fingerprints differs in ``radius`` bits at most, then in one of ``segments`` segments it differs in
 ``a = radius // segments`` bits at most; indeed in one of the first ``radius - segments * a + 1``, or in another by
-``a - 1`` at most. Each distinct fingerprint enters a table under its exact segment values and probes the table
-with every value of a small Hamming ball around them; whatever meets under one value has its complete distance verified.
-Rows of one value never leave as all pairs: a task reduces the links it verified to (node, smallest node) stars.
+``a - 1`` at most. Each distinct fingerprint enters a table under the values of a small Hamming ball around its segments, and
+probes the table with those of another, the balls' radii adding up to ``a``; whatever meets under one value has its complete
+distance verified. Rows of one value never leave as all pairs: a task keeps the links of a minimum spanning forest, and where
+links are only candidates, those of each row to the centre of the rows it meets.
 
-With a second seed a fingerprint has 64 bits more, and segments of their own.
+With a second seed a fingerprint has 64 bits more, and segments of their own. ``similar_groups`` takes links as candidates and
+compares the texts at their ends.
 """
 
 from __future__ import annotations
@@ -20,16 +22,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.components import stars
+from graphloom.llm.components import matched, stars
 from graphloom.llm.workers import let_go
-from graphloom.session import cut, map_arrow
+from graphloom.session import cut, map_arrow, stored
 
 BITS = 64
 #: Hashes whose bits are counted at once, and links that are held before they are reduced to stars.
 BLOCK = 1 << 16
 HELD = 1 << 18
 #: Rows that meet under one key are compared all at once up to this number.
-SMALL = 24
+SMALL = 8
+#: A key with more rows than this, as estimated from one node in so many, is split into pairs of parts; so many keys at most,
+#: those with the most rows.
+PART, ONE_IN, SPLIT_KEYS = 1 << 16, 64, 10_000
 
 
 def fingerprint(text: bytes | None, words: int = 3, distinct: bool = False, seed: int = 42) -> int:
@@ -76,9 +81,10 @@ def _masks(width: int, radius: int) -> list[int]:
 
 
 def _entries(nodes: DataFrame, radius: int, segments: int) -> DataFrame:
-    """(key, exact, fp[, fp2]): a fingerprint's exact segment values, and its probes.
+    """(key, exact, fp[, fp2]): what a fingerprint enters the table under, and its probes.
 
     Two values that differ in one bit meet if the one with a 0 there probes, so in balls of one bit the other is left out.
+    With balls of one bit on both sides, every row is both.
     """
     each = segments // len(nodes.columns)
     if each * len(nodes.columns) != segments:
@@ -89,14 +95,32 @@ def _entries(nodes: DataFrame, radius: int, segments: int) -> DataFrame:
         low, high = BITS * (s % each) // each, BITS * (s % each + 1) // each
         value = F.shiftrightunsigned(nodes.columns[s // each], low).bitwiseAND(F.lit((1 << (high - low)) - 1))
         key = lambda v, exact, s=s: F.struct((v * F.lit(segments) + F.lit(s)).alias("key"), F.lit(exact).alias("exact"))
-        keys.append(key(value, True))
         within = ball if s < wide else ball - 1
-        for m in _masks(high - low, within):
+        entered = within // 2  # the table's ball; the rest is the probes'
+        if within < 0:
+            continue
+        keys += [key(value.bitwiseXOR(F.lit(m)), True) for m in [0, *_masks(high - low, entered)]]
+        if within == entered * 2:
+            continue  # the same values
+        for m in _masks(high - low, within - entered):
             probe: Column = key(value.bitwiseXOR(F.lit(m)), False)
             keys.append(F.when(value.bitwiseAND(F.lit(m)) == 0, probe) if within == 1 else probe)
     return nodes.select(*nodes.columns, F.explode(F.array(*keys)).alias("k")).where("k is not null").select("k.key", "k.exact", *nodes.columns)
 
 
+def _split(entries: DataFrame, sample: DataFrame) -> DataFrame:
+    """Entries with a column ``part``: 0, or for keys with very many rows the pairs of parts that a row is in."""
+    seen = sample.groupBy("key").count().where(F.col("count") > PART // ONE_IN).orderBy(F.desc("count"), "key").limit(SPLIT_KEYS).collect()
+    if not seen:
+        return entries.withColumn("part", F.lit(0).cast("long"))
+    spark = entries.sparkSession
+    parts = spark.createDataFrame([(r["key"], -(-r["count"] * ONE_IN // PART)) for r in seen], "_key long, _parts long")
+    own = F.pmod(F.xxhash64(F.lit("part"), *[F.col(c) for c in entries.columns[2:]]), F.col("_parts"))
+    pair = lambda q: F.least(own, q) * F.col("_parts") + F.greatest(own, q)
+    at = F.when(F.col("_parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1), pair))
+    return entries.join(F.broadcast(parts), F.col("key") == F.col("_key"), "left").select(*entries.columns, F.explode(at).alias("part"))
+
+
 def _numbered(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct rows in order, and which of them each row is."""
     order = np.lexsort(rows.T[::-1])
@@ -108,11 +132,8 @@ def _numbered(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sorted_[new], which
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, smallest node of its component) for every node that isn't the smallest; a node is a row."""
-    nodes, at = _numbered(np.concatenate([a, b]))
-    x, y = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
+def _joined(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labels after joining those of x and y: the least of each component."""
     while True:
         low = np.minimum(label[x], label[y])
         new = label.copy()
@@ -121,101 +142,172 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         while not np.array_equal(hop := new[new], new):
             new = hop
         if np.array_equal(new, label):
-            break
+            return label
         label = new
-    moved = label != np.arange(len(nodes))
-    return nodes[moved], nodes[label[moved]]
+
+
+def _forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Which links are those of a minimum spanning forest, by distance; a node is a row. Boruvka's rounds."""
+    nodes, at = _numbered(np.concatenate([a, b]))
+    x, y = at[: len(a)], at[len(a) :]
+    order = np.lexsort((y, x, d))
+    rank = np.empty(len(a), np.int64)
+    rank[order] = np.arange(len(a))
+    label, kept = np.arange(len(nodes)), np.zeros(len(a), bool)
+    alive = np.arange(len(a))
+    while len(alive := alive[label[x[alive]] != label[y[alive]]]):
+        best = np.full(len(nodes), len(a))
+        np.minimum.at(best, label[x[alive]], rank[alive])
+        np.minimum.at(best, label[y[alive]], rank[alive])
+        chosen = order[np.unique(best[best < len(a)])]
+        kept[chosen] = True
+        label = _joined(label, x[chosen], y[chosen])
+    return kept
 
 
 class _Links:
-    """Verified pairs, reduced to stars whenever many have gathered."""
+    """Verified pairs, reduced to a forest whenever many have gathered; and pairs with centres, each once."""
 
-    def __init__(self, width: int) -> None:
-        self.a, self.b = [np.empty((0, width), np.int64)], [np.empty((0, width), np.int64)]
-        self.n = 0
+    def __init__(self, width: int, centres: bool) -> None:
+        self.centres, self.pairs, self.n_pairs, self.most_pairs = centres, [np.empty((0, 2 * width), np.int64)], 0, HELD
+        self.a, self.b, self.d = [np.empty((0, width), np.int64)], [np.empty((0, width), np.int64)], [np.empty(0, np.int64)]
+        self.n, self.most = 0, HELD
 
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+    def add(self, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> None:
         if len(a):
             self.a.append(a)
             self.b.append(b)
+            self.d.append(d.astype(np.int64))
             self.n += len(a)
-            if self.n > HELD:
+            if self.n > self.most:
                 self.reduce()
 
-    def reduce(self) -> tuple[np.ndarray, np.ndarray]:
-        a, b = _forest(np.concatenate(self.a), np.concatenate(self.b))
-        self.a, self.b, self.n = [a], [b], len(a)
-        return a, b
+    def add_centred(self, rows: np.ndarray, centre: np.ndarray) -> None:
+        """Pairs of rows with a centre."""
+        if self.centres and len(rows):
+            self.pairs.append(np.concatenate([rows, np.broadcast_to(centre, rows.shape)], axis=1))
+            self.n_pairs += len(rows)
+            if self.n_pairs > self.most_pairs:
+                self.centred()
+                self.most_pairs = max(HELD, 2 * self.n_pairs)
+
+    def centred(self) -> np.ndarray:
+        every = _numbered(np.concatenate(self.pairs))[0]
+        self.pairs, self.n_pairs = [every], len(every)
+        return every
+
+    def reduce(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b, d = np.concatenate(self.a), np.concatenate(self.b), np.concatenate(self.d)
+        kept = _forest(a, b, d)
+        self.a, self.b, self.d, self.n = [a[kept]], [b[kept]], [d[kept]], int(kept.sum())
+        self.most = max(HELD, 2 * self.n)
+        return a[kept], b[kept], d[kept]
+
+
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, which the last axis holds."""
+    return sum(np.bitwise_count((a[..., i] ^ b[..., i]).view(np.uint64)).astype(np.int64) for i in range(a.shape[-1]))
 
 
 def _meet(key: np.ndarray, exact: np.ndarray, fp: np.ndarray, radius: int, links: _Links) -> None:
     """Verify what meets under each key: table rows against all rows. Rows are sorted by key; fp has a row a fingerprint."""
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
     size = np.diff(np.r_[start, len(key)])
     tables = np.add.reduceat(exact.astype(np.int64), start)
-
-    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return sum(np.bitwise_count((a[..., i] ^ b[..., i]).view(np.uint64)) for i in range(fp.shape[1])) <= radius
-
     two = start[(size == 2) & (tables > 0)]
-    hit = two[near(fp[two], fp[two + 1])]
-    links.add(fp[hit], fp[hit + 1])
-    for i, n in zip(start[many := (size > 2) & (tables > 0)], size[many], strict=True):
+    d = _distance(fp[two], fp[two + 1])
+    links.add(fp[two[d <= radius]], fp[two[d <= radius] + 1], d[d <= radius])
+    many = (size > 2) & (tables > 0)
+    for i, n in zip(start[many].tolist(), size[many].tolist(), strict=True):
         own, table = fp[i : i + n], np.flatnonzero(exact[i : i + n])
         if n <= SMALL:
-            x, y = np.nonzero(near(own[table, None], own[None, :]))
-            links.add(own[table[x]], own[y])
+            d = _distance(own[table, None], own[None, :])
+            x, y = np.nonzero(d <= radius)
+            links.add(own[table[x]], own[y], d[x, y])
+            middle = int(d.sum(axis=1).argmin())
+            links.add_centred(own[(d[middle] <= radius) & (d[middle] > 0)], own[table[middle]])
         else:
-            links.add(*_within(own, table, near))
+            links.add(*_within(own, table, radius, links))
 
 
-def _within(own: np.ndarray, table: np.ndarray, near: Callable) -> tuple[np.ndarray, np.ndarray]:
-    """Stars of many rows under one key. What is already together needs no comparison, so a tight group takes one round."""
+def _within(own: np.ndarray, table: np.ndarray, radius: int, links: _Links) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of many rows under one key, centres second. What is already together needs no comparison, so a tight group
+    takes one round.
+
+    Rows near the bitwise majority come first: among near copies of one text, that text is the one all are near.
+    """
+    bits = np.unpackbits(np.ascontiguousarray(own).view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    middle = np.packbits(2 * bits > len(own)).view(np.int64)
     label = np.arange(len(own))
-    for t in table:
+    a, b, ds = [], [], []
+    for t in table[np.argsort(_distance(own[table], middle), kind="stable")]:
         apart = np.flatnonzero(label != label[t])
         if not len(apart):
             break
-        hit = apart[near(own[t], own[apart])]
-        if len(hit):
-            label[np.isin(label, label[hit])] = label[t]
-    _, first, which = np.unique(label, return_index=True, return_inverse=True)
-    moved = np.flatnonzero(first[which] != np.arange(len(own)))
-    return own[moved], own[first[which[moved]]]
-
-
-def links(nodes: DataFrame, radius: int = 3, segments: int = 2) -> DataFrame:
-    """(node, root): stars whose closure is that of all pairs of distinct fingerprints within ``radius`` bits.
-
-    ``nodes``: fp, which is a node itself, or fp and fp2, whose structs are nodes. Rows of a key stream through a task in key order, so a task holds one key's rows at a time; a key's rows
-    are distinct fingerprints, never copies of documents.
+        d = _distance(own[t], own[apart])
+        near = d <= radius
+        if near.any():
+            apart, d = apart[near], d[near]
+            links.add_centred(own[apart], own[t])
+            order = np.lexsort((apart, d, label[apart]))
+            apart, d = apart[order], d[order]
+            first = np.r_[True, label[apart][1:] != label[apart][:-1]]
+            a.append(np.full(int(first.sum()), t))
+            b.append(apart[first])
+            ds.append(d[first])
+            label[np.isin(label, label[apart[first]])] = label[t]
+    if not a:
+        return own[:0], own[:0], np.empty(0, np.int64)
+    return own[np.concatenate(b)], own[np.concatenate(a)], np.concatenate(ds)
+
+
+def links(nodes: DataFrame, radius: int = 3, segments: int = 2, reach: int | None = None) -> DataFrame:
+    """(a, b): a minimum spanning forest of the pairs of distinct fingerprints within ``radius`` bits, by each task's keys.
+
+    ``nodes``: fp, which is a node itself, or fp and fp2, whose structs are nodes. With a ``reach`` beyond the radius, pairs up to
+    there are links if they happen to meet, and a row's links to the centres of the rows it meets are added. Rows of a key stream through a task in key order, so a task holds one key's rows at
+    a time; those are distinct fingerprints, never copies of documents, and keys of very many rows are split.
     """
     names = nodes.columns
+    most = max(radius, reach or 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, rest = _Links(len(names)), None
+        found, rest = _Links(len(names), most > radius), None
         for b in batches:
             col = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            rows = [col[0], col[1], np.stack(col[2:], axis=1)]
+            rows = [np.stack([col[0], col[-1]], axis=1), col[1], np.stack(col[2:-1], axis=1)]
             if rest is not None:
                 rows = [np.concatenate(x) for x in zip(rest, rows, strict=True)]
             if not len(rows[0]):
                 continue
-            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            last = int(np.argmax((rows[0] == rows[0][-1]).all(axis=1)))
             rest = [x[last:] for x in rows]
             if last:
-                _meet(*(x[:last] for x in rows), radius, found)
+                _meet(*(x[:last] for x in rows), most, found)
         if rest is not None and len(rest[0]):
-            _meet(*rest, radius, found)
-        a, b = found.reduce()
+            _meet(*rest, most, found)
+        a, b, _ = found.reduce()
+        more = found.centred()
+        a, b = np.concatenate([a, more[:, : len(names)]]), np.concatenate([b, more[:, len(names) :]])
         for i in range(0, len(a), BLOCK):
             cols = [pa.array(np.ascontiguousarray(x[i : i + BLOCK, k])) for x in (a, b) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays(cols, names=[f"{end}_{c}" for end in ("node", "root") for c in names])
+            yield pa.RecordBatch.from_arrays(cols, names=[f"{end}_{c}" for end in "ab" for c in names])
 
-    schema = ", ".join(f"{end}_{c} long" for end in ("node", "root") for c in names)
-    out = map_arrow(_entries(nodes, radius, segments).repartition("key").sortWithinPartitions("key"), run, schema)
+    schema = ", ".join(f"{end}_{c} long" for end in "ab" for c in names)
+    some = nodes.where(F.pmod(F.xxhash64(F.lit("some"), *names), F.lit(ONE_IN)) == 0)
+    entries = _split(_entries(nodes, radius, segments), _entries(some, radius, segments))
+    out = map_arrow(entries.repartition("key", "part").sortWithinPartitions("key", "part"), run, schema)
     node = lambda end: F.col(f"{end}_fp") if len(names) == 1 else F.struct(*[F.col(f"{end}_{c}").alias(c) for c in names])
-    return out.select(node("node").alias("node"), node("root").alias("root"))
+    return out.select(node("a").alias("a"), node("b").alias("b"))
+
+
+def _named(rows: DataFrame, key: str, nodes: DataFrame, star: DataFrame) -> DataFrame:
+    """(id, key, component) of rows: each node's component's smallest id. ``nodes``: key, id, k (rows of the node)."""
+    n_nodes = nodes.count()
+    rooted = cut(nodes.join(star, F.col(key) == F.col("node"), "left").select(key, "id", "k", F.coalesce("root", key).alias("root")))
+    least = cut(rooted.groupBy("root").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("_k")))
+    named = cut(matched(rooted, least, "root", "_k", n_nodes).select(key, "component", "k"))
+    return matched(rows, named, key, "k", rows.count())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, segments: int = 2, distinct: bool = False, seeds: tuple[int, ...] = (42,)) -> DataFrame:
@@ -225,12 +317,70 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names a component, unless all its ids are null. Repeated rows come back repeated; other columns are ignored; an empty
     table gives an empty result.
     """
-    fps = cut(fingerprints(docs, id_col, text_col, words, distinct, seeds))
+    fps = fingerprints(docs, id_col, text_col, words, distinct, seeds)
     names = fps.columns[1:]
     node = F.col("fp") if len(names) == 1 else F.struct(*names)
-    nodes = cut(fps.groupBy(*names).agg(F.min("id").alias("id")))
-    star = stars(links(nodes.select(*names), radius, segments))
-    rooted = nodes.withColumn("own", node).join(star, F.col("own") == F.col("node"), "left").select(*names, "id", F.coalesce("root", "own").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("id").alias("component"))
-    named = rooted.join(least, "root").select(*names, "component")
-    return fps.join(named, names).select("id", "fp", "component")
+    fps = cut(fps.select("id", node.alias("own")))
+    nodes = cut(fps.groupBy("own").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("k")))
+    star = stars(links(nodes.select("own" if len(names) == 1 else "own.*").toDF(*names), radius, segments))
+    out = _named(fps, "own", nodes, star)
+    return out.select("id", F.col("own").alias("fp") if len(names) == 1 else "own.*", "component")
+
+
+def shingles(text: bytes | None, words: int) -> set[bytes]:
+    """Distinct shingles of a text, A-Z lower-cased; of fewer words, the whole sequence; of none, one empty one."""
+    ws = (text or b"").lower().split()
+    if len(ws) < words:
+        return {b" ".join(ws)}
+    return {b" ".join(ws[i : i + words]) for i in range(len(ws) - words + 1)}
+
+
+def verified(edges: DataFrame, docs: DataFrame, text_col: str, words: int, least: float) -> DataFrame:
+    """The stored edges (a, b), by texts' 64-bit hashes, whose texts' sets of shingles have a Jaccard similarity of ``least`` or more.
+
+    Only texts at an edge's end are kept. A centre, which is ``b`` in its edges, has its text repeated for each ``each`` of
+    them, so that not all of their texts gather in one task.
+    """
+    each = 1024
+    total = edges.count()
+    degree = cut(edges.groupBy("b").agg(F.count(F.lit(1)).alias("k")).withColumn("salts", F.ceil(F.col("k") / each).cast("long")))
+    need = cut(edges.select(F.col("a").alias("h"), F.lit(0).cast("long").alias("salts")).union(degree.select("b", "salts")).groupBy("h").agg(F.max("salts").alias("salts")))
+    texts = docs.select(F.xxhash64(text_col).alias("h_"), F.col(text_col).cast("binary").alias("t"))
+    texts = stored(texts.join(need, F.col("h_") == F.col("h")).groupBy("h", "salts").agg(F.first("t").alias("t")), "texts")
+    two = texts.where("salts > 0").select(F.col("h").alias("b"), F.col("t").alias("two"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    dealt = matched(edges, degree, "b", "k", total).select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"))
+    salted = dealt.join(texts.select(F.col("h").alias("a"), F.col("t").alias("one")), "a")
+    met = salted.join(two, ["b", "salt"]).select("a", "b", "one", "two")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for one, two in zip(b.column(2), b.column(3), strict=True):
+                x, y = shingles(one.as_py(), words), shingles(two.as_py(), words)
+                both = len(x & y)
+                keep.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return map_arrow(met, run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int = 11, segments: int = 4, reach: int = 20, seeds: tuple[int, ...] = (42, 43)) -> DataFrame:
+    """One row per input row: (id, component), component being the smallest id reachable over texts alike by ``least``.
+
+    Candidates are the links of 128-bit fingerprints of distinct words, complete up to ``radius`` bits and taken up to
+    ``reach``; a link counts if the Jaccard similarity of the texts' sets of ``words``-word shingles is ``least`` or more. Of
+    links that close a ring only the closer ones and those to a centre are candidates. Equal texts are one node; null texts, and texts without a
+    word, are alike. A null id takes part but never names a component, unless all its ids are null. Repeated rows come back
+    repeated; other columns are ignored; an empty table gives an empty result.
+    """
+    source = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).alias("row"), F.col(text_col).alias("t"))
+    prints = cut(fingerprints(source, "row", "t", 1, True, seeds).select(F.col("id.id").alias("id"), F.col("id.h").alias("h"), F.struct("fp", "fp2").alias("own")))
+    nodes = cut(prints.groupBy("h").agg(F.min("id").alias("id"), F.first("own").alias("own"), F.count(F.lit(1)).alias("k")))
+    classes = cut(nodes.groupBy("own").agg(F.min("h").alias("first"), F.count(F.lit(1)).alias("size")))
+    n = nodes.count()
+    found = cut(links(classes.select("own.*"), radius, segments, reach).distinct())
+    centres = cut(found.groupBy("b").agg(F.count(F.lit(1)).alias("size")).join(classes.select(F.col("own").alias("b"), F.col("first").alias("to")), "b"))
+    between = matched(found, centres, "b", "size", found.count()).join(classes.select(F.col("own").alias("a"), "first"), "a").select(F.col("first").alias("a"), F.col("to").alias("b"))
+    inside = matched(nodes.select("h", "own"), classes, "own", "size", n).where("h <> first").select(F.col("h").alias("a"), F.col("first").alias("b"))
+    star = stars(verified(cut(between.union(inside)), docs, text_col, words, least))
+    return _named(prints.select("id", "h"), "h", nodes.select("h", "id", "k"), star).select("id", "component")

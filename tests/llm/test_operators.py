@@ -496,8 +496,9 @@ def test_fingerprints():
     assert [simhash.fingerprint(None if t is None else t.encode()) for t in texts] == [plain_fingerprint(t) for t in texts]
 
 
-@pytest.mark.parametrize(("radius", "segments", "halves"), [(3, 2, 1), (5, 3, 1), (2, 3, 1), (10, 6, 2), (9, 6, 2)])
-def test_links_equal_all_pairs(spark, radius, segments, halves):
+@pytest.mark.parametrize(("radius", "segments", "halves", "part"), [(3, 2, 1, 1 << 16), (5, 3, 1, 1 << 16), (2, 3, 1, 1 << 16), (10, 6, 2, 1 << 16), (11, 4, 2, 1 << 16), (9, 4, 2, 64)])
+def test_links_equal_all_pairs(spark, radius, segments, halves, part, monkeypatch):
+    monkeypatch.setattr(simhash, "PART", part)
     rng = random.Random(radius)
     fps = {tuple(rng.getrandbits(64) for _ in range(halves)) for _ in range(150)}
     for f in list(fps) * 2:  # neighbours at every distance about the radius, and clusters
@@ -505,6 +506,12 @@ def test_links_equal_all_pairs(spark, radius, segments, halves):
         for b in rng.sample(range(64 * halves), rng.randrange(1, radius + 3)):
             g[b // 64] ^= 1 << b % 64
         fps.add(tuple(g))
+    base = [rng.getrandbits(64) for _ in range(halves)]
+    for _ in range(300 if part < 1000 else 40):  # many under the same keys
+        g = list(base)
+        for b in rng.sample(range(24), rng.randrange(8)):
+            g[0] ^= 1 << b
+        fps.add(tuple(g))
     fps = sorted(fps)
     signed = [tuple(x - (1 << 64) if x >> 63 else x for x in f) for f in fps]
     df = spark.createDataFrame(signed, ", ".join(f"{c} long" for c in ("fp", "fp2")[:halves]))
@@ -528,6 +535,47 @@ def test_near_duplicates(odd, none, spark):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_similar_groups_equal_all_pairs(spark, odd, none):
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(rng.randrange(2, 9)))
+    texts = [[word() for _ in range(rng.randrange(150, 400))] for _ in range(40)]
+    for t in list(texts):
+        for _ in range(rng.randrange(1, 5)):
+            new = list(t)
+            for _ in range(rng.randrange(1, max(2, len(t) // 30))):
+                new[rng.randrange(len(t))] = word()
+            texts.append(new)
+    hub = [word() for _ in range(200)]
+    for _ in range(60):  # near copies of one text, not all near each other
+        new = list(hub)
+        for _ in range(4):
+            new[rng.randrange(200)] = word()
+        texts.append(new)
+    texts += [hub, texts[0], texts[0][::-1], []]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [simhash.shingles(t.encode(), 5) for _, t in rows]
+    parent = list(range(len(rows)))
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in rows:
+        for a, b in pairs:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    got = {r["id"]: r["component"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    together = lambda of: [of[a] == of[b] for a, b in pairs]
+    assert all(together(parent)) and sum(together(got)) >= 0.97 * len(pairs), (sum(together(got)), len(pairs))
+    assert all(parent[i] == parent[c] for i, c in got.items())  # nothing joined that isn't alike
+    out = simhash.similar_groups(odd).collect()
+    assert len(out) == len(ROWS) and {r["component"] for r in out if r["id"] in (1, 2)} == {1}
+    assert {r["component"] for r in out if r["id"] in (5, 6, 7)} == {5}
+    assert simhash.similar_groups(none).count() == 0
+
+
+def test_hot_keys_get_their_values(spark):
+    rows = spark.createDataFrame([(1, i) for i in range(5000)] + [(i, 0) for i in range(2, 3000)], "key long, x long")
+    values = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("value", F.col("key") * 2)
+    got = components.matched(rows, values, "key", "n", rows.count())
+    assert got.columns == ["key", "x", "value"] and got.count() == rows.count() and got.where("value <> key * 2").count() == 0
+
+
 def test_long_chains_have_one_root(spark):
     rows = [(i, i + 1) for i in range(200)] + [(1000, 1001), (7, 7)]
     got = {r["node"]: r["root"] for r in components.stars(spark.createDataFrame(rows, "a long, b long")).collect()}
