@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm.components import HOT
 from graphloom.session import map_arrow, stored
 
 #: One random 64-bit number a byte value, from a fixed seed.
@@ -179,10 +180,10 @@ def open_windows(start: np.ndarray, end: np.ndarray, size: int, at: int, low: in
     return mask
 
 
-RUN = "id {k}, v int, at long, own binary, begins boolean, core int, size int, first_id {k}, fv int, first_at long, digests array<long>, ats array<int>, lows array<int>, highs array<int>"
+RUN = "id {k}, v int, at long, own binary, begins boolean, core int, size int, first_id {k}, fv int, first_at long, digests array<long>, ats array<int>, lows array<int>, highs array<int>, numbers array<long>"
 PASSAGE = "id {k}, start long, end long, words long, first_id {k}, first_start long"
 _ROW = {"v": pa.int32(), "at": pa.int64(), "own": pa.binary(), "begins": pa.bool_(), "core": pa.int32(), "size": pa.int32(), "fv": pa.int32(), "first_at": pa.int64()}
-_ROW |= {"digests": pa.list_(pa.int64()), "ats": pa.list_(pa.int32()), "masks": pa.list_(pa.int32()), "lows": pa.list_(pa.int32()), "highs": pa.list_(pa.int32())}
+_ROW |= {"digests": pa.list_(pa.int64()), "ats": pa.list_(pa.int32()), "masks": pa.list_(pa.int32()), "numbers": pa.list_(pa.int64()), "lows": pa.list_(pa.int32()), "highs": pa.list_(pa.int32())}
 _ROW |= {"start": pa.int64(), "end": pa.int64(), "words": pa.int64(), "first_start": pa.int64(), "place": pa.int64(), "word": pa.int64(), "d1": pa.int64(), "d2": pa.int64()}
 
 
@@ -207,7 +208,7 @@ def _runs(found: DataFrame, texts: DataFrame, kind: str, span: int, reach: int)
     ``digests`` are those of more than two occurrences, with the bytes that the windows about them reach.
     """
     links = found.where(~F.col("id").eqNullSafe(F.col("first_id")))
-    link = F.struct(_offset("place").alias("s"), "first_id", _text_of("first_place").alias("fv"), _offset("first_place").alias("fs"), F.when(F.col("n") > 2, F.col("digest")).alias("g"))
+    link = F.struct(_offset("place").alias("s"), "first_id", _text_of("first_place").alias("fv"), _offset("first_place").alias("fs"), F.when(F.col("n") > 2, F.col("digest")).alias("g"), "n")
     schema = RUN.format(k=kind)
     names = _names(schema)
 
@@ -222,7 +223,7 @@ def _runs(found: DataFrame, texts: DataFrame, kind: str, span: int, reach: int)
                 together: dict[tuple, list] = {}
                 for x, w in zip(found_, at.tolist(), strict=True):
                     if start[w] == x["s"] and w + span <= len(start):  # else another text with this id and checksum
-                        together.setdefault((x["first_id"], x["fv"], x["s"] - x["fs"]), []).append((w, x["g"]))
+                        together.setdefault((x["first_id"], x["fv"], x["s"] - x["fs"]), []).append((w, x["g"], x["n"]))
                 for (first_id, fv, shift), all_ in together.items():
                     all_.sort(key=lambda x: x[0])
                     a = 0
@@ -234,8 +235,8 @@ def _runs(found: DataFrame, texts: DataFrame, kind: str, span: int, reach: int)
                         core, core_end = int(start[w]), int(end[last])
                         low = max(int(start[max(w - reach, 0)]) - 1, 0, shift)
                         high = min(int(end[min(last + reach, len(end) - 1)]) + 1, len(text))
-                        g = [(g, int(start[x]) - low, int(start[max(x - reach + 1, 0)]) - low, int(end[min(x + span + reach - 2, len(end) - 1)]) - low) for x, g in all_[a:z] if g is not None]
-                        out.append((i, v, low, text[low:high], low == 0 or bool(_SPACE[b[low - 1]]), core - low, core_end - core, first_id, fv, low - shift, *([x[c] for x in g] for c in range(4))))
+                        g = [(g, int(start[x]) - low, int(start[max(x - reach + 1, 0)]) - low, int(end[min(x + span + reach - 2, len(end) - 1)]) - low, n) for x, g, n in all_[a:z] if g is not None]
+                        out.append((i, v, low, text[low:high], low == 0 or bool(_SPACE[b[low - 1]]), core - low, core_end - core, first_id, fv, low - shift, *([x[c] for x in g] for c in range(5))))
                         held += high - low
                         a = z
                         if held > BLOCK:
@@ -253,7 +254,7 @@ def _compared(runs: DataFrame, texts: DataFrame, kind: str, min_words: int, span
     other = F.substring("t", (F.col("first_at") + 1).cast("int"), F.length("own"))
     # the texts are joined as in the step before, under the same names, so that one exchange serves both
     met = runs.drop("v").join(texts, F.col("first_id").eqNullSafe(F.col("d")) & (F.col("fv") == F.col("v"))).select(*cols, other.alias("other"), F.when(F.col("first_at") > 0, before).alias("before"))
-    schema = PASSAGE.format(k=kind) + ", digests array<long>, masks array<int>"
+    schema = PASSAGE.format(k=kind) + ", digests array<long>, masks array<int>, numbers array<long>"
     names = _names(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,10 +267,10 @@ def _compared(runs: DataFrame, texts: DataFrame, kind: str, min_words: int, span
                 equal = equal_words(own, col["other"][k], col["core"][k], col["size"][k], col["begins"][k], begins, start, end)
                 words = equal[1] - equal[0]
                 masks = [open_windows(start, end, len(own), *x, equal, min_words, min_words - span + 1) for x in zip(col["ats"][k], col["lows"][k], col["highs"][k], strict=True)]
-                open_ = [(g, m) for g, m in zip(col["digests"][k], masks, strict=True) if m]
+                open_ = [x for x in zip(col["digests"][k], masks, col["numbers"][k], strict=True) if x[1]]
                 if words >= min_words or open_:
                     s, e = (int(start[equal[0]]), int(end[equal[1] - 1])) if words else (0, 0)
-                    out.append((col["id"][k], col["at"][k] + s, col["at"][k] + e, words, col["first_id"][k], col["first_at"][k] + s, [g for g, _ in open_], [m for _, m in open_]))
+                    out.append((col["id"][k], col["at"][k] + s, col["at"][k] + e, words, col["first_id"][k], col["first_at"][k] + s, *([x[c] for x in open_] for c in range(3))))
             yield _batch(out, names, batch.column(0).type)
 
     return map_arrow(met, run, schema)
@@ -277,7 +278,9 @@ def _compared(runs: DataFrame, texts: DataFrame, kind: str, min_words: int, span
 
 def _by_windows(found: DataFrame, open_: DataFrame, texts: DataFrame, kind: str, min_words: int, reach: int) -> DataFrame:
     """Passages by the digests of windows of ``min_words`` words: of those asked for, at all occurrences of their chunks."""
-    hits = found.join(open_, "digest")
+    hot = F.col("n") * HOT > found.count()  # fewer than HOT digests, so what is asked of them is broadcast
+    asked = lambda of: open_.where(of).drop("n")
+    hits = found.where(hot).join(F.broadcast(asked(hot)), "digest").union(found.where(~hot).join(asked(~hot), "digest"))
     schema = f"id {kind}, place long, word long, d1 long, d2 long"
     names = _names(schema)
 
@@ -329,7 +332,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     compared = stored(_compared(_runs(found, texts, kind, span, reach), texts, kind, min_words, span), "compared")
     names = _names(PASSAGE.format(k=kind))
     certain = compared.where(F.col("words") >= min_words).select(*names)
-    open_ = compared.select(F.explode(F.arrays_zip("digests", "masks")).alias("x")).groupBy(F.col("x.digests").alias("digest")).agg(F.bit_or("x.masks").alias("mask"))
+    open_ = compared.select(F.explode(F.arrays_zip("digests", "masks", "numbers")).alias("x")).groupBy(F.col("x.digests").alias("digest"))
+    open_ = stored(open_.agg(F.bit_or("x.masks").alias("mask"), F.max("x.numbers").alias("n")), "open")
     rest = _by_windows(found, open_, texts, kind, min_words, reach)
     return certain.union(rest.select(*names)).dropDuplicates(["id", "start", "end", "first_id", "first_start"])
 
