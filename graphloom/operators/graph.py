@@ -96,7 +96,8 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int = 2, max_nodes: int = 500
         first = reached.groupBy("query_id", F.col("b").alias("node")).agg(F.min(F.struct("parent", "dir", "ord", "w")).alias("first"))
         fresh = first.join(visited.select("query_id", "node"), ["query_id", "node"], "left_anti")
         order = F.row_number().over(Window.partitionBy("query_id").orderBy("first", "node"))
-        fresh = fresh.withColumn("rn", order).join(have, "query_id").withColumn("seq", F.col("have") + F.col("rn") - 1).where("seq < cap")
+        # no query takes more than max_nodes at a level, a limit that the sort by groups knows beforehand
+        fresh = fresh.withColumn("rn", order).where(F.col("rn") <= max(max_nodes, 1)).join(have, "query_id").withColumn("seq", F.col("have") + F.col("rn") - 1).where("seq < cap")
         frontier = fresh.select("query_id", "node", F.lit(hop).alias("hop"), F.col("first.w").alias("path_weight"), "seq")
         if depth > SHALLOW:
             frontier = cut(frontier)

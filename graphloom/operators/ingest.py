@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.errors import GraphloomError
-from graphloom.functions.vectors import cosine
-from graphloom.operators.search import topk
+from graphloom.operators.search import similar_pairs, topk, topk_by
+from graphloom.session import cut
 from graphloom.sources.exchange import numbered
 
 #: Base hits that are looked at before threshold and type are.
@@ -52,9 +52,13 @@ def resolve(new: DataFrame, base: DataFrame, delta: DataFrame | None = None, cfg
 
     found = best(topk(base, queries, NEAREST), base, "base")
     if delta is not None:
-        pairs = delta.where("embedding is not null").select("id", "node_type", F.col("embedding").alias("e")).join(asked.select("pos", "type", "embedding"), _same_type(cfg))
-        near = pairs.withColumn("sim", cosine("embedding", "e")).where(F.col("sim") >= cfg.threshold)
-        near = near.groupBy("pos").agg(F.max_by(F.struct("id", "sim"), F.struct("sim", -F.col("id"))).alias("b")).select("pos", "b.id", "b.sim", F.lit("delta").alias("layer"))
+        known = delta.where("embedding is not null")
+        if cfg.match_type:  # the best of each type, so that a nearer node of another type hides none
+            kinds = queries.join(types.select(F.col("pos").alias("query_id"), F.lower("type").alias("kind")), "query_id")
+            hits = topk_by(known.select("id", F.lower("node_type").alias("kind"), "embedding"), kinds, "kind")
+        else:
+            hits = topk(known, queries, 1)
+        near = best(hits, delta, "delta")
         found = found.unionByName(near.join(found.select("pos"), "pos", "left_anti"))
     return asked.select("pos").join(found, "pos", "left").select("pos", F.col("id").alias("resolved_id"), "sim", "layer")
 
@@ -62,27 +66,29 @@ def resolve(new: DataFrame, base: DataFrame, delta: DataFrame | None = None, cfg
 def resolve_in_batch(new: DataFrame, cfg: Resolution = Resolution()) -> DataFrame:
     """(pos, leader_pos): the first entity of the batch, itself not resolved to another, that each one equals; else itself.
 
-    Decisions depend on those before, so one row folds over the positions that have an earlier similar one: a request's
-    entities, whose number is limited, and of those only the similar pairs.
+    Only similar pairs leave the blocks in which entities meet. Whether an entity leads depends on those before it, so
+    decisions are taken in rounds: those with no similar earlier leader left undecided lead, and those similar to a leader
+    whose other earlier ones before it are decided follow it. A round is two joins; there are as many as the longest chain of
+    dependent decisions.
     """
     n = new.select(F.col("pos").cast("long").alias("pos"), "type", "embedding")
     if cfg.mode == "none":
         return n.select("pos", F.col("pos").alias("leader_pos"))
-    near = topk(n.withColumnRenamed("pos", "id"), n.select(F.col("pos").alias("query_id"), F.col("embedding").alias("vector")), k=1 << 30)
-    near = near.where((F.col("sim") >= cfg.threshold) & (F.col("id") < F.col("query_id"))).select(F.col("query_id").alias("pos"), F.col("id").alias("earlier"))
-    if cfg.match_type:
-        kinds = n.select("pos", F.lower("type").alias("k"))
-        near = near.join(kinds, "pos").join(kinds.select(F.col("pos").alias("earlier"), F.col("k").alias("k2")), "earlier").where("k = k2")
-    near = near.groupBy("pos").agg(F.sort_array(F.collect_list("earlier")).alias("nb"))
-    # a position follows if one of its earlier similar ones does not; the first such one leads it
-    led = near.join(F.broadcast(near.agg(_followers().alias("followers"))))
-    led = led.select("pos", F.array_min(F.array_except("nb", "followers")).alias("leader"))
-    return n.select("pos").join(led, "pos", "left").select("pos", F.coalesce("leader", "pos").alias("leader_pos"))
-
-
-def _followers() -> Column:
-    """The positions that follow another, folded over all positions with earlier similar ones in order."""
-    return F.expr("aggregate(array_sort(collect_list(struct(pos, nb))), CAST(array() AS array<bigint>), (acc, x) -> IF(size(array_except(x.nb, acc)) > 0, concat(acc, array(x.pos)), acc))")
+    typed = n.where("type is not null") if cfg.match_type else n  # an unknown type equals none
+    near = similar_pairs(typed.withColumn("kind", F.lower("type")), cfg.threshold, "kind" if cfg.match_type else None, "pos")
+    open_ = cut(near.select(F.col("id").alias("pos"), "earlier"))
+    # all without an earlier similar one lead; only the others are in question
+    asked = cut(open_.select("pos").distinct())
+    leads = open_.select(F.col("earlier").alias("e")).distinct().join(asked, F.col("e") == F.col("pos"), "left_anti").select(F.col("e").alias("pos"), F.lit(True).alias("leads"))
+    decided = cut(leads.withColumn("leader", F.col("pos")))
+    while asked.limit(1).count():
+        state = open_.join(asked, "pos", "left_semi").join(decided.select(F.col("pos").alias("earlier"), "leads"), "earlier", "left")
+        seen = state.groupBy("pos").agg(F.min(F.when(F.col("leads"), F.col("earlier"))).alias("leader"), F.min(F.when(F.col("leads").isNull(), F.col("earlier"))).alias("unsure"))
+        # a leader settles it once no undecided one stands before it; without either, the entity leads itself
+        settled = seen.where("unsure is null or leader < unsure").select("pos", F.col("leader").isNull().alias("leads"), F.coalesce("leader", "pos").alias("leader"))
+        decided = cut(decided.union(settled.select("pos", "leads", "leader")))
+        asked = cut(asked.join(decided.select("pos"), "pos", "left_anti"))
+    return n.select("pos").join(decided.select("pos", "leader"), "pos", "left").select("pos", F.coalesce("leader", "pos").alias("leader_pos"))
 
 
 def allocate_ids(df: DataFrame, instance: int, base_count: int, order: list[str]) -> DataFrame:

@@ -93,6 +93,20 @@ def extract(df: DataFrame, id_col: str, text_col: str, extractor: Callable[[str]
     return found.withColumn("relations", known_relations(F.col("entities"), F.col("relations")))
 
 
+REPLY = "entities array<struct<id: string, name: string, type: string, full_context: string, props: string>>, relations array<struct<`from`: string, `to`: string, type: string, weight: double, full_context: string>>"
+
+
+def parse_extract(raw: Column) -> Column:
+    """struct(entities, relations) of an extracting model's reply: fences stripped, absent lists empty, relations to unknown
+    ids dropped; null for a reply that isn't a JSON object."""
+    text = trimmed(strip_fence(raw))
+    got = F.from_json(text, REPLY + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    entities = F.coalesce(got["entities"], F.array().cast("array<struct<id: string, name: string, type: string, full_context: string, props: string>>"))
+    relations = F.coalesce(got["relations"], F.array().cast("array<struct<`from`: string, `to`: string, type: string, weight: double, full_context: string>>"))
+    good = got["_bad"].isNull() & text.startswith("{")
+    return F.when(good, F.struct(entities.alias("entities"), known_relations(entities, relations).alias("relations")))
+
+
 def known_relations(entities: Column, relations: Column) -> Column:
     """The relations both of whose ends are ids of entities."""
     ids = F.transform(entities, lambda e: e["id"])
@@ -112,9 +126,42 @@ ANSWER_INSTRUCTIONS = (
 LAST_ITERATION = "\n⚠️  This is the LAST iteration — you MUST set done=true and give your best answer."
 MOST_FOLLOW_UPS = 5
 
+#: What a model is told to reply with; the keys are those that replies are read by.
+REASON_SYSTEM = (
+    "You answer questions over a part of a knowledge graph, and say whether that part suffices.\n"
+    "Reply with one JSON object and nothing else:\n"
+    '{"answer": "<the answer, or what is missing>", "follow_ups": ["<entity name>"], "done": <true or false>}\n'
+    "Set done to true with no follow_ups if you can answer now. Otherwise set it to false and name the entities to look at\n"
+    f"next, {MOST_FOLLOW_UPS} at most, exactly as they are called, and only if they would change the answer. In the last iteration done is true."
+)
+EXTRACT_SYSTEM = (
+    "You extract entities and the relations between them from a text.\n"
+    "Reply with one JSON object and nothing else:\n"
+    '{"entities": [{"id": "<own id>", "name": "", "type": "", "full_context": "<one sentence>", "props": {}}],\n'
+    ' "relations": [{"from": "<entity id>", "to": "<entity id>", "type": "", "weight": <0 to 1>, "full_context": "<one sentence>"}]}\n'
+    "Both ends of a relation are ids of entities in the reply. Without any, reply with empty arrays."
+)
+
+
+def system_prompt(builtin: str, hints: Hints = Hints()) -> str:
+    """The caller's system prompt, if there is one; else the built-in one with the caller's rules."""
+    if hints.system_prompt:
+        return hints.system_prompt
+    return builtin + ("\n\nAdditional rules:\n" + "\n".join(f"- {r}" for r in hints.rules) if hints.rules else "")
+
+
+def shown_props(props: Column) -> Column:
+    """`` | key: value, ...`` of a JSON object, in its order, less values that are null, false, zero or empty; an empty string
+    for an empty object or none. Values show as JSON has them, but true as True and strings without quotes."""
+    held = F.from_json(props, "map<string,string>")
+    value = lambda e: F.coalesce(e["value"], F.lit(""))
+    some = F.filter(F.map_entries(held), lambda e: ~value(e).rlike(r"^(|false|\[\]|\{\}|-?0+(\.0*)?([eE][-+]?[0-9]+)?)$"))
+    each = F.transform(some, lambda e: F.concat(e["key"], F.lit(": "), F.when(value(e) == "true", "True").otherwise(value(e))))
+    return F.when(F.size(held) > 0, F.concat(F.lit(" | "), F.array_join(each, ", "))).otherwise("")
+
 
 def _sections(hints: Hints) -> Column:
-    entity = F.transform("nodes", lambda n: F.concat(F.lit("- ["), n["node_type"], F.lit("] "), n["name"], F.lit(" (relevance: "), F.format_string("%.2f", n["score"]), F.lit(")"), F.when(n["full_context"] != "", F.concat(F.lit(" — "), n["full_context"])).otherwise("")))
+    entity = F.transform("nodes", lambda n: F.concat(F.lit("- ["), n["node_type"], F.lit("] "), n["name"], F.lit(" (relevance: "), F.format_string("%.2f", n["score"]), F.lit(")"), shown_props(n["props"]), F.when(n["full_context"] != "", F.concat(F.lit(" — "), n["full_context"])).otherwise("")))
     relation = F.transform("edges", lambda e: F.concat(F.lit("- "), e["from_name"], F.when(e["edge_type"] != "", F.concat(F.lit(" ["), e["edge_type"], F.lit("]"))).otherwise(""), F.lit("→ "), e["to_name"], F.lit(" (strength: "), F.format_string("%.2f", e["weight"]), F.lit(")")))
     relations = F.when(F.size("edges") > 0, F.concat(F.lit("\nRelationships:\n"), F.array_join(relation, "\n"))).otherwise("")
     extra = "\nAdditional context:\n" + "\n".join(f"- {c}" for c in hints.extend_context) if hints.extend_context else ""
@@ -123,8 +170,9 @@ def _sections(hints: Hints) -> Column:
 
 def prompt_rows(context: DataFrame, edges: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, query, nodes, edges): each query's ranked context and its named edges as arrays, bounded by top_n."""
-    known = nodes.select(F.col("id").alias("node"), "name", "node_type", F.coalesce("full_context", F.lit("")).alias("full_context"))
-    n = context.join(known, "node").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "name", "node_type", "score", "full_context"))).alias("nodes"))
+    props = F.col("props") if "props" in nodes.columns else F.lit(None).cast("string")
+    known = nodes.select(F.col("id").alias("node"), "name", "node_type", F.coalesce("full_context", F.lit("")).alias("full_context"), props.alias("props"))
+    n = context.join(known, "node").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "name", "node_type", "score", "full_context", "props"))).alias("nodes"))
     e = edges.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("src", "dst", "from_name", "to_name", "edge_type", "weight"))).alias("edges"))
     rows = queries.select("query_id", "query").join(n, "query_id", "left").join(e, "query_id", "left")
     kinds = {f.name: f.dataType for f in rows.schema}

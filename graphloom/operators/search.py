@@ -19,6 +19,8 @@ from graphloom.session import map_arrow, ship
 FEW_QUERIES = 4096
 #: Queries and vectors of a block.
 BLOCK_QUERIES, BLOCK_ROWS = 4096, 65536
+#: Similarities that are held at once.
+CELLS = 1 << 22
 
 
 def _matrix(v: pa.Array, dim: int) -> np.ndarray:
@@ -38,6 +40,9 @@ def _dense(v: pa.Array, dim: int) -> np.ndarray:
 
 
 def _first_k(qids: list, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> pd.DataFrame:
+    step = max(k, CELLS // max(1, len(q)))
+    if len(v) > step:  # slice by slice, each with its k best
+        return pd.concat([_first_k(qids, q, ids[a : a + step], v[a : a + step], k) for a in range(0, len(v), step)], ignore_index=True)
     s = q @ v.T
     n = min(k, s.shape[1])
     if n and n < s.shape[1]:
@@ -93,6 +98,70 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "id"
     return _ranked(left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(meet, schema), k)
 
 
+def topk_by(vectors: DataFrame, queries: DataFrame, group: str, k: int = 1, block: int = BLOCK_QUERIES) -> DataFrame:
+    """(query_id, id, sim, rank): the exact k most similar rows of each query's own group, equal ones by id.
+
+    ``vectors``: id, embedding and the group; ``queries``: query_id, vector and the group. Both are dealt to blocks of a bounded
+    number in a group; each block of one meets each of the other as one task's work.
+    """
+    ship(vectors.sparkSession)
+    v = vectors.select(F.col("id").cast("long").alias("id"), as_double("embedding").alias("v"), F.col(group).alias("g")).where("v is not null and g is not null")
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), as_double("vector").alias("q"), F.col(group).alias("g")).where("q is not null and g is not null")
+    count = lambda df, name: df.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).alias(name))
+    parts = count(v, "down").join(count(q, "across"), "g")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = v.join(parts, "g").withColumn("y", F.pmod(F.xxhash64("id"), F.col("down"))).withColumn("x", every("across")).select("g", "x", "y", "id", "v")
+    right = q.join(parts, "g").withColumn("x", F.pmod(F.xxhash64("query_id"), F.col("across"))).withColumn("y", every("down")).select("g", "x", "y", "query_id", "q")
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
+        dim = max(map(len, b["q"]))
+        mat = lambda s: _matrix(pa.array([list(x) for x in s], pa.list_(pa.float64())), dim)
+        return _first_k(b["query_id"].tolist(), mat(b["q"]), a["id"].to_numpy(), mat(a["v"]), k)
+
+    return _ranked(left.groupBy("g", "x", "y").cogroup(right.groupBy("g", "x", "y")).applyInPandas(meet, "query_id long, id long, sim double"), k)
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, group: str | None = None, id_col: str = "id", vec_col: str = "embedding", block: int = BLOCK_QUERIES) -> DataFrame:
+    """(id, earlier, sim): pairs of rows, the one with the smaller id second, that are similar by ``threshold`` or more.
+
+    With a ``group`` column only rows of one group meet; nulls are a group. Rows are dealt to blocks of a bounded number in a
+    group, and each pair of blocks is one task's work, in which the threshold and the order are applied: nothing but the pairs
+    asked for leaves it. Null vectors take no part.
+    """
+    ship(vectors.sparkSession)
+    key = F.col(group).cast("string") if group else F.lit(None).cast("string")
+    v = vectors.select(F.col(id_col).cast("long").alias("id"), as_double(vec_col).alias("v"), key.alias("g")).where("v is not null")
+    parts = v.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts")).select(F.col("g").alias("g_"), "parts")
+    v = v.join(parts, F.col("g").eqNullSafe(F.col("g_"))).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    left = v.withColumn("y", F.explode(F.sequence(F.col("part"), F.col("parts") - 1))).withColumn("x", F.col("part"))
+    right = v.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("part")))).withColumn("y", F.col("part"))
+    own = [F.col(c).alias(c) for c in ("g", "x", "y", "id", "v")]
+    left, right = left.select(*own), right.select(*own).toDF("g_r", "x_r", "y_r", "id", "v")
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"id": np.empty(0, np.int64), "earlier": np.empty(0, np.int64), "sim": np.empty(0)})]
+        if len(a) and len(b):
+            dim = max(map(len, b["v"]))
+            m, n = (_matrix(pa.array([list(r) for r in x["v"]], pa.list_(pa.float64())), dim) for x in (a, b))
+            ids, others = a["id"].to_numpy(), b["id"].to_numpy()
+            step = max(1, CELLS // len(n))
+            for at in range(0, len(m), step):
+                s = m[at : at + step] @ n.T
+                apart = ids[at : at + step, None] != others[None, :]
+                if a["x"].iat[0] == a["y"].iat[0]:
+                    apart &= ids[at : at + step, None] > others[None, :]
+                i, j = np.nonzero((s >= threshold - 1e-12) & apart)
+                sim = np.einsum("ij,ij->i", m[at + i], n[j])
+                keep = sim >= threshold
+                i, j = ids[at + i[keep]], others[j[keep]]
+                out.append(pd.DataFrame({"id": np.maximum(i, j), "earlier": np.minimum(i, j), "sim": sim[keep]}))
+        return pd.concat(out, ignore_index=True)
+
+    return left.groupBy("g", "x", "y").cogroup(right.groupBy("g_r", "x_r", "y_r")).applyInPandas(meet, "id long, earlier long, sim double")
+
+
 def edge_topk(edges: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, src, dst, dist, rank) of the edges whose embeddings are nearest; edges without one take no part."""
     found = topk(edges, queries, k, id_col="edge_id")

@@ -95,11 +95,15 @@ def export_edges(spark: SparkSession, d: str) -> DataFrame:
     return exchange.export_edges(*split_graph(spark, d)).select("from", "to", "edge_type", r6("weight").alias("weight"))
 
 
-@query(f"""WITH {VECTOR_SQL} SELECT 0 AS section, '{{"type":"meta","version":"1","exported_at":"2024-01-01T00:00:00Z","nodes":' || (SELECT count(*) FROM nodes) || ',"edges":' || (SELECT count(*) FROM edges) || '}}' AS value
+@query(f"""WITH {VECTOR_SQL} SELECT 0 AS section, '{{"type":"meta","version":"1","exported_at":"2024-01-01T00:00:00Z","nodes":' || (SELECT count(*) FROM nodes) || ',"edges":' || (SELECT count(*) FROM edges) || '}}' AS value, NULL::DOUBLE AS weight
     UNION ALL SELECT 1, '{{"type":"node","name":"' || name || '","node_type":"' || node_type || '","props":"{{\\"label\\": ' || label || '}}","full_context":"' || full_context || '"'
-      || coalesce(',"embed_context":"' || embed_context || '"', '') || coalesce(',"image_url":"' || image_url || '"', '') || '}}' FROM nodes JOIN emb USING (id)""")
+      || coalesce(',"embed_context":"' || embed_context || '"', '') || coalesce(',"image_url":"' || image_url || '"', '') || '}}', NULL FROM nodes JOIN emb USING (id)
+    UNION ALL SELECT 2, '{{"type":"edge","from":"vec_' || src || '","to":"vec_' || dst || '","edge_type":"' || edge_type || '","weight":?}}', round(weight, 6) FROM edges""")
 def ndjson_lines(spark: SparkSession, d: str) -> DataFrame:
-    return exchange.ndjson(vector_graph(spark, d), exported_at="2024-01-01T00:00:00Z").where("section < 2")
+    """All lines; an edge's weight, whose last digits depend on the order of sums, stands beside its line."""
+    lines = exchange.ndjson(vector_graph(spark, d), exported_at="2024-01-01T00:00:00Z")
+    weight = F.get_json_object("value", "$.weight").cast("double")
+    return lines.select("section", F.regexp_replace("value", '"weight":[-0-9.E]+', '"weight":?').alias("value"), r6(weight).alias("weight"))
 
 
 @query(f"""{BOTH} SELECT (SELECT count(*) FROM delta_nodes) AS imported_nodes, (SELECT count(*) FROM edges) AS imported_edges, 1 AS skipped_edges""")

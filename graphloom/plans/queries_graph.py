@@ -93,10 +93,10 @@ def bfs_multi_seed(spark: SparkSession, d: str) -> DataFrame:
     return _shown(g.bfs(v.edges, seeds, 2, 10))
 
 
-@query(f"WITH {VECTOR_SQL}, seeds AS (SELECT id // 60 AS query_id, id AS node, id AS ord FROM emb WHERE id < 480 AND id % 20 = 0), {bfs_sql('edges', 'seeds', 2, 60)} {TRAVERSED}")
+@query(f"WITH {VECTOR_SQL}, seeds AS (SELECT id // 60 AS query_id, id AS node, id AS ord FROM emb WHERE id % 20 = 0), {bfs_sql('edges', 'seeds', 2, 60)} {TRAVERSED}")
 def bfs_batched(spark: SparkSession, d: str) -> DataFrame:
     v = vector_graph(spark, d)
-    seeds = v.nodes.where("id < 480 and id % 20 = 0").select(F.floor(F.col("id") / 60).alias("query_id"), F.col("id").alias("node"), F.col("id").alias("ord"))
+    seeds = v.nodes.where("id % 20 = 0").select(F.floor(F.col("id") / 60).alias("query_id"), F.col("id").alias("node"), F.col("id").alias("ord"))
     return _shown(g.bfs(v.edges, seeds, 2, 60))
 
 

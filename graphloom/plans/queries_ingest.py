@@ -71,9 +71,9 @@ def embed_text_choice(spark: SparkSession, d: str) -> DataFrame:
     return pick(text, False).union(pick(image, True))
 
 
-@query(f"WITH {VECTOR_SQL} SELECT edge_id, coalesce(nullif(trim(edge_type), ''), 'x') AS embed_text FROM edges WHERE src < 10")
+@query(f"WITH {VECTOR_SQL} SELECT edge_id, coalesce(nullif(trim(edge_type), ''), 'x') AS embed_text FROM edges")
 def edge_embed_text(spark: SparkSession, d: str) -> DataFrame:
-    e = vector_graph(spark, d).edges.where("src < 10")
+    e = vector_graph(spark, d).edges
     return e.select("edge_id", payload.edge_embed_text(e).alias("embed_text"))
 
 
@@ -83,16 +83,17 @@ def id_allocation(spark: SparkSession, d: str) -> DataFrame:
     return ingest.allocate_ids(rows, 3, 1000, ["c_custkey"]).select("c_custkey", "id")
 
 
-#: New entities: perturbed copies of vectors at two distances, with the vector's type or another one.
+#: New entities: perturbed copies of all vectors at two distances, with the vector's type or another one.
 PERTURBED = """pert AS (SELECT a.id AS pos, a.label, CASE WHEN a.id % 4 = 0 THEN 'label_x' ELSE 'label_' || a.label END AS type,
-   list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] + (CASE WHEN a.id % 2 = 0 THEN 0.1 ELSE 0.6 END) * b.v[i]) AS w FROM emb a JOIN emb b ON b.id = (a.id + 1) % 500 WHERE a.id % 7 = 0 AND a.id < 499),
+   list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] + (CASE WHEN a.id % 2 = 0 THEN 0.1 ELSE 0.6 END) * b.v[i]) AS w FROM emb a JOIN emb b ON b.id = (a.id + 1) % (SELECT max(id) + 1 FROM emb)),
 unit AS (SELECT pos, type, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) AS w FROM pert)"""
 
 
 def _perturbed(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "label")
-    other = e.select(F.pmod(F.col("id") - 1, F.lit(500)).alias("id"), F.col("v").alias("o")).where("id < 499")
-    a = e.where("id % 7 = 0 and id < 499").join(other, "id")
+    last = e.agg(F.max("id").alias("last"))  # one row
+    other = e.join(F.broadcast(last)).select(F.pmod(F.col("id") - 1, F.col("last") + 1).alias("id"), F.col("v").alias("o"))
+    a = e.join(other, "id")
     eps = F.when(F.col("id") % 2 == 0, 0.1).otherwise(0.6)
     kind = F.when(F.col("id") % 4 == 0, "label_x").otherwise(F.concat(F.lit("label_"), "label"))
     return a.select(F.col("id").alias("pos"), kind.alias("type"), normalise(F.zip_with("v", "o", lambda x, y: x + eps * y)).alias("embedding"))
@@ -128,15 +129,15 @@ def resolve_delta(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Leaders of a batch, folded over positions: those without an earlier similar leader.
-LEADERS = """sim AS (SELECT a.id AS pos, b.id AS earlier FROM emb a JOIN emb b ON b.id < a.id WHERE a.id < 200 AND list_dot_product(a.v, b.v) >= 0.3),
+LEADERS = """sim AS (SELECT a.id AS pos, b.id AS earlier FROM emb a JOIN emb b ON b.id < a.id WHERE list_dot_product(a.v, b.v) >= 0.3),
 nb AS (SELECT pos, list_sort(list(earlier)) AS nb FROM sim GROUP BY pos),
 f AS (SELECT list_reduce(list_prepend([]::BIGINT[], list([pos] || nb ORDER BY pos)), lambda acc, x: CASE WHEN len(list_filter(x[2:], lambda y: NOT list_contains(acc, y))) > 0 THEN acc || [x[1]] ELSE acc END) AS followers FROM nb),
 led AS (SELECT pos, list_min(list_filter(nb, lambda y: NOT list_contains(followers, y))) AS leader FROM nb, f)"""
 
 
-@query(f"WITH emb AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), {LEADERS} SELECT id AS pos, coalesce(leader, id) AS leader_pos FROM emb LEFT JOIN led ON pos = id WHERE id < 200")
+@query(f"WITH emb AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), {LEADERS} SELECT id AS pos, coalesce(leader, id) AS leader_pos FROM emb LEFT JOIN led ON pos = id")
 def resolve_in_batch(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").where("vec_id < 200").select(F.col("vec_id").alias("pos"), F.lit("x").alias("type"), "embedding")
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("pos"), F.lit("x").alias("type"), "embedding")
     return ingest.resolve_in_batch(e, Resolution(threshold=0.3))
 
 
@@ -146,4 +147,5 @@ def ingest_summary(spark: SparkSession, d: str) -> DataFrame:
     n = _perturbed(spark, d).withColumnRenamed("type", "node_type")
     w = ingest.Window.orderBy("pos")
     edges = n.select(F.col("pos").alias("from_pos"), F.lead("pos").over(w).alias("to_pos")).where("to_pos is not null").withColumn("edge_type", F.lit("next"))
-    return ingest.ingest(n, edges, vector_graph(spark, d).nodes, None, 1, 500)[2]
+    nodes = vector_graph(spark, d).nodes
+    return ingest.ingest(n, edges, nodes, None, 1, nodes.count())[2]

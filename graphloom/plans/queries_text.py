@@ -23,7 +23,7 @@ def _text(s: str) -> str:
 
 
 SECTIONS = """
-pe AS (SELECT string_agg('- [' || node_type || '] ' || name || ' (relevance: ' || printf('%.2f', score) || ') — ' || full_context, chr(10) ORDER BY rank) AS entities FROM top JOIN nodes ON id = node),
+pe AS (SELECT string_agg('- [' || node_type || '] ' || name || ' (relevance: ' || printf('%.2f', score) || ') | ' || CASE WHEN node_type = 'label_0' THEN '' ELSE 'label: ' || substr(node_type, 7) END || ' — ' || full_context, chr(10) ORDER BY rank) AS entities FROM top JOIN nodes ON id = node),
 pr AS (SELECT string_agg('- vec_' || src || ' [' || edge_type || ']→ vec_' || dst || ' (strength: ' || printf('%.2f', weight) || ')', chr(10) ORDER BY src, dst) AS relations FROM between)"""
 BODY = "'Entities (sorted by relevance):' || chr(10) || entities || coalesce(chr(10) || 'Relationships:' || chr(10) || relations, '')"
 
@@ -46,6 +46,25 @@ def prompt_reason(spark: SparkSession, d: str) -> DataFrame:
 
 
 FENCE = "```"
+PROPS = """CASE n_nationkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '{}' WHEN 2 THEN '{"name": "' || n_name || '", "rank": ' || n_nationkey || ', "none": null, "zero": 0, "no": false}'
+    WHEN 3 THEN '{"zero": 0.0, "blank": ""}' ELSE '{"yes": true, "share": 0.5, "list": [1, 2], "empty": []}' END"""
+
+
+@query("""SELECT n_nationkey, CASE n_nationkey % 5 WHEN 2 THEN ' | name: ' || n_name || ', rank: ' || n_nationkey WHEN 3 THEN ' | ' WHEN 4 THEN ' | yes: True, share: 0.5, list: [1,2]' ELSE '' END AS shown FROM nation""")
+def prompt_props(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation").select("n_nationkey", F.expr(PROPS).alias("props"))
+    return n.select("n_nationkey", models.shown_props(F.col("props")).alias("shown"))
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 2 THEN NULL ELSE 'a:' || n_name END AS names, CASE n_nationkey % 3 WHEN 0 THEN 'a>b' WHEN 1 THEN '' END AS kept FROM nation""")
+def extract_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Replies in a fence with a good and a dangling relation, without relations, and ones that are no JSON."""
+    k = F.col("n_nationkey")
+    full = F.concat(F.lit(FENCE + 'json\n{"entities": [{"id": "a", "name": "a:'), "n_name", F.lit('", "type": "N"}, {"id": "b", "type": "N"}], "relations": [{"from": "a", "to": "b"}, {"from": "a", "to": "z"}]}\n' + FENCE))
+    bare = F.concat(F.lit('{"entities": [{"id": "a", "name": "a:'), "n_name", F.lit('"}]}'))
+    n = table(spark, d, "nation").select("n_nationkey", models.parse_extract(F.when(k % 3 == 0, full).when(k % 3 == 1, bare).otherwise("sorry")).alias("x"))
+    return n.select("n_nationkey", F.array_join("x.entities.name", ",").alias("names"), F.array_join(F.transform("x.relations", lambda r: F.concat_ws(">", r["from"], r["to"])), ",").alias("kept"))
+
 
 
 def _replies(spark: SparkSession, d: str) -> DataFrame:

@@ -33,6 +33,11 @@ def export_edges(base: Graph, delta: Graph | None = None) -> DataFrame:
     return e.select(F.coalesce("f", F.lit("")).alias("from"), F.coalesce("t", F.lit("")).alias("to"), "edge_type", "weight", "full_context", "embed_context")
 
 
+def now_utc() -> Column:
+    """The time in UTC, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def _line(kind: str, *cols: Column) -> Column:
     """One JSON object; nulls and empty contexts are left out."""
     return F.to_json(F.struct(F.lit(kind).alias("type"), *cols))
@@ -42,7 +47,7 @@ def ndjson(base: Graph, delta: Graph | None = None, exported_at: str | None = No
     """(section, value): one meta line, a line a node, a line an edge."""
     n, e = export_nodes(base, delta), export_edges(base, delta)
     context = F.nullif(F.col("full_context"), F.lit("")).alias("full_context")
-    at = F.lit(exported_at) if exported_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    at = F.lit(exported_at) if exported_at else now_utc()
     meta = n.agg(F.count(F.lit(1)).alias("nodes")).join(e.agg(F.count(F.lit(1)).alias("edges")))
     meta = meta.select(F.lit(0).alias("section"), _line("meta", F.lit(VERSION).alias("version"), at.alias("exported_at"), "nodes", "edges").alias("value"))
     nodes = n.select(F.lit(1).alias("section"), _line("node", "name", "node_type", "props", context, "embed_context", "image_url").alias("value"))
@@ -51,8 +56,9 @@ def ndjson(base: Graph, delta: Graph | None = None, exported_at: str | None = No
 
 
 def write_ndjson(lines: DataFrame, path: str) -> None:
-    """The lines as text files in order of section; the meta line comes first."""
-    lines.repartitionByRange("section").sortWithinPartitions("section").select("value").write.text(path)
+    """The lines as text files in order of section; the meta line comes first. Lines of a section go to many files."""
+    dealt = lines.withColumn("h", F.xxhash64("value"))
+    dealt.repartitionByRange("section", "h").sortWithinPartitions("section", "h").select("value").write.text(path)
 
 
 def export_json(base: Graph, delta: Graph | None = None, exported_at: str | None = None) -> DataFrame:
@@ -60,7 +66,7 @@ def export_json(base: Graph, delta: Graph | None = None, exported_at: str | None
     n, e = export_nodes(base, delta), export_edges(base, delta)
     nodes = n.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct(*n.columns))).alias("nodes"))
     edges = e.agg(F.count(F.lit(1)).alias("m"), F.sort_array(F.collect_list(F.struct(*e.columns))).alias("edges"))
-    at = F.lit(exported_at) if exported_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    at = F.lit(exported_at) if exported_at else now_utc()
     doc = F.struct(F.lit(VERSION).alias("version"), at.alias("exported_at"), F.struct(F.col("n").alias("nodes"), F.col("m").alias("edges")).alias("stats"), "nodes", "edges")
     return nodes.join(edges).select(F.to_json(doc).alias("value"))
 
