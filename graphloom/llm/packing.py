@@ -2,8 +2,8 @@
 
 Documents become pieces of at most ``size`` tokens. Pieces are dealt to groups of a bounded number, each group is packed by
 best-fit decreasing, and dual-feasible functions bound from below the sequences that the group needs. A group that meets
-its bound is final. The others give up their sequences that are not full; those pieces are dealt anew, to other groups, and
-packed again, as long as that saves sequences.
+its bound keeps its sequences but for those with much room, which no group can fill alone; the others give up all that are
+not full. Those pieces are dealt anew, to other groups, and packed again, as long as that saves sequences.
 """
 
 from __future__ import annotations
@@ -108,15 +108,17 @@ def best_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.
     return where, offset, np.array(fill, np.int64)
 
 
-def pack(pieces: DataFrame, size: int = 2048, group_rows: int = 8192, rounds: int = 4) -> DataFrame:
+def pack(pieces: DataFrame, size: int = 2048, group_rows: int = 8192, room: int = 32, worth: int = 1000) -> DataFrame:
     """Place pieces (doc_id, piece, start, length, ids_crc32): adds sequence_id, offset and certified.
 
-    ``certified``: the piece's last group used as few sequences as its bound. Groups have about ``group_rows`` pieces
-    whatever the input's size. Groups are dealt by a hash of all columns and sorted by them, so that a task run again
-    gives the same. An empty table gives an empty result; null ids and repeated rows are pieces like any other.
+    ``certified``: the piece's last group used as few sequences as its bound, or its sequence is full. Groups have about
+    ``group_rows`` pieces, equal ones too, whatever the input's size: pieces are dealt by a hash of all columns and of their
+    place in a stored table, so that a task run again gets the same. A group at its bound gives up sequences with more room
+    than one part in ``room``. Rounds go on while they save one sequence in ``worth`` of those given up, and at least one. An
+    empty table gives an empty result; null ids and repeated rows are pieces like any other.
     """
     rows = pieces.columns
-    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in pieces.schema)}, sequence_id long, offset long, certified boolean"
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in pieces.schema)}, sequence_id long, offset long, certified boolean, open boolean"
 
     def dealt(df: DataFrame, round_: int, n: int) -> DataFrame:
         groups = max(1, -(-n // group_rows))
@@ -126,25 +128,28 @@ def pack(pieces: DataFrame, size: int = 2048, group_rows: int = 8192, rounds: in
             lengths = pdf["length"].to_numpy()
             where, offset, fill = best_fit_decreasing(lengths, size)
             sure = len(fill) == lower_bound(lengths, size)
-            return pdf[rows].assign(sequence_id=(np.int64(round_) << 58) | (np.int64(key[0]) << 26) | where, offset=offset, certified=sure | (fill[where] == size))
+            more = fill < (size - size // room if sure else size)
+            return pdf[rows].assign(sequence_id=(np.int64(round_) << 53) | (np.int64(key[0]) << 22) | where, offset=offset, certified=sure | (fill[where] == size), open=more[where])
 
-        return df.withColumn("_group", F.pmod(F.xxhash64(*[F.col(c) for c in rows], F.lit(round_)), F.lit(groups))).groupBy("_group").applyInPandas(place, schema)
+        at = F.xxhash64(*[F.col(c) for c in rows], F.lit(round_), F.monotonically_increasing_id())
+        return df.select(*rows).withColumn("_group", F.pmod(at, F.lit(groups))).groupBy("_group").applyInPandas(place, schema)
 
     ship(pieces.sparkSession)
     pool = cut(pieces)
-    done, n = [], pool.count()
+    done, n, round_ = [], pool.count(), 0
     placed = cut(dealt(pool, 0, n))
-    for round_ in range(1, rounds):
-        done.append(placed.where("certified"))
-        pool = placed.where("not certified")
+    while True:
+        done.append(placed.where("not open"))
+        pool = cut(placed.where("open"))
         n, before = pool.agg(F.count(F.lit(1)), F.count_distinct("sequence_id")).first()
         if not n:
-            return _all(done)
-        again = cut(dealt(pool.select(*rows), round_, n))
-        if again.agg(F.count_distinct("sequence_id")).first()[0] >= before:
-            return _all([*done, pool])
+            return _all(done).drop("open")
+        round_ += 1
+        again = cut(dealt(pool, round_, n))
+        saved = before - again.agg(F.count_distinct("sequence_id")).first()[0]
+        if saved < max(1, before // worth):
+            return _all([*done, again if saved > 0 else pool]).drop("open")
         placed = again
-    return _all([*done, placed])
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:

@@ -13,11 +13,22 @@ from graphloom.llm.settled import settled
 
 SPACE, WORD = "[\\x20\\x09-\\x0D]+", "[^\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
-#: A line fails if it has no end of a sentence or clause anywhere, or has one of the others.
-ENDS = "[.!?:;…]['\"”’»)\\]]*([\\x20\\x09-\\x0D]|\\z)"
+#: A line fails if it has no end of a sentence or clause anywhere, or has one of the others. Scripts whose sentences end in
+#: marks of their own need no space behind them.
+ENDS = "[.!?:;…]['\"”’»)\\]]*([\\x20\\x09-\\x0D]|\\z)|[。！？；：｡।॥؟؛۔။።၊]"
 SHOUTS = "([!?]{2,}[^!?]*){3}"
 NAVIGATES = "([\\x20\\x09-\\x0D][|>»•·/][\\x20\\x09-\\x0D][^|>»•·/]*){3}"
-BOILERPLATE = "(lorem ipsum|javascript|cookie policy|cookies|privacy policy|terms of (use|service)|all rights reserved|click here|read more|sign (in|up)|log ?in|subscribe)"
+#: Phrases of page furniture, in whole words, that make a line of up to so many words boilerplate: in longer lines they are
+#: what a text is about.
+BOILERPLATE_WORDS = 25
+PHRASES = (
+    "lorem ipsum", "cookie (policy|settings)", "(use|accept|uses) cookies", "privacy policy", "terms (of|and) (use|service|conditions)", "all rights reserved",
+    "click here", "read more", "sign (in|up)", "log ?in", "subscribe (now|to)", "enable javascript", "share on",
+    "alle rechte vorbehalten", "datenschutzerklärung", "impressum", "mehr lesen", "hier klicken", "jetzt anmelden",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "lire la suite", "cliquez ici", "se connecter",
+    "todos los derechos reservados", "política de privacidad", "aviso legal", "leer más", "haga clic aquí", "iniciar sesión",
+)
+BOILERPLATE = f"(^|[^a-z])({'|'.join(PHRASES)})([^a-z]|$)"
 #: A line also fails with more than one symbol in so many characters.
 SYMBOL_SPAN = 30
 
@@ -25,7 +36,8 @@ SYMBOL_SPAN = 30
 def fails(line: Column) -> Column:
     """Whether a line breaks one of the rules."""
     symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
-    return ~line.rlike(ENDS) | (symbols * SYMBOL_SPAN > F.length(line)) | line.rlike(SHOUTS) | line.rlike(NAVIGATES) | F.lower(line).rlike(BOILERPLATE)
+    furniture = F.lower(line).rlike(BOILERPLATE) & (F.regexp_count(line, F.lit(WORD)) <= BOILERPLATE_WORDS)
+    return ~line.rlike(ENDS) | (symbols * SYMBOL_SPAN > F.length(line)) | line.rlike(SHOUTS) | line.rlike(NAVIGATES) | furniture
 
 
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, repeat_percent: int = 50, lost_percent: int = 30) -> DataFrame:
@@ -72,7 +84,7 @@ w AS (SELECT doc_id, t, regexp_extract_all(t, '{WORD}') AS w,
 c AS (SELECT *, list_filter(worded, lambda x: regexp_matches(x, '{_sql(ENDS)}')
                AND (length(x) - length(translate(x, '{SYMBOLS}', ''))) * {SYMBOL_SPAN} <= length(x)
                AND NOT regexp_matches(x, '{SHOUTS}') AND NOT regexp_matches(x, '{NAVIGATES}')
-               AND NOT regexp_matches(lower(x), '{BOILERPLATE}')) AS clean FROM w),
+               AND NOT (regexp_matches(lower(x), '{_sql(BOILERPLATE)}') AND len(regexp_extract_all(x, '{WORD}')) <= {BOILERPLATE_WORDS})) AS clean FROM w),
 g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM c),
 p AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM g),
 r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM p, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY doc_id),

@@ -144,6 +144,21 @@ def test_quality(spark, odd, none):
     assert quality.assess(df).where("kept").count() == sum(r["kept"] for r in got.values())
 
 
+def test_each_line_rule(spark):
+    good = [
+        "The new design in room 3 was drawn by hand, and the analog input stays.",
+        "Roads need repair; spread moreover the sand evenly. A cookie is baked.",
+        "我们昨天去了那个新的市场。",
+        "क्या आप कल बाजार गए थे।",
+        "هل ذهبت إلى السوق؟",
+        "The privacy policy of a firm, as the court found in its long and careful opinion of last year, binds it towards each of its customers, whether or not they read it.",
+    ]
+    bad = ["a line without any end", "Home / Shop / News / About us / Contact.", "What!! No!! Really?? ok.", "# $ % & | some.", "Click here.", "Please read more.", "Alle Rechte vorbehalten.", "Leer más."]
+    df = spark.createDataFrame([(x,) for x in good + bad], "line string")
+    got = {r["line"]: r["f"] for r in df.select("line", quality.fails(F.col("line")).alias("f")).collect()}
+    assert [x for x in good if got[x]] == [] and [x for x in bad if not got[x]] == []
+
+
 # ---- 4 languages ---------------------------------------------------------------------------------------------------------
 
 
@@ -420,6 +435,28 @@ def test_packing(spark, odd, none, sample):
     assert packing.pack(packing.pieces(none, path)).count() == 0
 
 
+def test_equal_pieces_are_dealt_to_many_groups(spark):
+    same = spark.range(50_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("length"), F.lit(7).cast("long").alias("ids_crc32"))
+    got = packing.pack(same).cache()
+    assert got.count() == 50_000
+    first = got.groupBy((F.shiftright("sequence_id", 22)).alias("g")).count().agg(F.max("count")).first()[0]
+    assert first <= 10_000
+    assert got.select("sequence_id").distinct().count() == -(-50_000 // 2048)
+
+
+def test_bins_of_many_groups_meet_the_bound_of_the_whole(spark):
+    rng = np.random.default_rng(19)
+    lengths = [int(x) for x in np.minimum(2048, rng.lognormal(5.5, 1.0, 20_000)) + 1]
+    rows = [(i, 0, 0, min(n, 2048), 1) for i, n in enumerate(lengths)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(pieces, group_rows=500).collect()
+    bins = Counter()
+    for r in got:
+        bins[r["sequence_id"]] += r["length"]
+    assert len(got) == len(rows) and max(bins.values()) <= 2048
+    assert len(bins) <= packing.lower_bound(np.array([r[3] for r in rows]), 2048) * 1.001 + 1
+
+
 # ---- 9 neighbours --------------------------------------------------------------------------------------------------------
 
 
