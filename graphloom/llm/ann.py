@@ -76,7 +76,7 @@ def _centres(x: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def train(v: DataFrame, list_rows: int = 1024, most_lists: int = 4096, sample: int = 20_000) -> Index | None:
+def train(v: DataFrame, list_rows: int = 1024, most_lists: int = 16_384, sample: int = 20_000) -> Index | None:
     """Centres from a hash sample of about ``sample`` rows. None for an empty table.
 
     Rows whose vectors don't have the most frequent number of dimensions take no part.

@@ -1,12 +1,13 @@
 """Secret scans: fixed patterns, and a randomness test battery with length-aware false-discovery control.
 
-A candidate is a long run of token characters that no fixed pattern covers. Its encoding is the smallest alphabet that has
+A candidate is a long run of token characters, less what fixed patterns cover. Its encoding is the smallest alphabet that has
 all its characters. Three tests ask whether it can be random in that alphabet: chi-squared uniformity, runs about the
 alphabet's middle, and lag-one serial correlation; a candidate whose combined p-value is small is ordinary text and out.
 For the rest, the chi-squared statistic gives a p-value under the opposite hypothesis, that its letters are as uneven as in
 words; its power grows with the length. Small alphabets have no power there and are held against a chain of letters and
 digits by likelihood ratio instead. Benjamini-Hochberg, within each class of encoding and length over the whole table,
-turns those into discoveries. Only counts by class and p-value bin, of a fixed number, reach the driver.
+turns those into discoveries. The three p-values are combined by Fisher's rule as if they were independent, which only decides
+who stays a candidate; ``AGREE`` is the evenness of English letters, and stands for words in any alphabet. Only counts by class and p-value bin, of a fixed number, reach the driver.
 """
 
 from __future__ import annotations
@@ -137,17 +138,34 @@ def scan(text: bytes) -> tuple[list[tuple[int, int, int]], list[tuple[int, int,
     begin, end = edge[::2], edge[1::2]
     long = end - begin >= SHORTEST
     plain, runs = text.isascii(), []
+    shift, done = 0, 0  # code points less bytes up to ``done``
     for b, e in zip(begin[long].tolist(), end[long].tolist(), strict=True):
-        shift = 0 if plain else len(text[:b].decode("utf-8", "replace")) - b
+        if not plain:
+            shift += len(text[done:b].decode("utf-8", "replace")) - (b - done)
+            done = b
         run = text[b:e]
         for kind, pattern in ((1, ACCESS), (2, HEX)):
             base += [(b + m.start() + shift, kind, b + m.end() + shift) for m in pattern.finditer(run)]
         if e - b >= CANDIDATE:
             runs.append((b + shift, e + shift, run))
     base.sort()
+    covered: list[list[int]] = []  # disjoint, in order
+    for s, _, t in base:
+        if covered and s <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], t)
+        else:
+            covered.append([s, t])
+    k = 0
     for b, e, run in runs:
-        if not any(s < e and b < t for s, _, t in base) and (got := candidate(run)):
-            found.append((b, e, *got))
+        while k < len(covered) and covered[k][1] <= b:
+            k += 1
+        at, j, rests = b, k, []
+        while j < len(covered) and covered[j][0] < e:
+            rests.append((at, covered[j][0]))
+            at, j = covered[j][1], j + 1
+        for s, t in [*rests, (at, e)]:
+            if t - s >= CANDIDATE and (got := candidate(run[s - b : t - b])):
+                found.append((s, t, *got))
     return base, found
 
 

@@ -59,6 +59,38 @@ def test_step_up_rule():
     assert secrets.thresholds({}, 0.01) == {}
 
 
+def test_step_up_rule_equals_a_plain_one():
+    rng = random.Random(20)
+    for _ in range(200):
+        counts = {(c, rng.choice([-1, *range(0, 40)])): rng.randrange(1, 30) for c in range(3) for _ in range(rng.randrange(8))}
+        want = {}
+        for c in {c for c, _ in counts}:
+            ps = sorted(10 ** (-b / secrets.TENTHS) if b >= 0 else 1.0 for (k, b), n in counts.items() if k == c for _ in range(n))
+            passing = [p for i, p in enumerate(ps, 1) if p < 1 and p <= 0.01 * i / len(ps)]
+            if passing:
+                want[c] = round(-np.log10(max(passing)) * secrets.TENTHS)
+        assert secrets.thresholds(counts, 0.01) == want
+
+
+def test_names_alone_give_no_discovery(spark):
+    """A table without secrets: what is found is at most the odd one."""
+    rng = random.Random(21)
+    parts = ["counter", "window", "report", "account", "version", "section", "house", "letter", "number", "water", "running", "station", "2024", "10", "v2"]
+    rows = [(i, " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(4, 9))) for _ in range(20))) for i in range(400)]
+    got = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).agg(F.sum("n_random")).first()[0]
+    assert got <= 8
+
+
+def test_rests_beside_base_spans_are_tested():
+    rng = random.Random(22)
+    key = "".join(rng.choice(dict(secrets.ALPHABETS)["base62"]) for _ in range(35))
+    base, found = secrets.scan(f"é {'0123456789abcdef' * 2}{'Z' + key} x".encode())
+    assert base == [(2, 2, 34)] and [f[:2] for f in found] == [(34, 70)]
+    many = " ".join(f"token={'ab01' * 8}{i:08d}Zq {key}" for i in range(20_000)).encode()  # one long line
+    base, found = secrets.scan(many)
+    assert len(base) >= 20_000 and len(found) == 20_000
+
+
 def test_secret_scan(spark, odd, none):
     rng = random.Random(6)
     random_ = ["".join(rng.choice(dict(secrets.ALPHABETS)["base64"]) for _ in range(64)) for _ in range(20)]
