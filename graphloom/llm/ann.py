@@ -28,6 +28,8 @@ EPSILON = 2.1
 PAIRS = 1 << 20
 #: Rows of a list that one task scans, and queries that it scans them for.
 CHUNK, QUERIES = 8192, 8192
+#: The first list of a query is scanned alone, then those up to the second number, then the rest.
+WAVES = (1, 4)
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -77,9 +79,9 @@ def _centres(x: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
 
 
 def train(v: DataFrame, list_rows: int = 1024, most_lists: int = 16_384, sample: int = 20_000) -> Index | None:
-    """Centres from a hash sample of about ``sample`` rows. None for an empty table.
+    """Centres from a hash sample of about ``sample`` rows, or eight a list if that is more. None for an empty table.
 
-    Rows whose vectors don't have the most frequent number of dimensions take no part.
+    There is a list for each ``list_rows`` rows, up to ``most_lists``, a bound on what is broadcast. Rows whose vectors don't have the most frequent number of dimensions take no part.
     """
     sizes = v.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).orderBy(F.desc("n"), "d").first()
     if sizes is None:
@@ -87,12 +89,14 @@ def train(v: DataFrame, list_rows: int = 1024, most_lists: int = 16_384, sample:
     dim, n, norm2 = sizes["d"], sizes["n"], sizes["m"]
     rotation = np.linalg.qr(np.random.default_rng(11).standard_normal((dim + 1, dim + 1)))[0]
     index = Index(dim, norm2, rotation, np.empty((0, dim + 1)))
-    cells = 1 << 30
+    lists = max(1, min(most_lists, round(n / list_rows)))
+    sample = max(sample, 8 * lists)
+    cells = 1 << 40
     some = v.where(F.size("v") == dim).where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(cells)) < min(cells, -(-sample * cells // n))).select("v").limit(2 * sample)
     x = index.turned(_stack(some.toArrow().column("v").combine_chunks(), dim))
     if not len(x):
         x = index.turned(np.array([v.where(F.size("v") == dim).first()["v"]]))
-    index.centres = _centres(x, max(1, min(most_lists, len(x), round(n / list_rows))))
+    index.centres = _centres(x, min(lists, len(x)))
     return index
 
 
@@ -159,7 +163,6 @@ def _probe(rows: DataFrame, asked: DataFrame, table, chunks: np.ndarray, parts:
         index = table.value
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
-        left = left.drop_duplicates("id")
         got = scan(index, right["query_id"].to_numpy(), _stack(right["q"], index.dim), right["least"].to_numpy(), left["id"].to_numpy(), _stack(left["v"], index.dim), k)
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), got, strict=True)))
 
@@ -173,14 +176,14 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, recall: float = 0.97, tuned_on: int = 64) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, recall: float = 0.95, tuned_on: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, all other rows being candidates.
 
     ``is_query`` is a condition on ``id``. Queries probe as many lists as reach ``recall`` on ``tuned_on`` of them, compared
     with an exact search, and at least so many that k rows are found. Rows without id, or whose vector is null, zero, of an
-    unusual number of dimensions, or holds null or non-finite components take no part. Rows of one id are one vector, and no
-    query finds itself. Fewer than k other rows: all of them. Equal scores go by id. An empty table gives an empty result.
-    A hot list is scanned in chunks of rows and parts of queries, so no task grows with it.
+    unusual number of dimensions, or holds null or non-finite components take no part. Rows of one id are one
+    vector, the least of theirs, whatever their order; no query finds itself. Fewer than k other rows: all of them. Equal scores go by id. An empty table gives an empty result.
+    Lists are scanned in three waves, each with the threshold that the ones before it reached. A hot list is scanned in chunks of rows and parts of queries, so no task grows with it.
     """
     spark = vectors.sparkSession
     v = usable(vectors, id_col, vec_col)
@@ -197,11 +200,12 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
                 own = first.value.nearest(first.value.turned(_stack(part.column(1), dim)))[:, 0]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own.astype(np.int32))], names=["id", "v", "list"])
 
-    rows = cut(map_arrow(v.where(F.size("v") == dim).select(F.col("id").cast("long").alias("id"), "v"), assign, "id long, v array<double>, list int"))
+    one = v.where(F.size("v") == dim).select(F.col("id").cast("long").alias("id"), "v").groupBy("id").agg(F.min("v").alias("v"))
+    rows = cut(map_arrow(one, assign, "id long, v array<double>, list int"))
     index.rows = np.zeros(len(index.centres), np.int64)
     for r in rows.groupBy("list").count().collect():
         index.rows[r["list"]] = r["count"]
-    queries = rows.where(is_query).select(F.col("id").alias("query_id"), F.col("v").alias("q")).dropDuplicates(["query_id"])
+    queries = rows.where(is_query).select(F.col("id").alias("query_id"), F.col("v").alias("q"))
     sample = queries.orderBy(F.xxhash64("query_id")).limit(tuned_on).collect()
     index.probes = _probes(index, rows, sample, k, recall)
     table = spark.sparkContext.broadcast(index)
@@ -216,21 +220,29 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
                 take = (np.arange(order.shape[1]) < m.probes) | (np.c_[np.zeros(len(have), np.int64), have[:, :-1]] < 4 * k)
                 take &= m.rows[order] > 0
                 i, j = np.nonzero(take)
-                home = np.r_[True, i[1:] != i[:-1]] if len(i) else np.empty(0, bool)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), part.column(1).take(pa.array(i)), pa.array(order[i, j].astype(np.int32)), pa.array(home)], names=["query_id", "q", "list", "home"])
-
-    asked = cut(map_arrow(queries, lists, "query_id long, q array<double>, list int, home boolean"))
-    number = {True: np.zeros(len(index.rows), np.int64), False: np.zeros(len(index.rows), np.int64)}
-    for r in asked.groupBy("list", "home").count().collect():
-        number[r["home"]][r["list"]] = r["count"]
-    chunks = np.maximum(1, -(-index.rows // CHUNK))
-    parts = {h: np.maximum(1, -(-n // QUERIES)) for h, n in number.items()}
+                first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.empty(0, np.int64)
+                wave = np.searchsorted(WAVES, np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)])), "right")
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), part.column(1).take(pa.array(i)), pa.array(order[i, j].astype(np.int32)), pa.array(wave.astype(np.int32))], names=["query_id", "q", "list", "wave"])
+
+    asked = cut(map_arrow(queries, lists, "query_id long, q array<double>, list int, wave int"))
+    number = np.zeros((len(WAVES) + 1, len(index.rows)), np.int64)
+    for r in asked.groupBy("list", "wave").count().collect():
+        number[r["wave"], r["list"]] = r["count"]
+    chunks, parts = np.maximum(1, -(-index.rows // CHUNK)), np.maximum(1, -(-number // QUERIES))
     none = F.lit(float("-inf"))
-    home = cut(_best(_probe(rows, asked.where("home").drop("home").withColumn("least", none), table, chunks, parts[True], k), k))
-    least = home.where(F.col("rank") == k).select(F.col("query_id").alias("q_"), F.col("score").alias("least"))
-    others = asked.where("not home").join(least, F.col("query_id") == F.col("q_"), "left").select("query_id", "q", "list", F.coalesce("least", none).alias("least"))
-    away = _probe(rows, others, table, chunks, parts[False], k)
-    return _best(home.select("query_id", "vec_id", "score").union(away), k).select("query_id", "rank", "vec_id", "score")
+    best = None
+    for wave in range(len(WAVES) + 1):
+        due = asked.where(F.col("wave") == wave).drop("wave")
+        if best is None:
+            due = due.withColumn("least", none)
+        else:
+            least = best.where(F.col("rank") == k).select(F.col("query_id").alias("q_"), F.col("score").alias("least"))
+            due = due.join(least, F.col("query_id") == F.col("q_"), "left").select("query_id", "q", "list", F.coalesce("least", none).alias("least"))
+        found = _probe(rows, due, table, chunks, parts[wave], k)
+        best = _best(found if best is None else best.select("query_id", "vec_id", "score").union(found), k)
+        if wave < len(WAVES):
+            best = cut(best)
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 def _probes(index: Index, rows: DataFrame, sample: list, k: int, recall: float) -> int:

@@ -27,6 +27,8 @@ SPACE, BREAK = 32, 1
 BLOCK = 1 << 18
 #: The chance of a character that no model has seen.
 UNSEEN = 1 / 4096
+#: Standard deviations above its mean that a language's documents may always have.
+LEAST_ALLOWED = 4.0
 
 
 def _letter(c: int) -> int:
@@ -73,7 +75,9 @@ class Model:
     logs: list[np.ndarray]  # and a row of log-probabilities for each
     contexts: list[np.ndarray]  # by length less one: sorted hashes
     backs: list[np.ndarray]  # and a row of log back-off weights for each
-    typical: np.ndarray | None = None  # by language: mean cross-entropy, variance a character, variance a document
+    root: np.ndarray | float = 0.0  # log back-off weights of the empty context
+    typical: np.ndarray | None = None  # by language: mean cross-entropy, variance a character, variance a document, deviations allowed
+    temper: float = 4.0  # by which likelihoods are flattened into scores
 
     def score(self, h: list[np.ndarray], at: np.ndarray) -> np.ndarray:
         """Log-probabilities at positions, a column a language."""
@@ -89,7 +93,7 @@ class Model:
                 hit, row = _find(self.contexts[k - 2], h[k - 1][at[left] - 1])
                 out[left[hit]] += self.backs[k - 2][row[hit]]
             else:
-                out[left] += np.log(UNSEEN)
+                out[left] += self.root + np.log(UNSEEN)
         return out
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -200,6 +204,8 @@ def estimate(languages: list[str], rows: pa.Table) -> Model:
         if k > 1:
             model.contexts.append(contexts)
             model.backs.append(backs)
+        elif len(backs):
+            model.root = backs[0]
     return model
 
 
@@ -207,22 +213,25 @@ def _fold(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 600, longest: int = 20_000, most_languages: int = 256) -> Model:
-    """Learn from about ``rows`` documents of each of the ``most_languages`` most frequent languages.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 600, longest: int = 20_000, most_rows: int = 120_000, spare: float = 1.5) -> Model:
+    """Learn from about ``rows`` documents of each language, and from about ``most_rows`` in all if there are many languages.
 
     The sample is drawn by a hash of the id from documents with text, language and id whose fold isn't 0 and whose text has
-    at most ``longest`` characters; texts are used whole. A third of it only calibrates. The bounds limit the n-grams and
-    entropies that reach the driver, whatever the table's size.
+    at most ``longest`` characters; texts are used whole. A third of it only calibrates: the temper is the one under which
+    that third's languages are likeliest, and a language's documents may deviate ``spare`` times as far as any of its third.
+    The sample's bound, which no language is left out for, limits the n-grams and entropies that reach the driver, whatever
+    the table's size.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t")).where(F.col("lang").isNotNull() & F.col("id").isNotNull())
     known = known.where(_fold("id") != 0)
-    seen = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    seen = known.groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in seen)
     if not languages:
         return Model([], [], [], [], [])
     number = {lang: i for i, lang in enumerate(languages)}
-    cells = 1 << 20
-    wanted = {r["lang"]: min(cells, -(-rows * cells // r["count"])) for r in seen}
+    cells = 1 << 40
+    each = max(1, min(rows, most_rows // len(languages)))
+    wanted = {r["lang"]: min(cells, -(-each * cells // r["count"])) for r in seen}
     as_map = lambda d: F.create_map(*[F.lit(x) for pair in d.items() for x in pair])
     cell = F.pmod(F.xxhash64(F.lit("sample"), F.col("id").cast("string")), F.lit(cells))
     some = known.where(cell < as_map(wanted)[F.col("lang")]).where(F.col("t").isNotNull() & (F.length("t") <= longest))
@@ -236,27 +245,43 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h, n = table.value.entropies(b.column(1).to_pylist())
-            own = h[np.arange(len(n)), b.column(0).to_numpy()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own), pa.array(n)], names=["lang", "h", "n"])
-
-    got = map_arrow(some.where("aside").select("lang", "t"), calibrate, "lang int, h double, n long").toArrow().to_pandas()
-    got = got[got["n"] > 0]
-    typical = np.empty((len(languages), 3))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(h), pa.list_(pa.float64())), pa.array(n)], names=["lang", "every", "n"])
+
+    got = map_arrow(some.where("aside").select("lang", "t"), calibrate, "lang int, every array<double>, n long").toArrow().to_pandas()
+    got = got[got["n"] > 0].reset_index(drop=True)
+    every = np.stack(got["every"].to_numpy()) if len(got) else np.empty((0, len(languages)))
+    got["h"] = every[np.arange(len(got)), got["lang"]]
+    model.temper = _temper(every, got["lang"].to_numpy(), got["n"].to_numpy())
+    typical = np.empty((len(languages), 4))
     for j in range(len(languages)):
         own = got[got["lang"] == j]
         own = own if len(own) >= 10 else got  # of a rare language, what all have
         if not len(own):
-            typical[j] = (0, np.inf, np.inf)
+            typical[j] = (0, np.inf, np.inf, 1)
             continue
         mean = float(np.average(own["h"], weights=own["n"]))
         off = (own["h"] - mean) ** 2
         long = own["n"] >= own["n"].median()
-        typical[j] = mean, max(1.0, float((off * own["n"]).mean())), max(1e-3, float(off[long].mean()))
+        by_char, by_doc = max(1.0, float((off * own["n"]).mean())), max(1e-3, float(off[long].mean()))
+        farthest = float(((own["h"] - mean) / np.sqrt(by_char / own["n"] + by_doc)).max())
+        typical[j] = mean, by_char, by_doc, max(LEAST_ALLOWED, spare * farthest)
     model.typical = typical
     return model
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", temper: float = 4.0, z: float = 6.0) -> DataFrame:
+def _temper(h: np.ndarray, lang: np.ndarray, n: np.ndarray) -> float:
+    """The temper, of some powers of two, under which the given languages are likeliest."""
+
+    def loss(temper: float) -> float:
+        x = -h * (n / temper)[:, None]
+        x -= x.max(axis=1, keepdims=True)
+        return float((np.log(np.exp(x).sum(axis=1)) - x[np.arange(len(x)), lang]).sum())
+
+    tempers = [2.0**i for i in range(9)]
+    return min(tempers, key=loss) if len(h) else 4.0
+
+
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: (id, lang_pred, score, entropy, rejected). A map over the rows, without a shuffle.
 
     ``score`` is the winner's share of the languages' likelihoods, tempered since neighbouring characters depend on each
@@ -270,13 +295,13 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         let_go()
         m = table.value
         for b in batches:
-            lang, score, entropy, rejected = judged(m, b.column(1).to_pylist(), temper, z)
+            lang, score, entropy, rejected = judged(m, b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(entropy, pa.float64(), from_pandas=True), pa.array(rejected)], names=["id", "lang_pred", "score", "entropy", "rejected"])
 
     return map_arrow(source, run, f"id {source.schema['id'].dataType.simpleString()}, lang_pred string, score double, entropy double, rejected boolean")
 
 
-def judged(m: Model, texts: list[str | None], temper: float = 4.0, z: float = 6.0) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+def judged(m: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Language, score, entropy and rejection of each text."""
     if not m.languages:
         none = np.zeros(len(texts))
@@ -284,16 +309,16 @@ def judged(m: Model, texts: list[str | None], temper: float = 4.0, z: float = 6.
     h, n = m.entropies(texts)
     best = h.argmin(axis=1)
     low = h[np.arange(len(n)), best]
-    score = 1 / np.exp(-np.minimum((h - low[:, None]) * (n / temper)[:, None], 700)).sum(axis=1)
+    score = 1 / np.exp(-np.minimum((h - low[:, None]) * (n / m.temper)[:, None], 700)).sum(axis=1)
     some = n > 0
     limit = np.full(len(n), np.inf)
     if m.typical is not None:
-        mean, by_char, by_doc = m.typical[best].T
+        mean, by_char, by_doc, z = m.typical[best].T
         limit = mean + z * np.sqrt(by_char / np.maximum(n, 1) + by_doc)
     return [m.languages[j] if ok else "und" for j, ok in zip(best, some, strict=True)], np.where(some, score, 0.0), np.where(some, low, np.nan), ~some | (low > limit)
 
 
-def accepted(docs: DataFrame, model: Model, text_col: str = "text", temper: float = 4.0, z: float = 6.0) -> DataFrame:
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The input rows, with all their columns, whose language isn't rejected."""
     table = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
@@ -301,7 +326,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", temper: floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for b in batches:
-            rejected = judged(table.value, b.column(at).to_pylist(), temper, z)[3]
+            rejected = judged(table.value, b.column(at).to_pylist())[3]
             yield b.filter(pa.array(~rejected))
 
     return map_arrow(docs, run, docs.schema)

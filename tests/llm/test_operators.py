@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -226,6 +227,52 @@ def test_kneser_ney_sums_to_one_and_blocks_agree(monkeypatch):
     assert np.allclose(once[1], model.entropies([texts[1]])[0][0], atol=1e-5)  # a text's score is its own
 
 
+def test_kneser_ney_equals_a_plain_model():
+    import pyarrow as pa
+
+    texts = [["abracadabra abra", "banana band"], ["xyz zyx xyzzy", "zebra"]]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 0, 1, 1], pa.int32()), pa.array(sum(texts, []))], names=["lang", "t"])
+    model = langid.estimate(["p", "q"], pa.Table.from_batches(list(langid._count(iter([batch])))))
+    broken = "\x01" * (langid.ORDER - 1)
+
+    def plain(own):
+        grams = {k: Counter() for k in range(1, langid.ORDER + 1)}
+        for t in own:
+            t = broken + t
+            for k in grams:
+                grams[k].update(t[i - k + 1 : i + 1] for i in range(langid.ORDER - 1, len(t)))
+        kept = {langid.ORDER: grams[langid.ORDER]}
+        for k in range(1, langid.ORDER):  # how many different characters stand before
+            kept[k] = Counter(g[1:] for g in grams[k + 1])
+
+        def p(context, c):
+            k = len(context) + 1
+            n = kept[k]
+            once, twice = max(1, sum(v == 1 for v in n.values())), max(1, sum(v == 2 for v in n.values()))
+            d = once / (once + 2 * twice)
+            beside = [v for g, v in n.items() if g[:-1] == context]
+            lower = p(context[1:], c) if context else langid.UNSEEN
+            if not beside:
+                return lower
+            return max(n[context + c] - d, 0) * (context + c in n) / sum(beside) + d * len(beside) / sum(beside) * lower
+
+        return p
+
+    for j, own in enumerate(texts):
+        p = plain(own)
+        for word in ("abra", "zyxa", "banxq", "q"):
+            t = broken + word
+            want = -sum(np.log(p(t[i - langid.ORDER + 1 : i], t[i])) for i in range(langid.ORDER - 1, len(t))) / len(word)
+            assert abs(model.entropies([word])[0][0, j] - want) < 1e-4, (word, j)
+
+
+def test_temper_is_the_likeliest():
+    h = np.array([[1.0, 1.1], [1.0, 1.05], [1.2, 1.0], [1.02, 1.0]])
+    lang, n = np.array([0, 1, 1, 1]), np.array([50, 40, 60, 10])
+    best = langid._temper(h, lang, n)
+    assert best in [2.0**i for i in range(9)] and best > 1
+
+
 # ---- 5 tokens ------------------------------------------------------------------------------------------------------------
 
 
@@ -511,7 +558,7 @@ def test_neighbours(spark):
     bad = [(None, [1.0] * 24), (5000, None), (5001, [0.0] * 24), (5002, [float("nan")] * 24), (5003, [None] * 24), (5004, []), (5005, [1.0]), (5020, [float("inf")] * 24)]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>").withColumn("list", F.lit(1)).withColumn("id", F.lit(2))
     got = defaultdict(list)
-    for r in ann.search(df.select("vec_id", "embedding"), F.col("id") % 20 == 0).collect():
+    for r in ann.search(df, F.col("id") % 20 == 0).collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     want = exact_neighbours(ids, m, 20)
     assert got.keys() == want.keys()
@@ -526,6 +573,35 @@ def test_neighbours(spark):
     assert [i for _, i, _ in got[100]] == list(range(101, 121))  # ties by id
 
 
+def test_repeated_ids_are_one_vector_in_any_order(spark):
+    rng = np.random.default_rng(23)
+    rows = [(int(i), rng.standard_normal(8).round(3).tolist()) for i in list(range(200)) * 2]
+    search = lambda r, n: sorted(map(tuple, ann.search(spark.createDataFrame(r, "vec_id long, embedding array<double>").repartition(n), F.col("id") % 20 == 0).collect()))
+    one = search(rows, 3)
+    assert one == search(rows[::-1], 5)
+    least = {}
+    for i, v in rows:
+        least[i] = min(v, least.get(i, v))
+    want = exact_neighbours(list(least), np.array(list(least.values())), 20)
+    assert {(q, i) for q, _, i, _ in one} == {(q, i) for q, found in want.items() for i, _ in found}
+
+
+def test_recall_over_many_lists(spark):
+    rng = np.random.default_rng(24)
+    hubs = rng.standard_normal((300, 16))
+    m = hubs[rng.integers(0, 300, 52_000)] + 0.3 * rng.standard_normal((52_000, 16))
+    got = defaultdict(set)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(m)), "embedding": list(m)}), "vec_id long, embedding array<double>").repartition(8)
+    for r in ann.search(df, F.col("id") % 2000 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q, found in got.items():
+        s = m @ m[q]
+        s[q] = -np.inf
+        hits += len(found & set(np.argpartition(-s, 20)[:20].tolist()))
+    assert len(got) == 26 and hits >= 0.9 * 20 * 26
+
+
 def test_few_neighbours(spark):
     rows = [(i, [float(i + 1), 1.0]) for i in range(5)] + [(0, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
