@@ -4,8 +4,8 @@ If a pair of fingerprints differs in ``radius`` bits at most, then in one of ``s
 ``a = radius // segments`` bits at most; indeed in one of the first ``radius - segments * a + 1``, or in another by
 ``a - 1`` at most. Each distinct fingerprint enters a table under the values of a small Hamming ball around its segments, and
 probes the table with those of another, the balls' radii adding up to ``a``; whatever meets under one value has its complete
-distance verified. Rows of one value never leave as all pairs: a task keeps the links of a minimum spanning forest, and where
-links are only candidates, those of each row to the centre of the rows it meets.
+distance verified. Rows of one value never leave as all pairs: a task keeps the links of a spanning forest, and where links
+are only candidates, those of each row to the centre of the rows it meets.
 
 With a second seed a fingerprint has 64 bits more, and segments of their own. ``similar_groups`` takes links as candidates and
 compares the texts at their ends.
@@ -30,8 +30,11 @@ BITS = 64
 #: Hashes whose bits are counted at once, and links that are held before they are reduced to stars.
 BLOCK = 1 << 16
 HELD = 1 << 18
+MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Rows that meet under one key are compared all at once up to this number.
-SMALL = 8
+SMALL = 16
+#: Of more rows, so many are centres.
+CENTRES = 3
 #: A key with more rows than this, as estimated from one node in so many, is split into pairs of parts; so many keys at most,
 #: those with the most rows.
 PART, ONE_IN, SPLIT_KEYS = 1 << 16, 64, 10_000
@@ -146,11 +149,25 @@ def _joined(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Which links are those of a minimum spanning forest, by distance; a node is a row. Boruvka's rounds."""
+def _priority(fp: np.ndarray) -> np.ndarray:
+    """A number for each fingerprint, the same in every task; equal ones are told apart by the fingerprints themselves."""
+    x = fp[:, 0].view(np.uint64) * MIX
+    for i in range(1, fp.shape[1]):
+        x = (x ^ (x >> np.uint64(29)) ^ fp[:, i].view(np.uint64)) * MIX
+    return x ^ (x >> np.uint64(32))
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which links are those of the minimum spanning forest by their ends' priorities, the better end's first.
+
+    That order is the same everywhere, so a link of the whole table's forest is in the forest of any part that has it. A node
+    is a row. Boruvka's rounds.
+    """
     nodes, at = _numbered(np.concatenate([a, b]))
+    place = np.empty(len(nodes), np.int64)
+    place[np.lexsort((*nodes.T[::-1], _priority(nodes)))] = np.arange(len(nodes))
     x, y = at[: len(a)], at[len(a) :]
-    order = np.lexsort((y, x, d))
+    order = np.lexsort((np.maximum(place[x], place[y]), np.minimum(place[x], place[y])))
     rank = np.empty(len(a), np.int64)
     rank[order] = np.arange(len(a))
     label, kept = np.arange(len(nodes)), np.zeros(len(a), bool)
@@ -166,113 +183,124 @@ def _forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 class _Links:
-    """Verified pairs, reduced to a forest whenever many have gathered; and pairs with centres, each once."""
+    """Verified pairs, reduced to a forest whenever many have gathered; and, if asked for, more candidates, each once.
 
-    def __init__(self, width: int, centres: bool) -> None:
-        self.centres, self.pairs, self.n_pairs, self.most_pairs = centres, [np.empty((0, 2 * width), np.int64)], 0, HELD
-        self.a, self.b, self.d = [np.empty((0, width), np.int64)], [np.empty((0, width), np.int64)], [np.empty(0, np.int64)]
-        self.n, self.most = 0, HELD
+    With ``segments``, a pair is taken under one of its common keys only.
+    """
 
-    def add(self, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> None:
+    def __init__(self, width: int, more: bool, segments: int) -> None:
+        self.width, self.more, self.segments = width, more, segments
+        self.held: dict[bool, list[np.ndarray]] = {False: [], True: []}
+        self.n, self.most = {False: 0, True: 0}, {False: HELD, True: HELD}
+
+    def add(self, key: int, a: np.ndarray, b: np.ndarray, more: bool = False) -> None:
+        if more and not self.more:
+            return
+        if self.segments and len(a):
+            own = _own_key(a, b, self.segments) == key
+            a, b = a[own], b[own]
         if len(a):
-            self.a.append(a)
-            self.b.append(b)
-            self.d.append(d.astype(np.int64))
-            self.n += len(a)
-            if self.n > self.most:
-                self.reduce()
-
-    def add_centred(self, rows: np.ndarray, centre: np.ndarray) -> None:
-        """Pairs of rows with a centre."""
-        if self.centres and len(rows):
-            self.pairs.append(np.concatenate([rows, np.broadcast_to(centre, rows.shape)], axis=1))
-            self.n_pairs += len(rows)
-            if self.n_pairs > self.most_pairs:
-                self.centred()
-                self.most_pairs = max(HELD, 2 * self.n_pairs)
-
-    def centred(self) -> np.ndarray:
-        every = _numbered(np.concatenate(self.pairs))[0]
-        self.pairs, self.n_pairs = [every], len(every)
+            self.held[more].append(np.concatenate([a, b], axis=1))
+            self.n[more] += len(a)
+            if self.n[more] > self.most[more]:
+                self.reduced(more)
+                self.most[more] = max(HELD, 2 * self.n[more])
+
+    def reduced(self, more: bool) -> np.ndarray:
+        every = np.concatenate([np.empty((0, 2 * self.width), np.int64), *self.held[more]])
+        every = _numbered(every)[0] if more else every[_forest(every[:, : self.width], every[:, self.width :])]
+        self.held[more], self.n[more] = [every], len(every)
         return every
 
-    def reduce(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a, b, d = np.concatenate(self.a), np.concatenate(self.b), np.concatenate(self.d)
-        kept = _forest(a, b, d)
-        self.a, self.b, self.d, self.n = [a[kept]], [b[kept]], [d[kept]], int(kept.sum())
-        self.most = max(HELD, 2 * self.n)
-        return a[kept], b[kept], d[kept]
-
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Differing bits of fingerprints, which the last axis holds."""
     return sum(np.bitwise_count((a[..., i] ^ b[..., i]).view(np.uint64)).astype(np.int64) for i in range(a.shape[-1]))
 
 
+def _own_key(a: np.ndarray, b: np.ndarray, segments: int) -> np.ndarray:
+    """The key under which a pair counts, of those that both enter by balls of one bit: in the first segment with two
+    differing bits at most, the value itself if they agree there, else the least that both enter. -1 if there is none."""
+    each = segments // a.shape[1]
+    out = np.full(len(a), -1)
+    for s in reversed(range(segments)):
+        low, high = BITS * (s % each) // each, BITS * (s % each + 1) // each
+        u, v = ((x[:, s // each].view(np.uint64) >> np.uint64(low)).astype(np.int64) & ((1 << (high - low)) - 1) for x in (a, b))
+        apart = u ^ v
+        bits = np.bitwise_count(apart)
+        one = apart & -apart
+        value = np.where(bits == 0, u, np.where(bits == 1, np.minimum(u, v), np.minimum(u ^ one, v ^ one)))
+        out = np.where(bits <= 2, value * segments + s, out)
+    return out
+
+
 def _meet(key: np.ndarray, exact: np.ndarray, fp: np.ndarray, radius: int, links: _Links) -> None:
     """Verify what meets under each key: table rows against all rows. Rows are sorted by key; fp has a row a fingerprint."""
     start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
     size = np.diff(np.r_[start, len(key)])
     tables = np.add.reduceat(exact.astype(np.int64), start)
     two = start[(size == 2) & (tables > 0)]
-    d = _distance(fp[two], fp[two + 1])
-    links.add(fp[two[d <= radius]], fp[two[d <= radius] + 1], d[d <= radius])
+    two = two[_distance(fp[two], fp[two + 1]) <= radius]
+    links.add(key[two, 0], fp[two], fp[two + 1])
+    links.add(key[two, 0], fp[two], fp[two + 1], True)
     many = (size > 2) & (tables > 0)
     for i, n in zip(start[many].tolist(), size[many].tolist(), strict=True):
         own, table = fp[i : i + n], np.flatnonzero(exact[i : i + n])
         if n <= SMALL:
             d = _distance(own[table, None], own[None, :])
-            x, y = np.nonzero(d <= radius)
-            links.add(own[table[x]], own[y], d[x, y])
-            middle = int(d.sum(axis=1).argmin())
-            links.add_centred(own[(d[middle] <= radius) & (d[middle] > 0)], own[table[middle]])
+            x, y = np.nonzero((d <= radius) & (d > 0))
+            x = table[x]
+            if links.segments:
+                x, y = x[x < y], y[x < y]
+            links.add(key[i, 0], own[x], own[y])
+            links.add(key[i, 0], own[x], own[y], True)
         else:
-            links.add(*_within(own, table, radius, links))
+            _within(key[i, 0], own, table, radius, links)
 
 
-def _within(own: np.ndarray, table: np.ndarray, radius: int, links: _Links) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of many rows under one key, centres second. What is already together needs no comparison, so a tight group
-    takes one round.
+def _within(key: int, own: np.ndarray, table: np.ndarray, radius: int, links: _Links) -> None:
+    """The forest of many rows under one key, and the links to its centres. Table rows come in order of priority, and what is
+    already together needs no comparison, so a tight group takes one round.
 
-    Rows near the bitwise majority come first: among near copies of one text, that text is the one all are near.
+    Centres are nearest to the bitwise majority: among near copies of one text, that text.
     """
-    bits = np.unpackbits(np.ascontiguousarray(own).view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-    middle = np.packbits(2 * bits > len(own)).view(np.int64)
+    if links.more:
+        bits = np.unpackbits(np.ascontiguousarray(own).view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+        middle = np.packbits(2 * bits > len(own)).view(np.int64)
+        for centre in own[table[np.argsort(_distance(own[table], middle), kind="stable")[:CENTRES]]]:
+            d = _distance(own, centre)
+            near = own[(d <= radius) & (d > 0)]
+            links.add(key, near, np.broadcast_to(centre, near.shape), True)
+    place = np.empty(len(own), np.int64)
+    place[np.lexsort((*own.T[::-1], _priority(own)))] = np.arange(len(own))
     label = np.arange(len(own))
-    a, b, ds = [], [], []
-    for t in table[np.argsort(_distance(own[table], middle), kind="stable")]:
+    for t in table[np.argsort(place[table])]:
         apart = np.flatnonzero(label != label[t])
         if not len(apart):
             break
-        d = _distance(own[t], own[apart])
-        near = d <= radius
-        if near.any():
-            apart, d = apart[near], d[near]
-            links.add_centred(own[apart], own[t])
-            order = np.lexsort((apart, d, label[apart]))
-            apart, d = apart[order], d[order]
-            first = np.r_[True, label[apart][1:] != label[apart][:-1]]
-            a.append(np.full(int(first.sum()), t))
-            b.append(apart[first])
-            ds.append(d[first])
-            label[np.isin(label, label[apart[first]])] = label[t]
-    if not a:
-        return own[:0], own[:0], np.empty(0, np.int64)
-    return own[np.concatenate(b)], own[np.concatenate(a)], np.concatenate(ds)
+        apart = apart[_distance(own[t], own[apart]) <= radius]
+        if len(apart):
+            apart = apart[np.argsort(place[apart])]
+            first = apart[np.unique(label[apart], return_index=True)[1]]
+            links.add(key, own[first], np.broadcast_to(own[t], own[first].shape))
+            label[np.isin(label, label[first])] = label[t]
 
 
 def links(nodes: DataFrame, radius: int = 3, segments: int = 2, reach: int | None = None) -> DataFrame:
-    """(a, b): a minimum spanning forest of the pairs of distinct fingerprints within ``radius`` bits, by each task's keys.
+    """(a, b): links whose closure is that of all pairs of distinct fingerprints within ``radius`` bits.
 
-    ``nodes``: fp, which is a node itself, or fp and fp2, whose structs are nodes. With a ``reach`` beyond the radius, pairs up to
-    there are links if they happen to meet, and a row's links to the centres of the rows it meets are added. Rows of a key stream through a task in key order, so a task holds one key's rows at
-    a time; those are distinct fingerprints, never copies of documents, and keys of very many rows are split.
+    ``nodes``: fp, which is a node itself, or fp and fp2, whose structs are nodes. Each task gives the spanning forest of what it
+    finds. With a ``reach`` beyond the radius, pairs up to there are links if they happen to meet; then all pairs of few rows
+    under a key are given, too, and the links of many to their centres. Rows of a key stream through a task in key order, so a
+    task holds one key's rows at a time; those are distinct fingerprints, never copies of documents, and keys of very many
+    rows are split.
     """
     names = nodes.columns
     most = max(radius, reach or 0)
+    twice = radius // segments == 2 and radius % segments == segments - 1  # every segment has balls of one bit on both sides
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, rest = _Links(len(names), most > radius), None
+        found, rest = _Links(len(names), most > radius, segments if twice else 0), None
         for b in batches:
             col = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             rows = [np.stack([col[0], col[-1]], axis=1), col[1], np.stack(col[2:-1], axis=1)]
@@ -286,11 +314,9 @@ def links(nodes: DataFrame, radius: int = 3, segments: int = 2, reach: int | Non
                 _meet(*(x[:last] for x in rows), most, found)
         if rest is not None and len(rest[0]):
             _meet(*rest, most, found)
-        a, b, _ = found.reduce()
-        more = found.centred()
-        a, b = np.concatenate([a, more[:, : len(names)]]), np.concatenate([b, more[:, len(names) :]])
-        for i in range(0, len(a), BLOCK):
-            cols = [pa.array(np.ascontiguousarray(x[i : i + BLOCK, k])) for x in (a, b) for k in range(len(names))]
+        every = np.concatenate([found.reduced(False), found.reduced(True)])
+        for i in range(0, len(every), BLOCK):
+            cols = [pa.array(np.ascontiguousarray(every[i : i + BLOCK, k])) for k in range(2 * len(names))]
             yield pa.RecordBatch.from_arrays(cols, names=[f"{end}_{c}" for end in "ab" for c in names])
 
     schema = ", ".join(f"{end}_{c} long" for end in "ab" for c in names)
@@ -369,7 +395,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Candidates are the links of 128-bit fingerprints of distinct words, complete up to ``radius`` bits and taken up to
     ``reach``; a link counts if the Jaccard similarity of the texts' sets of ``words``-word shingles is ``least`` or more. Of
-    links that close a ring only the closer ones and those to a centre are candidates. Equal texts are one node; null texts, and texts without a
+    links among many that meet, those of a spanning forest and those to its centres are candidates. Equal texts are one node; null texts, and texts without a
     word, are alike. A null id takes part but never names a component, unless all its ids are null. Repeated rows come back
     repeated; other columns are ignored; an empty table gives an empty result.
     """
