@@ -15,11 +15,13 @@ def matched(rows: DataFrame, values: DataFrame, key: str, number: str, total: in
     """``rows`` with the columns of ``values``, which has one row a key and in ``number`` how many rows have it.
 
     Rows of hot keys get theirs by a broadcast of the hot keys' values, fewer than ``HOT`` rows, and stay where they are; all
-    others are shuffled. Both sides should be stored ones, since they are read twice.
+    others are shuffled, in one plain join where no key is hot. Both sides should be stored ones, since they are read twice.
     """
     hot = F.col(number) * HOT > total
     names = [c for c in values.columns if c not in (key, number)]
     few = values.where(hot).select(F.col(key).alias("_hot"), F.struct(*names).alias("_value"))
+    if few.isEmpty():
+        return rows.join(values.drop(number), key).select(*rows.columns, *names)
     marked = rows.join(F.broadcast(few), F.col(key) == F.col("_hot"), "left")
     kept = [*rows.columns, *names]
     known = marked.where("_hot is not null").select(*rows.columns, *[F.col(f"_value.{c}").alias(c) for c in names])
@@ -31,6 +33,14 @@ def _pointed(edges: DataFrame) -> DataFrame:
     return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def _state(edges: DataFrame) -> tuple[int, int]:
+    """How many edges (u, v) there are, and how many nodes keep them from being stars: those with several edges to smaller
+    nodes, or with edges both ways. One aggregation with map-side combine."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("v", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("n").agg(F.sum("o").alias("o"), F.max("i").alias("i"))
+    return tuple(nodes.agg(F.coalesce(F.sum("o"), F.lit(0)), F.count_if((F.col("o") > 1) | (F.col("o") > 0) & (F.col("i") > 0))).first())
+
+
 def stars(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Reduce links to (node, root) pairs, root being the smallest node of the component.
 
@@ -40,16 +50,14 @@ def stars(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """
     a, b = edges.columns
     now = cut(_pointed(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).dropna()))
-    before = None
     for _ in range(max_rounds):
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first()
-        if tuple(seen) == before:
+        total, unsettled = _state(now)
+        if not unsettled:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = tuple(seen)
         both = now.union(now.select("v", "u"))
         least = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("k")))
-        large = cut(_pointed(matched(both, least, "u", "k", 2 * seen[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))))
+        large = cut(_pointed(matched(both, least, "u", "k", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))))
         least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k")))
-        small = matched(large, least, "u", "k", seen[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = matched(large, least, "u", "k", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(_pointed(small.union(least.select("u", F.col("m").alias("v")))))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
