@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import math
 import time
 from collections import OrderedDict
 from collections.abc import Callable
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,13 +33,44 @@ MODES = ("balanced", "semantic", "relationship", "entity")
 
 @dataclass
 class Result:
-    """nodes: the ranked context; edges: its named edges; stats: one row a query with its counts."""
+    """nodes: the ranked context; edges: its named edges; stats: one row a query with its counts; timings: milliseconds of
+    each step and in total."""
 
     answer: str | None
     nodes: DataFrame
     edges: DataFrame
     stats: DataFrame
     cache_hit: bool = False
+    timings: dict[str, int] = field(default_factory=dict)
+
+
+def _ms(began: float) -> int:
+    return round((time.perf_counter() - began) * 1000)
+
+
+def _timed(method: Callable[..., Result]) -> Callable[..., Result]:
+    """The method, with its whole time in its result."""
+
+    @functools.wraps(method)
+    def run(*args: object, **more: object) -> Result:
+        began = time.perf_counter()
+        found = method(*args, **more)
+        found.timings["total_ms"] = _ms(began)
+        return found
+
+    return run
+
+
+def respond(found: Result, profile: str = "standard") -> dict[str, object]:
+    """The fields of a profile, of a result for one query. Context and its edges, at most top_n nodes and what links them,
+    are read only by profiles that have them; steps that did not run took no time."""
+    if profile not in PROFILES:
+        raise ValidationFailed(f"a response profile is one of {', '.join(PROFILES)}")
+    names = PROFILES[profile]
+    rows = {"nodes": lambda: found.nodes.orderBy("rank"), "edges": lambda: found.edges}
+    counted = (found.stats.first() if "seed_nodes" in names else None) or {}
+    known = {"answer": found.answer or "", "cache_hit": found.cache_hit, **(counted and counted.asDict()), **found.timings}
+    return {n: [r.asDict() for r in rows[n]().collect()] if n in rows else known.get(n, 0) for n in names}
 
 
 def validate(query: str | None = None, vector: list[float] | None = None, mode: str | None = None, max_hops: int | None = None) -> None:
@@ -91,10 +123,15 @@ class Engine:
     """Queries over a graph. Every retrieval is one plan over all its queries; only models and multi-hop rounds act on the
     driver, on one context of at most top_n nodes."""
 
-    def __init__(self, graph: g.Graph, embedder: Embedder | None = None, image_embedder: Embedder | None = None, generator: Callable[[str], str] | None = None, reasoner: Callable[[str, int, int], Reply] | None = None, delta: g.Graph | None = None) -> None:
+    def __init__(self, graph: g.Graph, embedder: Embedder | None = None, image_embedder: Embedder | None = None, generator: Callable[[str], str] | None = None, reasoner: Callable[[str, int, int], Reply] | None = None, delta: g.Graph | None = None, cache: ResultCache | None = None) -> None:
         self.graph = graph if delta is None else g.Graph(graph.nodes.unionByName(delta.nodes), graph.edges.unionByName(delta.edges))
         self.embedder, self.image_embedder, self.generator, self.reasoner = embedder, image_embedder, generator, reasoner
-        self.cache = ResultCache()
+        self.cache = cache or ResultCache()
+
+    def swap(self, graph: g.Graph) -> None:
+        """Query another graph from now on, such as one with its delta merged; results of the old one are forgotten."""
+        self.graph = graph
+        self.cache.clear()
 
     @property
     def spark(self) -> SparkSession:
@@ -107,17 +144,22 @@ class Engine:
 
     def retrieve(self, seeds: DataFrame, queries: DataFrame | None, options: QueryOptions, min_score: float | None = None) -> Result:
         """Expand, score and cut; with the edges inside each context and the counts of each step."""
+        began = time.perf_counter()
         seeds = cut(seeds)
+        timings, began = {"search_ms": _ms(began)}, time.perf_counter()
         sub = g.bfs(self.graph.edges, seeds, options.depth, options.max_nodes, options.bidirectional)
         sub = cut(sub)
+        timings["bfs_ms"], began = _ms(began), time.perf_counter()
         unit = queries.select("query_id", normalise("vector").alias("vector")) if queries is not None else None
         scored = scoring.score(sub, self.graph.nodes, seeds, options.weights, unit)
         top = cut(scoring.context(scored, options.top_n, options.min_score if min_score is None else min_score))
+        timings["score_ms"] = _ms(began)
         edges = scoring.named_edges(g.edges_between(self.graph.edges, top.select("query_id", "node")), self.graph.nodes)
         number = lambda df, name: df.groupBy("query_id").agg(F.count(F.lit(1)).alias(name))
         stats = number(seeds, "seed_nodes").join(number(sub, "subgraph_nodes"), "query_id", "left").join(number(top, "context_nodes"), "query_id", "left")
-        return Result(None, top, edges, stats.na.fill(0))
+        return Result(None, top, edges, stats.na.fill(0), timings=timings)
 
+    @_timed
     def query_vectors(self, queries: DataFrame, options: QueryOptions = QueryOptions()) -> Result:
         """Many queries (query_id, vector) in one plan."""
         return self.retrieve(self.seeds(queries, options), queries, options)
@@ -125,9 +167,11 @@ class Engine:
     def _answered(self, found: Result, query: str, hints: Hints) -> Result:
         if self.generator is None:
             return found
+        began = time.perf_counter()
         found.answer = models.NO_CONTEXT
         if prompt := self._prompt(found, query, models.answer_prompt(hints)):
             found.answer = self.generator(prompt)
+        found.timings["llm_ms"] = _ms(began)
         return found
 
     def _prompt(self, found: Result, query: str, prompt: F.Column) -> str | None:
@@ -137,11 +181,13 @@ class Engine:
     def _one(self, vector: list[float]) -> DataFrame:
         return self.spark.createDataFrame([(0, [float(x) for x in vector])], "query_id long, vector array<double>")
 
+    @_timed
     def query_vector(self, vector: list[float], query: str = "", options: QueryOptions = QueryOptions(), hints: Hints = Hints()) -> Result:
         """One vector; never cached."""
         validate(vector=vector)
         return self._answered(self.query_vectors(self._one(vector), options), query, hints)
 
+    @_timed
     def query_text(self, query: str, options: QueryOptions = QueryOptions(), hints: Hints = Hints()) -> Result:
         """Cached by query and options, unless hints are given."""
         validate(query=query)
@@ -150,16 +196,21 @@ class Engine:
         key = None if hints else ResultCache.key(query, options)
         if key and (found := self.cache.get(key)):
             return Result(found.answer, found.nodes, found.edges, found.stats, True)
-        found = self.query_vector(self.embedder([query])[0].tolist(), query, options, hints)
+        began = time.perf_counter()
+        vector, took = self.embedder([query])[0].tolist(), _ms(began)
+        found = self.query_vector(vector, query, options, hints)
+        found.timings["embed_ms"] = took
         if key:
             self.cache.put(key, found)
         return found
 
+    @_timed
     def query_image(self, image: str, query: str = "", options: QueryOptions = QueryOptions(), hints: Hints = Hints()) -> Result:
         if self.image_embedder is None:
             raise ModelUnavailable("no image embedder")
         return self.query_vector(self.image_embedder([image])[0].tolist(), query, options, hints)
 
+    @_timed
     def query_node(self, node_id: int, options: QueryOptions = QueryOptions()) -> Result:
         """From a node: it is the one seed, with similarity 1; other nodes have similarity 0 and no score is too low."""
         if self.graph.nodes.where(F.col("id") == node_id).isEmpty():
@@ -184,6 +235,7 @@ class Engine:
         a, b = F.lower("name"), F.lower("wanted")
         return hits.where(F.contains(a, b) | F.contains(b, a)).groupBy("query_id").agg(F.min_by("id", "rank").alias("node")).select("node").distinct()
 
+    @_timed
     def query_multihop(self, query: str, options: QueryOptions = QueryOptions(), max_hops: int = 3, hints: Hints = Hints()) -> Result:
         """Retrieve, ask the reasoner, add what it asks for, at most ``max_hops`` times.
 
@@ -210,7 +262,8 @@ class Engine:
             extra = self.retrieve(seeds, vector, options)
             nodes = merge_context(found.nodes, extra.nodes, options.top_n)
             edges = merge_edges(found.edges, extra.edges)
-            found = Result(None, cut(nodes), cut(edges), found.stats)
+            steps = {k: found.timings.get(k, 0) + extra.timings.get(k, 0) for k in extra.timings}
+            found = Result(None, cut(nodes), cut(edges), found.stats, timings=steps)
 
 
 def merge_context(base: DataFrame, extra: DataFrame, top_n: int) -> DataFrame:

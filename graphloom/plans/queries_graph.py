@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import graph as g
 from graphloom.operators import scoring, search
-from graphloom.operators.engine import PROFILES, Engine
+from graphloom.operators.engine import PROFILES, Engine, respond
 from graphloom.operators.scoring import PRESETS, QueryOptions
 from graphloom.plans.graphs import STAR_SQL, VECTOR_SQL, bfs_sql, score_sql, star_graph, table, vector_graph
 from graphloom.plans.queries_vector import one_query
@@ -204,6 +204,14 @@ def query_stats(spark: SparkSession, d: str) -> DataFrame:
     return _full(spark, d).stats.select("seed_nodes", "subgraph_nodes", "context_nodes")
 
 
-@query("SELECT unnest(['minimal', 'standard', 'full']) AS profile, unnest([3, 9, 13]) AS n_columns")
+def _profile_sql(name: str, nodes: str, edges: str) -> str:
+    return f"SELECT '{name}' AS profile, '{','.join(sorted(PROFILES[name]))}' AS fields, {nodes} AS n_nodes, {edges} AS n_edges"
+
+
+@query(f"WITH {FULL} " + " UNION ALL ".join((_profile_sql("minimal", "0", "0"), _profile_sql("standard", "(SELECT count(*) FROM top)", "0"), _profile_sql("full", "(SELECT count(*) FROM top)", "(SELECT count(*) FROM between)"))))
 def response_profiles(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(p, len(c)) for p, c in PROFILES.items()], "profile string, n_columns int")
+    """What each profile's answer to one query holds: its fields, and how many nodes and edges."""
+    found = _full(spark, d)
+    got = {p: respond(found, p) for p in PROFILES}
+    rows = [(p, ",".join(sorted(r)), len(r.get("nodes", [])), len(r.get("edges", []))) for p, r in got.items()]
+    return spark.createDataFrame(rows, "profile string, fields string, n_nodes long, n_edges long")

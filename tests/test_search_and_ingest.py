@@ -15,7 +15,7 @@ from graphloom.functions.text import fnv1a, model_parts
 from graphloom.operators import delta as log
 from graphloom.operators import graph as g
 from graphloom.operators import ingest, lookup, models, search
-from graphloom.operators.engine import Engine, ResultCache
+from graphloom.operators.engine import Engine, respond, ResultCache
 from graphloom.operators.ingest import Resolution
 from graphloom.operators.models import HashedWords, Hints, Reply
 from graphloom.operators.scoring import QueryOptions
@@ -225,6 +225,24 @@ def test_engine(spark):
         ResultCache.key("q", QueryOptions(min_score=math.nan))
 
 
+def test_profiles_timings_and_swap(spark):
+    graph, options = small(spark, 6), QueryOptions(min_score=0.0, k=2, depth=1)
+    e = Engine(graph, lambda texts: np.array([basis(0)] * len(texts)), generator=lambda p: "said", cache=ResultCache(1, 60.0))
+    found = e.query_text("q", options)
+    assert set(found.timings) == {"search_ms", "bfs_ms", "score_ms", "llm_ms", "embed_ms", "total_ms"}
+    assert found.timings["total_ms"] >= found.timings["search_ms"] + found.timings["bfs_ms"]
+    assert set(respond(found, "minimal")) == {"answer", "total_ms", "cache_hit"}
+    standard, full = respond(found), respond(found, "full")
+    assert "edges" not in standard and standard["answer"] == "said" and standard["context_nodes"] == len(standard["nodes"]) > 0
+    assert len(full["edges"]) == found.edges.count() and {"search_ms", "bfs_ms", "score_ms"} <= set(full)
+    with pytest.raises(ValidationFailed):
+        respond(found, "huge")
+    again = e.query_text("q", options)
+    assert again.cache_hit and respond(again, "minimal")["cache_hit"]
+    e.swap(small(spark, 3))
+    assert not e.query_text("q", options).cache_hit and e.graph.nodes.count() == 3
+
+
 def test_multihop_ends(spark):
     graph = small(spark, 6)
     nodes = models.embed(graph.nodes.drop("embedding"), "name", HashedWords())
