@@ -8,7 +8,7 @@ distance verified. Rows of one value never leave as all pairs: a task keeps the
 are only candidates, those of each row to the centre of the rows it meets.
 
 With a second seed a fingerprint has 64 bits more, and segments of their own. ``similar_groups`` takes links as candidates and
-compares the texts at their ends.
+compares the texts at their ends; pairs that are alike without such a link are found exactly, by the shingles they share.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ CENTRES = 3
 #: A key with more rows than this, as estimated from one node in so many, is split into pairs of parts; so many keys at most,
 #: those with the most rows.
 PART, ONE_IN, SPLIT_KEYS = 1 << 16, 64, 10_000
+#: Shingles are counted over one text in so many; so many of the most frequent ones are taken last.
+COUNTED, FREQUENT = 16, 1 << 15
 
 
 def fingerprint(text: bytes | None, words: int = 3, distinct: bool = False, seed: int = 42) -> int:
@@ -114,10 +116,14 @@ def _entries(nodes: DataFrame, radius: int, segments: int) -> DataFrame:
 def _split(entries: DataFrame, sample: DataFrame) -> DataFrame:
     """Entries with a column ``part``: 0, or for keys with very many rows the pairs of parts that a row is in."""
     seen = sample.groupBy("key").count().where(F.col("count") > PART // ONE_IN).orderBy(F.desc("count"), "key").limit(SPLIT_KEYS).collect()
-    if not seen:
+    return _parted(entries, [(r["key"], -(-r["count"] * ONE_IN // PART)) for r in seen])
+
+
+def _parted(entries: DataFrame, keys: list[tuple[int, int]]) -> DataFrame:
+    """Entries with a column ``part``, by the number of parts of the keys that have several."""
+    if not keys:
         return entries.withColumn("part", F.lit(0).cast("long"))
-    spark = entries.sparkSession
-    parts = spark.createDataFrame([(r["key"], -(-r["count"] * ONE_IN // PART)) for r in seen], "_key long, _parts long")
+    parts = entries.sparkSession.createDataFrame(keys, "_key long, _parts long")
     own = F.pmod(F.xxhash64(F.lit("part"), *[F.col(c) for c in entries.columns[2:]]), F.col("_parts"))
     pair = lambda q: F.least(own, q) * F.col("_parts") + F.greatest(own, q)
     at = F.when(F.col("_parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1), pair))
@@ -390,13 +396,167 @@ def verified(edges: DataFrame, docs: DataFrame, text_col: str, words: int, least
     return map_arrow(met, run, "a long, b long")
 
 
+def _hashes(text: bytes | None, words: int) -> np.ndarray:
+    """Distinct hashes of a text's shingles in order: equal shingles have equal ones."""
+    ws = (text or b"").lower().split()
+    w = np.fromiter(map(xxhash.xxh64_intdigest, ws), dtype=np.uint64, count=len(ws))
+    many = min(words, len(ws))
+    h = np.zeros(len(ws) - many + 1, np.uint64)
+    for i in range(many):
+        h = (h ^ (h >> np.uint64(29))) * MIX + w[i : i + len(h)]
+    h = (h ^ (h >> np.uint64(32))) * MIX
+    return np.unique(h ^ (h >> np.uint64(29)))
+
+
+def _prefix(h: np.ndarray, least: float, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first of a text's hashes, in an order that is the same for all texts: two texts alike by ``least`` share one of them.
+
+    They share at least ``least`` of each one's hashes, so the first that they share has no more than the rest before it. The
+    order is that of the hashes, but ``frequent`` ones come last, by ``rank``.
+    """
+    size = len(h) - max(1, int(np.ceil(least * len(h) - 1e-6))) + 1
+    if not len(frequent):
+        return h[:size]
+    at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+    often = frequent[at] == h
+    rare = h[~often]
+    if len(rare) >= size:
+        return rare[:size]
+    return np.concatenate([rare, h[often][np.argsort(rank[at[often]])]])[:size]
+
+
+def _sharing(key: np.ndarray, place: np.ndarray, size: np.ndarray, node: np.ndarray, label: np.ndarray, least: float) -> Iterator[np.ndarray]:
+    """Pairs of nodes of different labels that may be alike as far as the places of the hash they share tell. Rows are sorted
+    by key.
+
+    In a key's rows those of the most frequent label come last, and are not compared among themselves.
+    """
+    order = np.lexsort((label, key))
+    new = np.r_[True, (key[order][1:] != key[order][:-1]) | (label[order][1:] != label[order][:-1])]
+    run = np.cumsum(new) - 1
+    of_run = np.bincount(run)
+    order = order[np.lexsort((run, of_run[run], key[order]))]
+    key, place, size, node, label = (x[order] for x in (key, place, size, node, label))
+    change = np.r_[True, key[1:] != key[:-1]]
+    end = np.r_[np.flatnonzero(change)[1:], len(key)][np.cumsum(change) - 1]
+    left = np.flatnonzero(label != label[end - 1])
+    apart = 1
+    while len(left := left[left + apart < end[left]]):
+        x, y = left, left + apart
+        both = np.minimum(size[x] - place[x], size[y] - place[y])
+        keep = (label[x] != label[y]) & (both * (1 + least) >= least * (size[x] + size[y]) - 1e-6)
+        if keep.any():
+            yield np.stack([node[x[keep]], node[y[keep]]], axis=1)
+        apart += 1
+
+
+def _sample(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles' hashes in order, and in how many texts each is, estimated from a sample."""
+    some = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).cast("binary").alias("t")).where(F.pmod(F.xxhash64(F.lit("some"), "h"), F.lit(COUNTED)) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(_hashes(t.as_py(), words).view(np.int64))], names=["key"])
+
+    counts = cut(map_arrow(some.groupBy("h").agg(F.first("t").alias("t")).select("t"), run, "key long").groupBy("key").count().where("count > 1"))
+    least, n = 1 << 62, 0
+    for r in sorted(counts.groupBy("count").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        n += r["n"]
+        if n > FREQUENT:
+            break
+        least = r["count"]
+    top = counts.where(F.col("count") >= least).collect()
+    keys, n = np.array([r["key"] for r in top], np.int64).view(np.uint64), np.array([r["count"] for r in top], np.int64)
+    order = np.argsort(keys)
+    return keys[order], n[order] * COUNTED
+
+
+def alike_besides(docs: DataFrame, edges: DataFrame, text_col: str, words: int, least: float) -> DataFrame:
+    """(a, b): every pair of texts, by their 64-bit hashes, that may have a Jaccard similarity of ``least`` or more, except some
+    that the stored edges (a, b) connect. The end of more pairs is ``b``.
+
+    Each distinct text is entered under the hashes of its ``_prefix``, so that two that are alike meet under one; a pair that
+    leaves the task is possible by the texts' sizes and the places of that hash in them. Texts with the same least neighbour
+    are connected, so they are not compared. Keys of very many texts are split.
+    """
+    frequent, number = _sample(docs, text_col, words)
+    rank = np.empty(len(number), np.int64)
+    rank[np.lexsort((frequent, number))] = np.arange(len(number))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        for b in batches:
+            size, found = [], []
+            for t in b.column(1):
+                h = _hashes(t.as_py(), words)
+                size.append(len(h))
+                found.append(_prefix(h, least, frequent, rank).view(np.int64))
+            offsets = np.cumsum([0, *map(len, found)])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *found])))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), lists], names=["h", "size", "keys"])
+
+    source = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).cast("binary").alias("t"))
+    each = map_arrow(source, prefixes, "h long, size long, keys array<long>").groupBy("h").agg(F.first(F.struct("size", "keys")).alias("p"))
+    both = edges.union(edges.select("b", "a")).groupBy(F.col("a").alias("h")).agg(F.least(F.col("a"), F.min("b")).alias("root"))
+    rows = each.join(both, "h", "left").select("h", "root", "p.size", F.posexplode("p.keys").alias("place", "key"))
+    entries = rows.select("key", F.shiftleft("size", 32).bitwiseOR(F.col("place").cast("long")).alias("at"), "h", "root")
+    large = number > PART
+    entries = _parted(entries, list(zip(frequent[large].view(np.int64).tolist(), (-(-number[large] // PART)).tolist(), strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, rest = [], 0, None
+
+        def out() -> pa.RecordBatch:
+            pairs = _numbered(np.concatenate([np.empty((0, 2), np.int64), *held]))[0]
+            _, at, number = np.unique(pairs, return_inverse=True, return_counts=True)
+            cols = np.concatenate([pairs, number[at].reshape(-1, 2)], axis=1).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols.T], names=["x", "y", "of_x", "of_y"])
+
+        def met(key: np.ndarray, part: np.ndarray, at: np.ndarray, node: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
+            nonlocal held, n
+            change = np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]
+            which = np.cumsum(change) - 1
+            several = np.bincount(which)[which] > 1
+            if not several.any():
+                return
+            which, at, node, label = (x[several] for x in (which, at, node, label))
+            for pairs in _sharing(which, at & ((1 << 32) - 1), at >> 32, node, label, least):
+                held.append(np.sort(pairs, axis=1))
+                n += len(pairs)
+                if n > HELD:
+                    yield out()
+                    held, n = [], 0
+
+        for b in batches:
+            key, at, node, part = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4))
+            label = np.where(b.column(3).is_null().to_numpy(zero_copy_only=False), node, b.column(3).fill_null(0).to_numpy(zero_copy_only=False))
+            now = [key, part, at, node, label]
+            if rest is not None:
+                now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
+            if not len(now[0]):
+                continue
+            last = int(np.argmax((now[0] == now[0][-1]) & (now[1] == now[1][-1])))
+            rest = [x[last:] for x in now]
+            if last:
+                yield from met(*(x[:last] for x in now))
+        if rest is not None and len(rest[0]):
+            yield from met(*rest)
+        yield out()
+
+    found = map_arrow(entries.repartition("key", "part").sortWithinPartitions("key", "part"), run, "x long, y long, of_x long, of_y long")
+    pairs = found.groupBy("x", "y").agg((F.sum("of_x") > F.sum("of_y")).alias("hub"))
+    return pairs.select(F.when(F.col("hub"), F.col("y")).otherwise(F.col("x")).alias("a"), F.when(F.col("hub"), F.col("x")).otherwise(F.col("y")).alias("b"))
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int = 11, segments: int = 4, reach: int = 20, seeds: tuple[int, ...] = (42, 43)) -> DataFrame:
     """One row per input row: (id, component), component being the smallest id reachable over texts alike by ``least``.
 
-    Candidates are the links of 128-bit fingerprints of distinct words, complete up to ``radius`` bits and taken up to
-    ``reach``; a link counts if the Jaccard similarity of the texts' sets of ``words``-word shingles is ``least`` or more. Of
-    links among many that meet, those of a spanning forest and those to its centres are candidates. Equal texts are one node; null texts, and texts without a
-    word, are alike. A null id takes part but never names a component, unless all its ids are null. Repeated rows come back
+    Two texts link if the Jaccard similarity of their sets of ``words``-word shingles is ``least`` or more; no such pair is left
+    out. First candidates are the links of 128-bit fingerprints of distinct words, complete up to ``radius`` bits and taken up to
+    ``reach``; of links among many that meet, those of a spanning forest and those to its centres. They bring most of what is
+    alike together, and ``alike_besides`` gives all other pairs that can be alike. Equal texts are one node; null texts, and
+    texts without a word, are alike. A null id takes part but never names a component, unless all its ids are null. Repeated rows come back
     repeated; other columns are ignored; an empty table gives an empty result.
     """
     source = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).alias("row"), F.col(text_col).alias("t"))
@@ -408,5 +568,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     centres = cut(found.groupBy("b").agg(F.count(F.lit(1)).alias("size")).join(classes.select(F.col("own").alias("b"), F.col("first").alias("to")), "b"))
     between = matched(found, centres, "b", "size", found.count()).join(classes.select(F.col("own").alias("a"), "first"), "a").select(F.col("first").alias("a"), F.col("to").alias("b"))
     inside = matched(nodes.select("h", "own"), classes, "own", "size", n).where("h <> first").select(F.col("h").alias("a"), F.col("first").alias("b"))
-    star = stars(verified(cut(between.union(inside)), docs, text_col, words, least))
+    alike = cut(verified(cut(between.union(inside)), docs, text_col, words, least))
+    besides = cut(alike_besides(docs, alike, text_col, words, least))
+    star = stars(alike.union(verified(besides, docs, text_col, words, least)))
     return _named(prints.select("id", "h"), "h", nodes.select("h", "id", "k"), star).select("id", "component")

@@ -714,6 +714,38 @@ def test_similar_groups_equal_all_pairs(spark, odd, none):
     assert simhash.similar_groups(none).count() == 0
 
 
+@pytest.mark.parametrize(("counted", "part"), [(simhash.COUNTED, simhash.PART), (1, 8)])
+def test_similar_groups_leave_no_pair_out(spark, counted, part, monkeypatch):
+    monkeypatch.setattr(simhash, "COUNTED", counted)
+    monkeypatch.setattr(simhash, "PART", part)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(120)]
+    texts = []
+    for k in range(100):  # many orders of the same words, so that all meet, each with one text alike
+        one = rng.sample(words, len(words))
+        two = list(one)
+        if k < 40:
+            i = rng.randrange(len(words) - 1)
+            two[i], two[i + 1] = two[i + 1], two[i]
+        else:
+            for i in range(0, 120, 30):
+                one[i] = two[i] = f"x{rng.randrange(10**6)}"
+            del two[-3:]
+        texts += [one, two]
+    texts += [["y", *w] for w in (["a", "b", "c"], ["a", "b", "c"], ["a", "c", "b"])]
+    texts += [[f"z{i}" for i in range(24)][: 24 - cut] for cut in (0, 4, 8)]  # exactly at 0.8, and 0.75 of that
+    texts += [["common"] * 6 + [f"c{i}" for i in range(8)] + [f"v{k}" for _ in range(k)] for k in range(30)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [simhash.shingles(t.encode(), 5) for _, t in rows]
+    want = list(range(len(rows)))
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in rows:
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    got = {r["id"]: r["component"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(want)) and len(pairs) > 100
+
+
 def test_hot_keys_get_their_values(spark):
     rows = spark.createDataFrame([(1, i) for i in range(5000)] + [(i, 0) for i in range(2, 3000)], "key long, x long")
     values = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("value", F.col("key") * 2)
