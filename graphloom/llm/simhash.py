@@ -40,6 +40,8 @@ CENTRES = 3
 PART, ONE_IN, SPLIT_KEYS = 1 << 16, 64, 10_000
 #: Shingles are counted over one text in so many; so many of the most frequent ones are taken last.
 COUNTED, FREQUENT = 16, 1 << 15
+#: So many texts that meet under one shingle are compared at once.
+WIDE = 1 << 11
 
 
 def fingerprint(text: bytes | None, words: int = 3, distinct: bool = False, seed: int = 42) -> int:
@@ -425,29 +427,70 @@ def _prefix(h: np.ndarray, least: float, frequent: np.ndarray, rank: np.ndarray)
     return np.concatenate([rare, h[often][np.argsort(rank[at[often]])]])[:size]
 
 
-def _sharing(key: np.ndarray, place: np.ndarray, size: np.ndarray, node: np.ndarray, label: np.ndarray, least: float) -> Iterator[np.ndarray]:
-    """Pairs of nodes of different labels that may be alike as far as the places of the hash they share tell. Rows are sorted
-    by key.
-
-    In a key's rows those of the most frequent label come last, and are not compared among themselves.
-    """
-    order = np.lexsort((label, key))
-    new = np.r_[True, (key[order][1:] != key[order][:-1]) | (label[order][1:] != label[order][:-1])]
-    run = np.cumsum(new) - 1
-    of_run = np.bincount(run)
-    order = order[np.lexsort((run, of_run[run], key[order]))]
-    key, place, size, node, label = (x[order] for x in (key, place, size, node, label))
+def _possible(key: np.ndarray, place: np.ndarray, size: np.ndarray, label: np.ndarray, least: float) -> np.ndarray:
+    """Which rows share their key with one of another label that may be alike, as far as the places of the hash they share
+    tell. Rows are sorted by key. A row is compared until one such is found."""
     change = np.r_[True, key[1:] != key[:-1]]
-    end = np.r_[np.flatnonzero(change)[1:], len(key)][np.cumsum(change) - 1]
-    left = np.flatnonzero(label != label[end - 1])
-    apart = 1
-    while len(left := left[left + apart < end[left]]):
-        x, y = left, left + apart
-        both = np.minimum(size[x] - place[x], size[y] - place[y])
-        keep = (label[x] != label[y]) & (both * (1 + least) >= least * (size[x] + size[y]) - 1e-6)
-        if keep.any():
-            yield np.stack([node[x[keep]], node[y[keep]]], axis=1)
+    which, start = np.cumsum(change) - 1, np.flatnonzero(change)
+    first, end = start[which], np.r_[start[1:], len(key)][which]
+    out = np.zeros(len(key), bool)
+    left, apart = np.arange(len(key)), 1
+    while len(left := left[~out[left] & ((left + apart < end[left]) | (left - apart >= first[left]))]):
+        for x, y in ((left, left + apart), (left, left - apart)):
+            inside = (y < end[x]) & (y >= first[x])
+            x, y = x[inside], y[inside]
+            both = np.minimum(size[x] - place[x], size[y] - place[y])
+            met = (label[x] != label[y]) & (both * (1 + least) >= least * (size[x] + size[y]) - 1e-6)
+            out[x[met]] = out[y[met]] = True
         apart += 1
+    return out
+
+
+def _gathered(key: np.ndarray, node: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows of each key, sorted by key, whose nodes are to be compared: of more than ``WIDE``, each two blocks of half as many."""
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    for i, n in zip(start.tolist(), np.diff(np.r_[start, len(key)]).tolist(), strict=True):
+        rows = i + np.argsort(node[i : i + n])
+        if n <= WIDE:
+            yield rows
+        else:
+            for one, two in combinations([rows[k : k + WIDE // 2] for k in range(0, n, WIDE // 2)], 2):
+                yield np.concatenate([one, two])
+
+
+def _alike(texts: list[bytes | None], label: np.ndarray, words: int, least: float) -> Iterator[tuple[int, int]]:
+    """Links of texts alike by ``least`` that join all labels of which two such texts are.
+
+    The bits of two texts' hash counts, taken modulo two, differ in no more places than their sets do, which rules most pairs
+    out. Texts nearest to the bitwise majority come first, and what is already together is not compared, so near copies of
+    one text take few comparisons.
+    """
+    sets = [_hashes(t, words) for t in texts]
+    size = np.array([len(h) for h in sets])
+    width = min(1 << 13, max(64, 1 << int(2 * size.max() - 1).bit_length()))
+    odd = np.stack([np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1 for h in sets]).astype(bool)
+    marks = np.packbits(odd, axis=1).view(np.int64)
+    middle = np.packbits(2 * odd.sum(axis=0) > len(sets)).view(np.int64)
+    label, todo = label.copy(), np.ones(len(sets), bool)
+    for t in np.argsort(_distance(marks, middle), kind="stable").tolist():
+        todo[t] = False
+        apart = np.flatnonzero(label != label[t])
+        if not len(apart):
+            return
+        apart = apart[todo[apart]]
+        differ = _distance(marks[apart], marks[t])
+        may = differ * (1 + least) <= (1 - least) * (size[apart] + size[t]) + 1e-6
+        for u in apart[may][np.argsort(differ[may], kind="stable")].tolist():
+            if label[u] == label[t]:
+                continue
+            both = len(np.intersect1d(sets[t], sets[u], assume_unique=True))
+            if both * (1 + least) < least * (size[t] + size[u]) - 1e-6:
+                continue
+            x, y = shingles(texts[t], words), shingles(texts[u], words)
+            both = len(x & y)
+            if both >= least * (len(x) + len(y) - both):
+                yield t, u
+                label[label == label[u]] = label[t]
 
 
 def _sample(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -473,12 +516,13 @@ def _sample(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.
 
 
 def alike_besides(docs: DataFrame, edges: DataFrame, text_col: str, words: int, least: float) -> DataFrame:
-    """(a, b): every pair of texts, by their 64-bit hashes, that may have a Jaccard similarity of ``least`` or more, except some
-    that the stored edges (a, b) connect. The end of more pairs is ``b``.
+    """(a, b): links, by texts' 64-bit hashes, that with the stored edges (a, b) connect all pairs of texts whose Jaccard similarity is
+    ``least`` or more.
 
-    Each distinct text is entered under the hashes of its ``_prefix``, so that two that are alike meet under one; a pair that
-    leaves the task is possible by the texts' sizes and the places of that hash in them. Texts with the same least neighbour
-    are connected, so they are not compared. Keys of very many texts are split.
+    Each distinct text is entered under the hashes of its ``_prefix``, so that two that are alike meet under one. Texts of a
+    key that may be alike, by their sizes and the places of that hash in them, are compared together in one task, which gives
+    the links of a forest; so rows are texts in a group, never pairs, and the same group under several keys is compared once.
+    Texts with the same least neighbour are connected, so they are not compared. Keys of very many texts are split.
     """
     frequent, number = _sample(docs, text_col, words)
     rank = np.empty(len(number), np.int64)
@@ -505,28 +549,23 @@ def alike_besides(docs: DataFrame, edges: DataFrame, text_col: str, words: int,
     entries = _parted(entries, list(zip(frequent[large].view(np.int64).tolist(), (-(-number[large] // PART)).tolist(), strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, rest = [], 0, None
-
-        def out() -> pa.RecordBatch:
-            pairs = _numbered(np.concatenate([np.empty((0, 2), np.int64), *held]))[0]
-            _, at, number = np.unique(pairs, return_inverse=True, return_counts=True)
-            cols = np.concatenate([pairs, number[at].reshape(-1, 2)], axis=1).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols.T], names=["x", "y", "of_x", "of_y"])
+        rest = None
 
         def met(key: np.ndarray, part: np.ndarray, at: np.ndarray, node: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
-            nonlocal held, n
-            change = np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]
-            which = np.cumsum(change) - 1
+            which = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]) - 1
             several = np.bincount(which)[which] > 1
-            if not several.any():
-                return
             which, at, node, label = (x[several] for x in (which, at, node, label))
-            for pairs in _sharing(which, at & ((1 << 32) - 1), at >> 32, node, label, least):
-                held.append(np.sort(pairs, axis=1))
-                n += len(pairs)
-                if n > HELD:
-                    yield out()
-                    held, n = [], 0
+            may = _possible(which, at & ((1 << 32) - 1), at >> 32, label, least)
+            which, node, label = (x[may] for x in (which, node, label))
+            if not len(which):
+                return
+            groups = list(_gathered(which, node))
+            for i in range(0, len(groups), BLOCK // WIDE):
+                some = groups[i : i + BLOCK // WIDE]
+                names = np.array([xxhash.xxh64_intdigest(node[g].tobytes()) for g in some], np.uint64).view(np.int64)
+                rows = np.concatenate(some)
+                cols = [np.repeat(names, [len(g) for g in some]), node[rows], label[rows]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["met", "h", "root"])
 
         for b in batches:
             key, at, node, part = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4))
@@ -542,11 +581,37 @@ def alike_besides(docs: DataFrame, edges: DataFrame, text_col: str, words: int,
                 yield from met(*(x[:last] for x in now))
         if rest is not None and len(rest[0]):
             yield from met(*rest)
-        yield out()
 
-    found = map_arrow(entries.repartition("key", "part").sortWithinPartitions("key", "part"), run, "x long, y long, of_x long, of_y long")
-    pairs = found.groupBy("x", "y").agg((F.sum("of_x") > F.sum("of_y")).alias("hub"))
-    return pairs.select(F.when(F.col("hub"), F.col("y")).otherwise(F.col("x")).alias("a"), F.when(F.col("hub"), F.col("x")).otherwise(F.col("y")).alias("b"))
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: pa.Table) -> pa.RecordBatch:
+            group, node, label = (rows.column(i).to_numpy() for i in range(3))
+            start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            pairs = []
+            for i, n in zip(start.tolist(), np.diff(np.r_[start, len(group)]).tolist(), strict=True):
+                texts = rows.column(3).slice(i, n).to_pylist()
+                pairs += [(node[i + t], node[i + u]) for t, u in _alike(texts, label[i : i + n], words, least)]
+            cols = np.array(pairs, np.int64).reshape(-1, 2).T
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["a", "b"])
+
+        rest = None
+        for b in batches:
+            now = pa.Table.from_batches([b])
+            if rest is not None:
+                now = pa.concat_tables([rest, now])
+            if not len(now):
+                continue
+            group = now.column(0).to_numpy()
+            last = int(np.argmax(group == group[-1]))
+            rest = now.slice(last)
+            if last:
+                yield out(now.slice(0, last))
+        if rest is not None and len(rest):
+            yield out(rest)
+
+    members = cut(map_arrow(entries.repartition("key", "part").sortWithinPartitions("key", "part"), run, "met long, h long, root long").distinct())
+    texts = source.join(members.select(F.col("h").alias("h_")).distinct(), F.col("h") == F.col("h_")).groupBy("h").agg(F.first("t").alias("t"))
+    found = members.join(texts, "h").select("met", "h", "root", "t")
+    return map_arrow(found.repartition("met").sortWithinPartitions("met"), compared, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int = 11, segments: int = 4, reach: int = 20, seeds: tuple[int, ...] = (42, 43)) -> DataFrame:
@@ -555,7 +620,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Two texts link if the Jaccard similarity of their sets of ``words``-word shingles is ``least`` or more; no such pair is left
     out. First candidates are the links of 128-bit fingerprints of distinct words, complete up to ``radius`` bits and taken up to
     ``reach``; of links among many that meet, those of a spanning forest and those to its centres. They bring most of what is
-    alike together, and ``alike_besides`` gives all other pairs that can be alike. Equal texts are one node; null texts, and
+    alike together, and ``alike_besides`` gives the links that connect all other such pairs. Equal texts are one node; null texts, and
     texts without a word, are alike. A null id takes part but never names a component, unless all its ids are null. Repeated rows come back
     repeated; other columns are ignored; an empty table gives an empty result.
     """
@@ -569,6 +634,5 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     between = matched(found, centres, "b", "size", found.count()).join(classes.select(F.col("own").alias("a"), "first"), "a").select(F.col("first").alias("a"), F.col("to").alias("b"))
     inside = matched(nodes.select("h", "own"), classes, "own", "size", n).where("h <> first").select(F.col("h").alias("a"), F.col("first").alias("b"))
     alike = cut(verified(cut(between.union(inside)), docs, text_col, words, least))
-    besides = cut(alike_besides(docs, alike, text_col, words, least))
-    star = stars(alike.union(verified(besides, docs, text_col, words, least)))
+    star = stars(alike.union(alike_besides(docs, alike, text_col, words, least)))
     return _named(prints.select("id", "h"), "h", nodes.select("h", "id", "k"), star).select("id", "component")

@@ -746,6 +746,52 @@ def test_similar_groups_leave_no_pair_out(spark, counted, part, monkeypatch):
     assert got == dict(enumerate(want)) and len(pairs) > 100
 
 
+def test_many_near_copies_take_links_in_proportion(spark):
+    rng = random.Random(11)
+    hub = [f"w{i}" for i in range(150)]
+
+    def found(n):
+        texts = []
+        for _ in range(n):
+            new = list(hub)
+            for _ in range(rng.randrange(1, 4)):
+                new[rng.randrange(len(new))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(new))
+        docs = spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.xxhash64("text").alias("h"))
+        at = {r["h"]: i for i, r in enumerate(docs.collect())}
+        none = spark.createDataFrame([], "a long, b long")
+        links = [(at[r["a"]], at[r["b"]]) for r in simhash.alike_besides(docs, none, "text", 5, 0.8).collect()]
+        sets = [simhash.shingles(t.encode(), 5) for t in texts]
+        near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+        assert all(near(a, b) for a, b in links)
+        pairs = [(a, b) for a in range(n) for b in range(a) if near(a, b)]
+        joined = lambda of: simhash._joined(np.arange(n), *np.array(of).T).tolist()
+        assert joined(links) == joined(pairs) and len(pairs) > n * n // 10
+        return len(set(links)), len(links)
+
+    (few, few_rows), (many, many_rows) = found(100), found(400)
+    assert many <= 6 * few and many_rows <= 6 * few_rows, (few, few_rows, many, many_rows)  # 16 times as many pairs
+
+
+def test_large_groups_are_compared_in_blocks(monkeypatch):
+    monkeypatch.setattr(simhash, "WIDE", 8)
+    key, node = np.repeat([3, 5, 9], [2, 30, 8]), np.random.default_rng(2).permutation(40)
+    groups = list(simhash._gathered(key, node))
+    met = {(min(a, b), max(a, b)) for g in groups for a in g.tolist() for b in g.tolist() if a != b}
+    assert met == {(a, b) for a in range(40) for b in range(a + 1, 40) if key[a] == key[b]}
+    assert max(map(len, groups)) <= 8
+
+
+def test_possible_rows_equal_all_comparisons():
+    rng = np.random.default_rng(3)
+    key, label = np.sort(rng.integers(0, 60, 500)), rng.integers(0, 5, 500)
+    size = rng.integers(5, 60, 500)
+    place = rng.integers(0, size)
+    both = np.minimum.outer(size - place, size - place)
+    want = (key[:, None] == key) & (label[:, None] != label) & (both * 1.8 >= 0.8 * np.add.outer(size, size) - 1e-6)
+    assert np.array_equal(simhash._possible(key, place, size, label, 0.8), want.any(axis=1)) and 0 < want.any(axis=1).sum() < 500
+
+
 def test_hot_keys_get_their_values(spark):
     rows = spark.createDataFrame([(1, i) for i in range(5000)] + [(i, 0) for i in range(2, 3000)], "key long, x long")
     values = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("value", F.col("key") * 2)
