@@ -458,6 +458,29 @@ def _gathered(key: np.ndarray, node: np.ndarray) -> Iterator[np.ndarray]:
                 yield np.concatenate([one, two])
 
 
+def _marks(h: np.ndarray) -> bytes:
+    """A text's number of hashes modulo two at each of some places, two to four times as many as there are hashes: those of two
+    texts differ in no more places than their sets do. Both halves' exclusive or are those of half as many places."""
+    width = min(1 << 16, max(512, 1 << int(2 * len(h) - 1).bit_length()))
+    odd = np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def _unlike(marks: list[bytes], size: np.ndarray, label: np.ndarray, least: float) -> np.ndarray:
+    """Which texts of a group are not alike by ``least`` to any of another label, as their ``_marks`` show. Places of texts that
+    can be alike by 0.5 or more differ by a factor of two at most."""
+    places, out = np.array([len(m) for m in marks]), np.ones(len(marks), bool)
+    for w in np.unique(places):
+        rows = np.flatnonzero((places == w) | (places == 2 * w))
+        own = np.stack([np.bitwise_xor.reduce(np.frombuffer(marks[i], np.int64).reshape(-1, w // 8), axis=0) for i in rows])
+        for i in np.flatnonzero(out[rows]):
+            near = _distance(own, own[i]) * (1 + least) <= (1 - least) * (size[rows] + size[rows[i]]) + 1e-6
+            near &= label[rows] != label[rows[i]]
+            if near.any():
+                out[rows[near]] = out[rows[i]] = False
+    return out
+
+
 def _alike(texts: list[bytes | None], label: np.ndarray, words: int, least: float) -> Iterator[tuple[int, int]]:
     """Links of texts alike by ``least`` that join all labels of which two such texts are.
 
@@ -515,13 +538,32 @@ def _sample(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.
     return keys[order], n[order] * COUNTED
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Table]]:
+    """Rows sorted by their first column, as lists of the tables that agree in it."""
+    rest = None
+    for b in batches:
+        now = pa.Table.from_batches([b])
+        if rest is not None:
+            now = pa.concat_tables([rest, now])
+        if not len(now):
+            continue
+        group = now.column(0).to_numpy()
+        start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist()
+        rest = now.slice(start[-1])
+        if len(start) > 1:
+            yield [now.slice(i, j - i) for i, j in zip(start, start[1:], strict=False)]
+    if rest is not None:
+        yield [rest]
+
+
 def alike_besides(docs: DataFrame, edges: DataFrame, text_col: str, words: int, least: float) -> DataFrame:
     """(a, b): links, by texts' 64-bit hashes, that with the stored edges (a, b) connect all pairs of texts whose Jaccard similarity is
     ``least`` or more.
 
     Each distinct text is entered under the hashes of its ``_prefix``, so that two that are alike meet under one. Texts of a
-    key that may be alike, by their sizes and the places of that hash in them, are compared together in one task, which gives
-    the links of a forest; so rows are texts in a group, never pairs, and the same group under several keys is compared once.
+    key that may be alike, by their sizes and the places of that hash in them, are a group; the same group under several keys
+    is one. A task that has a group's ``_marks`` drops whatever they show to be unlike the rest; another has the texts, and
+    gives the links of a forest. So rows are texts in a group, never pairs.
     Texts with the same least neighbour are connected, so they are not compared. Keys of very many texts are split.
     """
     frequent, number = _sample(docs, text_col, words)
@@ -582,36 +624,37 @@ def alike_besides(docs: DataFrame, edges: DataFrame, text_col: str, words: int,
         if rest is not None and len(rest[0]):
             yield from met(*rest)
 
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [_hashes(t.as_py(), words) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(map(_marks, sets), pa.binary())], names=["h", "size", "marks"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            out = [np.empty((0, 3), np.int64)]
+            for g in rows:
+                node, label, size = (g.column(i).to_numpy() for i in (1, 2, 3))
+                keep = ~_unlike(g.column(4).to_pylist(), size, label, least)
+                if keep.any():
+                    name = np.uint64(xxhash.xxh64_intdigest(node[keep].tobytes())).astype(np.int64)
+                    out.append(np.stack([np.full(int(keep.sum()), name), node[keep], label[keep]], axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in np.concatenate(out).T], names=["met", "h", "root"])
+
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: pa.Table) -> pa.RecordBatch:
-            group, node, label = (rows.column(i).to_numpy() for i in range(3))
-            start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        for rows in _groups(batches):
             pairs = []
-            for i, n in zip(start.tolist(), np.diff(np.r_[start, len(group)]).tolist(), strict=True):
-                texts = rows.column(3).slice(i, n).to_pylist()
-                pairs += [(node[i + t], node[i + u]) for t, u in _alike(texts, label[i : i + n], words, least)]
+            for g in rows:
+                node, label = (g.column(i).to_numpy() for i in (1, 2))
+                pairs += [(node[t], node[u]) for t, u in _alike(g.column(3).to_pylist(), label, words, least)]
             cols = np.array(pairs, np.int64).reshape(-1, 2).T
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["a", "b"])
-
-        rest = None
-        for b in batches:
-            now = pa.Table.from_batches([b])
-            if rest is not None:
-                now = pa.concat_tables([rest, now])
-            if not len(now):
-                continue
-            group = now.column(0).to_numpy()
-            last = int(np.argmax(group == group[-1]))
-            rest = now.slice(last)
-            if last:
-                yield out(now.slice(0, last))
-        if rest is not None and len(rest):
-            yield out(rest)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["a", "b"])
 
     members = cut(map_arrow(entries.repartition("key", "part").sortWithinPartitions("key", "part"), run, "met long, h long, root long").distinct())
     texts = source.join(members.select(F.col("h").alias("h_")).distinct(), F.col("h") == F.col("h_")).groupBy("h").agg(F.first("t").alias("t"))
-    found = members.join(texts, "h").select("met", "h", "root", "t")
-    return map_arrow(found.repartition("met").sortWithinPartitions("met"), compared, "a long, b long")
+    texts = stored(texts, "met")
+    grouped = lambda rows, values: rows.join(values, "h").select("met", "h", "root", *values.columns[1:]).repartition("met").sortWithinPartitions("met", "h")
+    members = cut(map_arrow(grouped(members, map_arrow(texts, marked, "h long, size long, marks binary")), near, "met long, h long, root long").distinct())
+    return map_arrow(grouped(members, texts), compared, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int = 11, segments: int = 4, reach: int = 20, seeds: tuple[int, ...] = (42, 43)) -> DataFrame:
