@@ -782,6 +782,25 @@ def test_large_groups_are_compared_in_blocks(monkeypatch):
     assert max(map(len, groups)) <= 8
 
 
+def test_marks_leave_every_text_that_has_one_alike():
+    rng = random.Random(6)
+    texts = []
+    for n in (3, 40, 250, 260, 900, 3000):  # marks of several widths
+        base = [f"w{n}_{i}" for i in range(n)]
+        for change in (0, 1, 2, 5, 12, 40):
+            new = base[: n - rng.randrange(1 + n // 20)]
+            for _ in range(change):
+                new[rng.randrange(len(new))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(new).encode())
+    sets = [simhash.shingles(t, 5) for t in texts]
+    label = np.arange(len(texts)) // 2 * 2  # pairs of one label
+    hashes = [simhash._hashes(t, 5) for t in texts]
+    got = simhash._unlike(list(map(simhash._marks, hashes)), np.array(list(map(len, hashes))), label, 0.8)
+    near = lambda a, b: label[a] != label[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = np.array([any(near(a, b) for b in range(len(texts))) for a in range(len(texts))])
+    assert not (got & want).any() and want.sum() > 5 and got.sum() > 5
+
+
 def test_possible_rows_equal_all_comparisons():
     rng = np.random.default_rng(3)
     key, label = np.sort(rng.integers(0, 60, 500)), rng.integers(0, 5, 500)
