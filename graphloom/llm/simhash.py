@@ -340,8 +340,8 @@ def _named(rows: DataFrame, key: str, nodes: DataFrame, star: DataFrame) -> Data
     n_nodes = nodes.count()
     rooted = cut(nodes.join(star, F.col(key) == F.col("node"), "left").select(key, "id", "k", F.coalesce("root", key).alias("root")))
     least = cut(rooted.groupBy("root").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("_k")))
-    named = cut(matched(rooted, least, "root", "_k", n_nodes).select(key, "component", "k"))
-    return matched(rows, named, key, "k", rows.count())
+    named = cut(matched(rooted, least, "root", "_k", n_nodes, n_nodes).select(key, "component", "k"))
+    return matched(rows, named, key, "k", rows.count(), n_nodes)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, segments: int = 2, distinct: bool = False, seeds: tuple[int, ...] = (42,)) -> DataFrame:

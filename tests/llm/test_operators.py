@@ -669,6 +669,41 @@ def test_links_equal_all_pairs(spark, radius, segments, halves, part, monkeypatc
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values())) and len(want) > 20
 
 
+@pytest.mark.parametrize("few", [components.FEW, 0])
+def test_stars_take_few_jobs_a_round(spark, few, monkeypatch):
+    monkeypatch.setattr(components, "FEW", few)
+    rng = random.Random(10)
+    hub = [(0, i) for i in range(1, 400)]
+    chains = [(i, i + 1) for k in range(60) for i in range(1000 + 50 * k, 1000 + 50 * k + rng.randrange(1, 49))]
+    several = [tuple(rng.sample(range(5000, 5300), 2)) for _ in range(200)]
+    pairs = [p[::-1] if rng.random() < 0.5 else p for p in hub + chains + several]
+    names = rng.sample(range(10_000), 5300)  # so that the smallest is anywhere
+    pairs = [(names[a], names[b]) for a, b in pairs]
+    parent = {x: x for p in pairs for x in p}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    edges = spark.createDataFrame([*pairs, *pairs[:50], (7, 7), (None, 3)], "a long, b long")
+    rounds, cut = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df: rounds.append(1) or cut(df))
+    sc = spark.sparkContext
+    sc.setJobGroup(f"stars {few}", "")
+    try:
+        got = components.stars(edges)
+        jobs = len(sc.statusTracker().getJobIdsForGroup(f"stars {few}"))
+    finally:
+        sc._jsc.clearJobGroup()
+    n = (len(rounds) - 2) // 3  # the edges, the nodes of the last state, and three tables a round
+    assert sorted((r["node"], r["root"]) for r in got.collect()) == sorted((x, root(x)) for x in parent if root(x) != x)
+    assert n >= 3 and (few == 0 or jobs <= 12 * n + 6)  # it was 18 a round
+
+
 def test_near_duplicates(odd, none, spark):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == len(ROWS)
@@ -680,6 +715,16 @@ def test_near_duplicates(odd, none, spark):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_are_named_alike_by_either_join(spark, odd, monkeypatch):
+    exchanges, rows = {}, {}
+    for few in (components.FEW, 0):
+        monkeypatch.setattr(components, "FEW", few)
+        got = simhash.near_duplicates(odd)
+        exchanges[few] = got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        rows[few] = sorted(map(str, got.collect()))
+    assert len(set(map(tuple, rows.values()))) == 1 and exchanges[1 << 16] == 0 < exchanges[0]
+
+
 def test_similar_groups_equal_all_pairs(spark, odd, none):
     rng = random.Random(18)
     word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(rng.randrange(2, 9)))
