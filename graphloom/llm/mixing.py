@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.session import cut
+from graphloom.session import cut, cut_few
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Bits that each level adds to the hash's known prefix, and levels: the hash has their product.
@@ -61,12 +61,12 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     )
 
 
-def thresholds(rows: DataFrame, plan: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def thresholds(rows: DataFrame, plan: DataFrame, small: Callable[[DataFrame], DataFrame], keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """(source, source_size, target, copies, below) of every source: a document counts ``copies`` times, and once more if
-    its hash is under ``below``."""
+    its hash is under ``below``. ``keep`` cuts the table of sources."""
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     state = plan.withColumn("copies", copies.cast("long")).withColumn("left", F.col("target") - F.col("copies") * F.col("source_size"))
-    state = cut(state.withColumn("prefix", F.lit(0).cast("long")).withColumn("done", F.lit(None).cast("long")))
+    state = keep(state.withColumn("prefix", F.lit(0).cast("long")).withColumn("done", F.lit(None).cast("long")))
     for level in range(LEVELS):
         shift = BITS * (LEVELS - 1 - level)
         open_ = state.where("done is null").select(F.col("source").alias("s"), "prefix")
@@ -82,7 +82,7 @@ def thresholds(rows: DataFrame, plan: DataFrame, small: Callable[[DataFrame], Da
             .groupBy("s")
             .agg(F.min(F.struct("bucket", (F.col("left") - (F.col("upto") - F.col("n"))).alias("left"))).alias("cut"))
         )
-        state = cut(
+        state = keep(
             state.join(over, F.col("source").eqNullSafe(F.col("s")), "left").select(
                 "source",
                 "source_size",
@@ -117,8 +117,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The input's rows and columns, each row as often as the mix has it."""
     rows = cut(sized(docs, id_col, text_col, source_col))
     plan = cut(targets(rows, weights, share, most))
-    small = F.broadcast if plan.count() <= BROADCAST_SOURCES else (lambda df: df)
-    chosen = thresholds(rows, plan, small).select(F.col("source").alias("_mx_source"), F.col("copies").alias("_mx_copies"), F.col("below").alias("_mx_below"))
+    sources = plan.count()
+    small = F.broadcast if sources <= BROADCAST_SOURCES else (lambda df: df)
+    chosen = thresholds(rows, plan, small, lambda df: cut_few(df, sources)).select(F.col("source").alias("_mx_source"), F.col("copies").alias("_mx_copies"), F.col("below").alias("_mx_below"))
     d = docs.withColumn("_mx_h", _hash(id_col, text_col)).join(small(chosen), F.col(source_col).eqNullSafe(F.col("_mx_source")))
     times = F.col("_mx_copies") + F.when(F.col("_mx_h") < F.col("_mx_below"), 1).otherwise(0)
     return d.withColumn("_mx_one", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)

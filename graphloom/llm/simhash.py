@@ -22,9 +22,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.components import matched, stars
+from graphloom.llm.components import FEW, matched, stars
 from graphloom.llm.workers import let_go
-from graphloom.session import cut, map_arrow, stored
+from graphloom.session import counted, cut, cut_few, map_arrow, stored
 
 BITS = 64
 #: Hashes whose bits are counted at once, and links that are held before they are reduced to stars.
@@ -335,12 +335,27 @@ def links(nodes: DataFrame, radius: int = 3, segments: int = 2, reach: int | Non
     return out.select(node("a").alias("a"), node("b").alias("b"))
 
 
-def _named(rows: DataFrame, key: str, nodes: DataFrame, star: DataFrame) -> DataFrame:
-    """(id, key, component) of rows: each node's component's smallest id. ``nodes``: key, id, k (rows of the node)."""
+def _settled(edges: DataFrame) -> DataFrame:
+    """What ``stars`` gives, of links (a, b) of longs in one task: only for a bounded number of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [np.empty((2, 0), np.int64), *(np.stack([c.to_numpy() for c in b.columns]) for b in batches)]
+        nodes, at = np.unique(np.concatenate(ends, axis=1), return_inverse=True)
+        x, y = at.reshape(2, -1)
+        root = _joined(np.arange(len(nodes)), x, y)
+        other = root != np.arange(len(nodes))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[other]), pa.array(nodes[root[other]])], names=["node", "root"])
+
+    return map_arrow(edges.coalesce(1), run, "node long, root long")
+
+
+def _named(rows: DataFrame, key: str, nodes: DataFrame, star: DataFrame, keep: Callable[[DataFrame, int], DataFrame] = lambda df, most: cut(df)) -> DataFrame:
+    """(id, key, component) of rows: each node's component's smallest id. ``nodes``: key, id, k (rows of the node). ``keep`` cuts
+    tables of a bounded number of rows."""
     n_nodes = nodes.count()
-    rooted = cut(nodes.join(star, F.col(key) == F.col("node"), "left").select(key, "id", "k", F.coalesce("root", key).alias("root")))
-    least = cut(rooted.groupBy("root").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("_k")))
-    named = cut(matched(rooted, least, "root", "_k", n_nodes, n_nodes).select(key, "component", "k"))
+    rooted = keep(nodes.join(star, F.col(key) == F.col("node"), "left").select(key, "id", "k", F.coalesce("root", key).alias("root")), n_nodes)
+    least = keep(rooted.groupBy("root").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("_k")), n_nodes)
+    named = keep(matched(rooted, least, "root", "_k", n_nodes, n_nodes).select(key, "component", "k"), n_nodes)
     return matched(rows, named, key, "k", rows.count(), n_nodes)
 
 
@@ -377,8 +392,8 @@ def verified(edges: DataFrame, docs: DataFrame, text_col: str, words: int, least
     """
     each = 1024
     total = edges.count()
-    degree = cut(edges.groupBy("b").agg(F.count(F.lit(1)).alias("k")).withColumn("salts", F.ceil(F.col("k") / each).cast("long")))
-    need = cut(edges.select(F.col("a").alias("h"), F.lit(0).cast("long").alias("salts")).union(degree.select("b", "salts")).groupBy("h").agg(F.max("salts").alias("salts")))
+    degree = cut_few(edges.groupBy("b").agg(F.count(F.lit(1)).alias("k")).withColumn("salts", F.ceil(F.col("k") / each).cast("long")), total)
+    need = cut_few(edges.select(F.col("a").alias("h"), F.lit(0).cast("long").alias("salts")).union(degree.select("b", "salts")).groupBy("h").agg(F.max("salts").alias("salts")), 2 * total)
     texts = docs.select(F.xxhash64(text_col).alias("h_"), F.col(text_col).cast("binary").alias("t"))
     texts = stored(texts.join(need, F.col("h_") == F.col("h")).groupBy("h", "salts").agg(F.first("t").alias("t")), "texts")
     two = texts.where("salts > 0").select(F.col("h").alias("b"), F.col("t").alias("two"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
@@ -525,7 +540,7 @@ def _sample(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.
             for t in b.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(_hashes(t.as_py(), words).view(np.int64))], names=["key"])
 
-    counts = cut(map_arrow(some.groupBy("h").agg(F.first("t").alias("t")).select("t"), run, "key long").groupBy("key").count().where("count > 1"))
+    counts, _ = counted(map_arrow(some.groupBy("h").agg(F.first("t").alias("t")).select("t"), run, "key long").groupBy("key").count().where("count > 1"))
     least, n = 1 << 62, 0
     for r in sorted(counts.groupBy("count").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
         n += r["n"]
@@ -649,11 +664,11 @@ def alike_besides(docs: DataFrame, edges: DataFrame, text_col: str, words: int,
             cols = np.array(pairs, np.int64).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["a", "b"])
 
-    members = cut(map_arrow(entries.repartition("key", "part").sortWithinPartitions("key", "part"), run, "met long, h long, root long").distinct())
+    members, n = counted(map_arrow(entries.repartition("key", "part").sortWithinPartitions("key", "part"), run, "met long, h long, root long").distinct())
     texts = source.join(members.select(F.col("h").alias("h_")).distinct(), F.col("h") == F.col("h_")).groupBy("h").agg(F.first("t").alias("t"))
     texts = stored(texts, "met")
     grouped = lambda rows, values: rows.join(values, "h").select("met", "h", "root", *values.columns[1:]).repartition("met").sortWithinPartitions("met", "h")
-    members = cut(map_arrow(grouped(members, map_arrow(texts, marked, "h long, size long, marks binary")), near, "met long, h long, root long").distinct())
+    members = cut_few(map_arrow(grouped(members, map_arrow(texts, marked, "h long, size long, marks binary")), near, "met long, h long, root long").distinct(), n)
     return map_arrow(grouped(members, texts), compared, "a long, b long")
 
 
@@ -669,13 +684,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     source = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).alias("row"), F.col(text_col).alias("t"))
     prints = cut(fingerprints(source, "row", "t", 1, True, seeds).select(F.col("id.id").alias("id"), F.col("id.h").alias("h"), F.struct("fp", "fp2").alias("own")))
-    nodes = cut(prints.groupBy("h").agg(F.min("id").alias("id"), F.first("own").alias("own"), F.count(F.lit(1)).alias("k")))
-    classes = cut(nodes.groupBy("own").agg(F.min("h").alias("first"), F.count(F.lit(1)).alias("size")))
+    nodes = cut_few(prints.groupBy("h").agg(F.min("id").alias("id"), F.first("own").alias("own"), F.count(F.lit(1)).alias("k")), prints.count())
     n = nodes.count()
-    found = cut(links(classes.select("own.*"), radius, segments, reach).distinct())
-    centres = cut(found.groupBy("b").agg(F.count(F.lit(1)).alias("size")).join(classes.select(F.col("own").alias("b"), F.col("first").alias("to")), "b"))
-    between = matched(found, centres, "b", "size", found.count()).join(classes.select(F.col("own").alias("a"), "first"), "a").select(F.col("first").alias("a"), F.col("to").alias("b"))
+    classes = cut_few(nodes.groupBy("own").agg(F.min("h").alias("first"), F.count(F.lit(1)).alias("size")), n)
+    found, n_found = counted(links(classes.select("own.*"), radius, segments, reach).distinct())
+    centres = cut_few(found.groupBy("b").agg(F.count(F.lit(1)).alias("size")).join(classes.select(F.col("own").alias("b"), F.col("first").alias("to")), "b"), n_found)
+    between = matched(found, centres, "b", "size", n_found).join(classes.select(F.col("own").alias("a"), "first"), "a").select(F.col("first").alias("a"), F.col("to").alias("b"))
     inside = matched(nodes.select("h", "own"), classes, "own", "size", n).where("h <> first").select(F.col("h").alias("a"), F.col("first").alias("b"))
-    alike = cut(verified(cut(between.union(inside)), docs, text_col, words, least))
-    star = stars(alike.union(alike_besides(docs, alike, text_col, words, least)))
-    return _named(prints.select("id", "h"), "h", nodes.select("h", "id", "k"), star).select("id", "component")
+    candidates = cut_few(between.union(inside), n_found + n)
+    alike = cut_few(verified(candidates, docs, text_col, words, least), n_found + n)
+    edges, n_edges = counted(alike.union(alike_besides(docs, alike, text_col, words, least)))
+    star = _settled(edges) if n_edges <= FEW else stars(edges)
+    return _named(prints.select("id", "h"), "h", nodes.select("h", "id", "k"), star, cut_few).select("id", "component")

@@ -1,9 +1,13 @@
 """Each stage of the pipeline on its own input, and the whole."""
 
+import random
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
-from graphloom.llm import simhash
+import pytest
+from graphloom import session
+from graphloom.llm import components, simhash
 
 from .conftest import ROWS
 
@@ -46,3 +50,39 @@ def test_stages_take_odd_rows(spark, odd, sample):
 
 def test_run(spark, sample):
     assert corpus_pipeline.run(spark, sample).count() > 0
+
+
+@pytest.fixture
+def uncoalesced(spark):
+    """As many partitions as the tables are dealt to, however few their rows."""
+    for key, value in (parts := {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}).items():
+        parts[key] = spark.conf.get(key)
+        spark.conf.set(key, value)
+    yield 64
+    for key, value in parts.items():
+        spark.conf.set(key, value)
+
+
+def test_small_tables_leave_few_files(spark, sample, uncoalesced, monkeypatch):
+    """A local checkpoint folder costs a process for each file. Whatever the number of files, the rows are the same."""
+    docs = spark.read.parquet(f"{sample}/documents.parquet")
+    files = lambda: {p for p in Path(session.checkpoint_dir(spark).removeprefix("file:")).glob("*/rdd-*/part-*")}
+    for stage, most in ((corpus_pipeline.near_dedup, 2 * uncoalesced), (corpus_pipeline.mix_sources, uncoalesced)):
+        before = files()
+        few = Counter(r["doc_id"] for r in stage(spark, docs, sample).collect())
+        assert few and len(files() - before) <= most, stage
+        with monkeypatch.context() as m:
+            m.setattr(session, "FEW_ROWS", -1)
+            m.setattr(simhash, "FEW", -1)
+            assert Counter(r["doc_id"] for r in stage(spark, docs, sample).collect()) == few
+
+
+def test_links_settled_in_one_task_give_the_stars(spark):
+    rnd = random.Random(5)
+    for n in (0, 1, 300):
+        rows = [(rnd.choice((-1, 1)) * rnd.randrange(1 << 62), 0) for _ in range(n)]
+        rows = [(a, rnd.choice(rows[max(0, i - 3) : i + 1])[0]) for i, (a, _) in enumerate(rows)] + [(7, 9), (9, 7), (8, 8), (9, 11)][: 4 * n]
+        edges = spark.createDataFrame(rows, "a long, b long").repartition(5)
+        assert {*simhash._settled(edges).collect()} == {*components.stars(edges).collect()}
+    kept, n = session.counted(edges)
+    assert n == len(rows) and sorted(kept.collect()) == sorted(edges.collect()) and kept.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
