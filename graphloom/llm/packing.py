@@ -9,7 +9,7 @@ not full. Those pieces are dealt anew, to other groups, and packed again, as lon
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -108,14 +108,15 @@ def best_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.
     return where, offset, np.array(fill, np.int64)
 
 
-def pack(pieces: DataFrame, size: int = 2048, group_rows: int = 8192, room: int = 32, worth: int = 1000) -> DataFrame:
+def pack(pieces: DataFrame, size: int = 2048, group_rows: int = 8192, room: int = 32, worth: int = 1000, keep: Callable[[DataFrame, int], DataFrame] = lambda df, most: cut(df)) -> DataFrame:
     """Place pieces (doc_id, piece, start, length, ids_crc32): adds sequence_id, offset and certified.
 
     ``certified``: the piece's last group used as few sequences as its bound, or its sequence is full. Groups have about
     ``group_rows`` pieces, equal ones too, whatever the input's size: pieces are dealt by a hash of all columns and of their
     place in a stored table, so that a task run again gets the same. A group at its bound gives up sequences with more room
     than one part in ``room``. Rounds go on while they save one sequence in ``worth`` of those given up, and at least one. An
-    empty table gives an empty result; null ids and repeated rows are pieces like any other.
+    empty table gives an empty result; null ids and repeated rows are pieces like any other. ``keep`` cuts tables of a bounded
+    number of rows.
     """
     rows = pieces.columns
     schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in pieces.schema)}, sequence_id long, offset long, certified boolean, open boolean"
@@ -137,15 +138,15 @@ def pack(pieces: DataFrame, size: int = 2048, group_rows: int = 8192, room: int
     ship(pieces.sparkSession)
     pool = cut(pieces)
     done, n, round_ = [], pool.count(), 0
-    placed = cut(dealt(pool, 0, n))
+    placed = keep(dealt(pool, 0, n), n)
     while True:
         done.append(placed.where("not open"))
-        pool = cut(placed.where("open"))
+        pool = keep(placed.where("open"), n)
         n, before = pool.agg(F.count(F.lit(1)), F.count_distinct("sequence_id")).first()
         if not n:
             return _all(done).drop("open")
         round_ += 1
-        again = cut(dealt(pool, round_, n))
+        again = keep(dealt(pool, round_, n), n)
         saved = before - again.agg(F.count_distinct("sequence_id")).first()[0]
         if saved < max(1, before // worth):
             return _all([*done, again if saved > 0 else pool]).drop("open")

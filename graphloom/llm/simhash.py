@@ -384,16 +384,17 @@ def shingles(text: bytes | None, words: int) -> set[bytes]:
     return {b" ".join(ws[i : i + words]) for i in range(len(ws) - words + 1)}
 
 
-def verified(edges: DataFrame, docs: DataFrame, text_col: str, words: int, least: float) -> DataFrame:
+def verified(edges: DataFrame, docs: DataFrame, text_col: str, words: int, least: float, most: int | None = None) -> DataFrame:
     """The stored edges (a, b), by texts' 64-bit hashes, whose texts' sets of shingles have a Jaccard similarity of ``least`` or more.
 
-    Only texts at an edge's end are kept. A centre, which is ``b`` in its edges, has its text repeated for each ``each`` of
+    Only texts at an edge's end are kept; there are ``most`` at most, if given. A centre, which is ``b`` in its edges, has its text repeated for each ``each`` of
     them, so that not all of their texts gather in one task.
     """
     each = 1024
     total = edges.count()
-    degree = cut_few(edges.groupBy("b").agg(F.count(F.lit(1)).alias("k")).withColumn("salts", F.ceil(F.col("k") / each).cast("long")), total)
-    need = cut_few(edges.select(F.col("a").alias("h"), F.lit(0).cast("long").alias("salts")).union(degree.select("b", "salts")).groupBy("h").agg(F.max("salts").alias("salts")), 2 * total)
+    most = 2 * total if most is None else most
+    degree = cut_few(edges.groupBy("b").agg(F.count(F.lit(1)).alias("k")).withColumn("salts", F.ceil(F.col("k") / each).cast("long")), most)
+    need = cut_few(edges.select(F.col("a").alias("h"), F.lit(0).cast("long").alias("salts")).union(degree.select("b", "salts")).groupBy("h").agg(F.max("salts").alias("salts")), most)
     texts = docs.select(F.xxhash64(text_col).alias("h_"), F.col(text_col).cast("binary").alias("t"))
     texts = stored(texts.join(need, F.col("h_") == F.col("h")).groupBy("h", "salts").agg(F.first("t").alias("t")), "texts")
     two = texts.where("salts > 0").select(F.col("h").alias("b"), F.col("t").alias("two"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
@@ -688,11 +689,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = nodes.count()
     classes = cut_few(nodes.groupBy("own").agg(F.min("h").alias("first"), F.count(F.lit(1)).alias("size")), n)
     found, n_found = counted(links(classes.select("own.*"), radius, segments, reach).distinct())
-    centres = cut_few(found.groupBy("b").agg(F.count(F.lit(1)).alias("size")).join(classes.select(F.col("own").alias("b"), F.col("first").alias("to")), "b"), n_found)
+    centres = cut_few(found.groupBy("b").agg(F.count(F.lit(1)).alias("size")).join(classes.select(F.col("own").alias("b"), F.col("first").alias("to")), "b"), n)
     between = matched(found, centres, "b", "size", n_found).join(classes.select(F.col("own").alias("a"), "first"), "a").select(F.col("first").alias("a"), F.col("to").alias("b"))
     inside = matched(nodes.select("h", "own"), classes, "own", "size", n).where("h <> first").select(F.col("h").alias("a"), F.col("first").alias("b"))
     candidates = cut_few(between.union(inside), n_found + n)
-    alike = cut_few(verified(candidates, docs, text_col, words, least), n_found + n)
+    alike = cut_few(verified(candidates, docs, text_col, words, least, n), n_found + n)
     edges, n_edges = counted(alike.union(alike_besides(docs, alike, text_col, words, least)))
     star = _settled(edges) if n_edges <= FEW else stars(edges)
     return _named(prints.select("id", "h"), "h", nodes.select("h", "id", "k"), star, cut_few).select("id", "component")

@@ -67,7 +67,7 @@ def test_small_tables_leave_few_files(spark, sample, uncoalesced, monkeypatch):
     """A local checkpoint folder costs a process for each file. Whatever the number of files, the rows are the same."""
     docs = spark.read.parquet(f"{sample}/documents.parquet")
     files = lambda: {p for p in Path(session.checkpoint_dir(spark).removeprefix("file:")).glob("*/rdd-*/part-*")}
-    for stage, most in ((corpus_pipeline.near_dedup, 2 * uncoalesced), (corpus_pipeline.mix_sources, uncoalesced)):
+    for stage, most in ((corpus_pipeline.near_dedup, 2 * uncoalesced), (corpus_pipeline.mix_sources, uncoalesced), (corpus_pipeline.pack_sequences, uncoalesced)):
         before = files()
         few = Counter(r["doc_id"] for r in stage(spark, docs, sample).collect())
         assert few and len(files() - before) <= most, stage
