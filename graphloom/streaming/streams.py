@@ -64,8 +64,20 @@ def token_bucket_stream(requests: DataFrame, key: str = "key", at: str = "ts", b
 
 
 def drain(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now, into a table in memory, and return that. For tests and small results."""
+    """Run a stream over what is there now into Parquet files beside its checkpoint, and return the table they are.
+
+    Each micro-batch is written by the executors under its own number, so that one that is repeated replaces itself. In append
+    mode the table is all of them; in complete mode, where each has all rows, it is the last.
+    """
     spark: SparkSession = df.sparkSession
-    q = df.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+    rows, written = f"{checkpoint.rstrip('/')}/rows/{name}", set()
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{rows}/{number}")
+        written.add(number)
+
+    q = df.writeStream.queryName(name).foreachBatch(keep).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    if not written:
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(*[f"{rows}/{n}" for n in (sorted(written) if mode == "append" else [max(written)])])
