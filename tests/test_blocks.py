@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.vectors import normalise
 from graphloom.operators import blocks, search
+from graphloom.plans import graphs
 
 
 def table(spark, m, **more):
@@ -58,3 +59,36 @@ def test_a_norm_is_computed_once_for_a_vector(spark):
     df = spark.range(3).select(F.array(F.col("id").cast("double"), F.lit(4.0)).alias("v")).select(normalise("v").alias("u"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
     assert [r["u"] for r in df.orderBy("u").collect()][0] == [0.0, 1.0]
+
+
+def test_many_queries_are_exact_beside_many_equal_vectors(spark, monkeypatch):
+    many(monkeypatch)
+    m = unit(150, 6)
+    m[40:100] = m[3]
+    rows = [*m, None, [], [float("nan")] * 6]
+    v = table(spark, rows)
+    got = {}
+    for r in search.topk(v, asked(v.where("id < 150")), 5).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    sims = np.einsum("id,jd->ij", m, m)
+    for i in range(150):  # no number is larger than any, as in SQL, and the empty vector has similarity 0
+        like = [*((-round(float(sims[i, j]), 12), j) for j in range(150)), (0.0, 151), (-9.0, 152)]
+        assert got[i] == [j for _, j in sorted(like)[:5]]
+
+
+def test_a_task_keeps_few_of_many_equal_hits():
+    best = blocks.Best(np.arange(50), np.ones((50, 4)), 3)
+    for a in range(0, 400_000, 20_000):
+        best.see(np.arange(a, a + 20_000)[::-1], np.ones((20_000, 4)))
+        assert sum(len(x[0]) for x in best.kept) < 1_000_000
+    found = pa.Table.from_batches(best.found()).to_pydict()
+    assert found["id"] == [0, 1, 2] * 50 and set(found["sim"]) == {4.0}
+
+
+def test_a_graph_looks_for_neighbours_once(spark, tmp_path):
+    v = table(spark, unit(30, 4)).withColumnRenamed("id", "vec_id").withColumn("label", F.lit(1))
+    v.write.parquet(f"{tmp_path}/embeddings.parquet")
+    g = graphs._vector_graph(spark, str(tmp_path))
+    for df in (g.nodes, g.edges):
+        assert "MapInArrow" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert g.edges.count() == 150
