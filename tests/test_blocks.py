@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.vectors import normalise
 from graphloom.operators import blocks, ingest, search
-from graphloom.plans import graphs
+from graphloom.plans import graphs, queries_vector
 
 
 def table(spark, m, **more):
@@ -112,3 +112,14 @@ def test_a_batch_is_resolved_without_a_row_for_each_pair(spark, monkeypatch, few
     got = {r["pos"]: r["leader_pos"] for r in ingest.resolve_in_batch(new, ingest.Resolution(threshold=0.7, match_type=typed)).collect()}
     assert [got[i] for i in range(200)] == lead
     assert stored == ([200] if few > 200 else []) or few == 3 and stored[0] < 200
+
+
+def test_pairs_of_a_label_meet_in_blocks_and_not_in_a_join(spark, tmp_path):
+    m = unit(40, 4, 2)
+    rows = [(i, x.tolist(), None if i == 7 else i % 2) for i, x in enumerate(m)] + [(99, None, 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries_vector.cosine_pairs_topk(spark, str(tmp_path))
+    assert "Generate explode" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "embedding" not in plan.split("MapInArrow")[0]
+    f = m.astype(np.float32).astype(float)
+    want = {(i, j) for i in range(40) for j in range(i + 1, 40) if i % 2 == j % 2 and 7 not in (i, j) and f[i] @ f[j] >= 0.3}
+    assert {(r["a"], r["b"]) for r in got.collect()} == want
